@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import quality_rules
+from tidewater.llm import kdtree_sharding, quality_rules, simhash_dedup
 from tidewater.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_sharding.kdtree_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

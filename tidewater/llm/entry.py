@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import kdtree_sharding, quality_rules, simhash_dedup
+from tidewater.llm import bin_packing, kdtree_sharding, quality_rules, simhash_dedup
 from tidewater.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree_sharding.kdtree_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bin_packing, kdtree_sharding, quality_rules, simhash_dedup, source_mixing, toxicity
+from tidewater.llm import bin_packing, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, toxicity
 from tidewater.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
 def op3_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree_sharding.kdtree_shards(table(spark, sf_dir, "documents"))
 

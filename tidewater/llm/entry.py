@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bin_packing, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, toxicity
+from tidewater.llm import bin_packing, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, toxicity
 from tidewater.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 

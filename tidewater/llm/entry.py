@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bin_packing, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, toxicity
+from tidewater.llm import bin_packing, embedding_dedup, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, toxicity
 from tidewater.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition_rules": quality_rules.ORACLE}
+    return {"op8_embedding_groups": embedding_dedup.ORACLE, "op1_repetition_rules": quality_rules.ORACLE}

@@ -1,0 +1,20 @@
+"""Schemas of bars, panels, trades, snapshots and net asset values, and the nulls they use."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BAR = "symbol string, frequency string, eob timestamp, open double, high double, low double, close double, volume double, amount double"
+TRADE = "created_at timestamp, symbol string, price double, volume double, side int, position_effect int, position_side int, order_type int, fee double, order_id string, filled_volume double, amount double"
+SNAPSHOT = "created_at timestamp, cash double, nav double, positions map<string, struct<volume: double, cost_price: double, price: double>>"
+ROUND_TRIP = "symbol string, profit double, open_time timestamp, close_time timestamp, open_price double, open_fee double, close_fee double, close_price double, volume double"
+NAV = "date date, assets double"
+BENCHMARK = "date date, close double"
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating-point NaN becomes null, so that aggregates skip it and comparisons are unknown."""
+    fixed = {f.name: F.when(F.isnan(f.name), F.lit(None)).otherwise(F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(fixed) if fixed else df

@@ -1 +1,171 @@
-"""Queries."""
+"""Queries on net asset values, benchmarks, trades and the ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.functions.stats import rounded
+from tidewater.operators import ledger, nav
+from tidewater.plans.catalog import query, r
+from tidewater.sources import bars
+
+KEYS = ["portfolio"]
+
+RET = "SELECT date, assets, assets / lag(assets) OVER (ORDER BY date) - 1 AS r, max(assets) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM nav"
+NAMES = ("return_rate", "annualized_return", "volatility", "sharpe_ratio", "max_drawdown", "var", "cvar", "ulcer_index", "sortino_ratio", "upi")
+
+
+def _nav(spark, d) -> DataFrame:
+    return nav.with_portfolio(bars.order_nav(spark, d))
+
+
+def _rounded(df: DataFrame, names, digits: int = 6) -> list:
+    return [rounded(n, digits).alias(n) for n in names]
+
+
+@query("nav_daily", "WITH {nav} SELECT * FROM nav", dates=("date",))
+def nav_daily(spark, d):
+    return bars.order_nav(spark, d)
+
+
+@query("nav_from_snapshots", "SELECT CAST(ts AS DATE) AS date, arg_max(value, ts) AS assets FROM events GROUP BY 1", dates=("date",))
+def nav_from_snapshots(spark, d):
+    return nav.daily_assets(bars.read(spark, d, "events").select(F.col("ts").alias("created_at"), F.col("event_id").alias("seq"), F.col("value").alias("nav")))
+
+
+@query("nav_returns", f"WITH {{nav}}, x AS ({RET}) SELECT date, {r('r')} AS r, {r('(peak - assets) / peak')} AS dd FROM x", dates=("date",))
+def nav_returns(spark, d):
+    return nav.returns(_nav(spark, d), KEYS).select("date", *_rounded(None, ["r", "dd"]))
+
+
+def _metrics_sql(source: str, extra: str = "", group: str = "") -> str:
+    """Metrics of slices in ``source(date, assets, g)``, one row for each ``g``."""
+    return f"""x AS (SELECT g, date, assets, assets / lag(assets) OVER (PARTITION BY g ORDER BY date) - 1 AS r, max(assets) OVER (PARTITION BY g ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM {source}),
+y AS (SELECT *, (peak - assets) / peak AS dd, count(r) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY r NULLS LAST, date) AS k FROM x),
+a AS (SELECT g, count(*) AS n_days, (arg_max(assets, date) - arg_min(assets, date)) / arg_min(assets, date) AS return_rate, date_diff('day', min(date), max(date)) AS days, stddev_pop(r) * sqrt(252) AS volatility,
+  max(dd) AS max_drawdown, -quantile_cont(r, 0.05) AS var, -avg(r) FILTER (k <= greatest(1, floor(n * 0.05 + 1e-9)) AND r IS NOT NULL) AS cvar, sqrt(avg((dd * 100) ** 2)) AS ulcer_index,
+  sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0.0 END)) AS down FROM y GROUP BY g),
+m AS (SELECT *, pow(1 + return_rate, 365.0 / days) - 1 AS annualized_return FROM a),
+z AS (SELECT *, (annualized_return - 0.02) / volatility AS sharpe_ratio, (annualized_return - 0.02) / (down * sqrt(252)) AS sortino_ratio, (annualized_return - 0.02) / (ulcer_index / 100) AS upi FROM m)
+SELECT {group}n_days, {', '.join(f'{r(n)} AS {n}' for n in NAMES)}{extra} FROM z"""
+
+
+@query("nav_metrics", "WITH {nav}, s AS (SELECT 1 AS g, * FROM nav), " + _metrics_sql("s", ", t.date AS trough_date").replace(" FROM z", " FROM z, (SELECT date FROM y ORDER BY dd DESC, date LIMIT 1) t"), dates=("trough_date",))
+def nav_metrics(spark, d):
+    x = nav.metrics(_nav(spark, d), KEYS)
+    return x.select("n_days", *_rounded(x, NAMES), "trough_date")
+
+
+@query(
+    "nav_periods",
+    "WITH {nav}, f AS (SELECT max(date) AS last, min(date) AS first FROM nav), "
+    "w AS (SELECT p, CASE WHEN p = 'ytd' THEN CAST(date_trunc('year', last) AS DATE) ELSE CAST(last - to_months(m) AS DATE) END AS since, first FROM f, (VALUES ('1m', 1), ('3m', 3), ('1y', 12), ('ytd', NULL), ('all', NULL)) v(p, m)), "
+    "b AS (SELECT p, coalesce(CASE WHEN p = 'ytd' THEN (SELECT min(date) FROM nav WHERE date >= since) ELSE (SELECT max(date) FROM nav WHERE date <= since AND date > first) END, (SELECT min(date) FROM nav WHERE date > first)) AS start FROM w), "
+    "c AS (SELECT p, coalesce((SELECT max(date) FROM nav WHERE date < start), (SELECT first FROM f)) AS base FROM b), "
+    "s AS (SELECT p AS g, date, assets FROM nav, c WHERE date >= base), " + _metrics_sql("s", group="g AS period, "),
+)
+def nav_periods(spark, d):
+    x = nav.metrics(nav.slices(_nav(spark, d), ["1m", "3m", "1y", "ytd", "all"]), ["portfolio", "period"])
+    return x.select("period", "n_days", *_rounded(x, NAMES))
+
+
+@query("nav_between", "WITH {nav}, s AS (SELECT 1 AS g, * FROM nav WHERE date >= (SELECT max(date) FROM nav WHERE date < DATE '1996-01-01') AND date <= DATE '1996-12-31'), " + _metrics_sql("s"))
+def nav_between(spark, d):
+    x = nav.metrics(nav.between(_nav(spark, d), "1996-01-01", "1996-12-31"), KEYS)
+    return x.select("n_days", *_rounded(x, NAMES))
+
+
+@query("nav_drawdown", f"WITH {{nav}}, x AS ({RET}) SELECT date, {r('-100 * (peak - assets) / peak')} AS drawdown FROM x", dates=("date",))
+def nav_drawdown(spark, d):
+    return nav.drawdowns(_nav(spark, d), KEYS).select("date", rounded("drawdown").alias("drawdown"))
+
+
+ALIGNED = "{nav}, {bench}, al AS (SELECT date, assets, last_value(nullif(close, 0) IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS benchmark FROM nav LEFT JOIN bench USING (date))"
+
+
+@query("benchmark_align", f"WITH {ALIGNED} SELECT date, assets, benchmark FROM al", dates=("date",))
+def benchmark_align(spark, d):
+    return nav.align_benchmark(_nav(spark, d), bars.ship_benchmark(spark, d)).select("date", "assets", "benchmark")
+
+
+@query(
+    "nav_excess",
+    f"WITH {ALIGNED}, p AS (SELECT date, 100 * (assets / first_value(assets) OVER w - 1) AS s, 100 * (benchmark / first_value(benchmark IGNORE NULLS) OVER w - 1) AS b FROM al WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)), "
+    f"e AS (SELECT *, s - b AS x FROM p) SELECT date, {r('s')} AS strategy_pct, {r('b')} AS benchmark_pct, {r('x')} AS excess_pct, {r('x - max(x) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS excess_drawdown FROM e",
+    dates=("date",),
+)
+def nav_excess(spark, d):
+    x = nav.excess(nav.align_benchmark(_nav(spark, d), bars.ship_benchmark(spark, d)), KEYS)
+    return x.select("date", *_rounded(x, ["strategy_pct", "benchmark_pct", "excess_pct", "excess_drawdown"]))
+
+
+@query(
+    "nav_client_metrics",
+    f"WITH {{nav}}, x AS ({RET}), y AS (SELECT *, (peak - assets) / peak AS dd, row_number() OVER (ORDER BY r NULLS LAST, date) AS k, count(r) OVER () AS n FROM x) "
+    f"SELECT {r('(arg_max(assets, date) - arg_min(assets, date)) / arg_min(assets, date)')} AS return_rate, {r('stddev_pop(r) * sqrt(252)')} AS volatility, {r('max(dd)')} AS max_drawdown, "
+    f"{r('-max(r) FILTER (k - 1 = floor(n * 0.05 + 1e-9))')} AS var, {r('sqrt(avg(dd * dd))')} AS ulcer_index FROM y",
+)
+def nav_client_metrics(spark, d):
+    x = nav.client_metrics(_nav(spark, d), KEYS)
+    return x.select(*_rounded(x, ["return_rate", "volatility", "max_drawdown", "var", "ulcer_index"]))
+
+
+# Trades -----------------------------------------------------------------------------------------------
+
+def _clip(spark, d):
+    return ledger.round_trips(bars.event_trades(spark, d), clip=True)
+
+
+def _trips(spark, d):
+    return _clip(spark, d).select("symbol", "open_time", "close_time", "open_price", rounded("open_fee", 6).alias("open_fee"), "close_fee", "close_price", "volume", rounded("profit", 6).alias("profit"))
+
+
+#: The same fold as a recursive query: trades of a symbol are numbered and taken one by one.
+FOLD = """
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY created_at, seq) AS k FROM trades),
+s AS (SELECT symbol, k, CASE WHEN side = 1 THEN volume ELSE 0.0 END AS v, CASE WHEN side = 1 THEN volume * price + fee ELSE 0.0 END AS cost, created_at AS ot, price AS op,
+        CASE WHEN side = 1 THEN fee ELSE 0.0 END AS of, NULL::DOUBLE AS q, NULL::DOUBLE AS profit, NULL::DOUBLE AS ofp, created_at AS ct, price AS cp, fee AS cf FROM n WHERE k = 1
+      UNION ALL
+      SELECT n.symbol, n.k,
+        CASE WHEN side = 1 THEN s.v + volume ELSE greatest(s.v - volume, 0.0) END,
+        CASE WHEN side = 1 AND s.v = 0 THEN volume * price + fee WHEN side = 1 THEN s.cost + (volume * price + fee) WHEN s.v > 0 THEN s.cost - least(volume, s.v) / s.v * s.cost ELSE s.cost END,
+        CASE WHEN s.v = 0 THEN created_at ELSE s.ot END, CASE WHEN s.v = 0 THEN price ELSE s.op END,
+        CASE WHEN s.v = 0 THEN fee WHEN side = 2 THEN s.of - least(volume, s.v) / s.v * s.of ELSE s.of END,
+        CASE WHEN side = 2 AND s.v > 0 THEN least(volume, s.v) END, CASE WHEN side = 2 AND s.v > 0 THEN least(volume, s.v) * price - least(volume, s.v) / s.v * s.cost - fee END,
+        CASE WHEN side = 2 AND s.v > 0 THEN least(volume, s.v) / s.v * s.of END, created_at, price, fee
+      FROM s JOIN n ON n.symbol = s.symbol AND n.k = s.k + 1),
+trips AS (SELECT symbol, profit, ot AS open_time, ct AS close_time, op AS open_price, ofp AS open_fee, cf AS close_fee, cp AS close_price, q AS volume FROM s WHERE q IS NOT NULL)"""
+
+
+@query("roundtrips", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, open_time, close_time, open_price, {r('open_fee', 6)} AS open_fee, close_fee, close_price, volume, {r('profit', 6)} AS profit FROM trips")
+def roundtrips(spark, d):
+    return _trips(spark, d)
+
+
+@query(
+    "trade_metrics",
+    "WITH RECURSIVE {trades}," + FOLD + ", a AS (SELECT avg(CASE WHEN profit > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(profit) FILTER (profit > 0) AS avg_profit, avg(profit) FILTER (profit < 0) AS avg_loss, "
+    "avg(profit / (abs(volume) * open_price)) FILTER (profit > 0) AS avg_profit_pct, avg(profit / (abs(volume) * open_price)) FILTER (profit < 0) AS avg_loss_pct, avg(floor((epoch(close_time) - epoch(open_time)) / 86400)) AS avg_holding_days, count(*) AS n FROM trips), "
+    "b AS (SELECT *, abs(avg_profit / avg_loss) AS profit_loss_ratio FROM a) "
+    "SELECT n, " + ", ".join(f"{r(x, 4)} AS {x}" for x in ("win_rate", "avg_profit", "avg_loss", "avg_profit_pct", "avg_loss_pct", "avg_holding_days", "profit_loss_ratio")) + f", {r('win_rate - (1 - win_rate) / profit_loss_ratio', 4)} AS kelly FROM b",
+)
+def trade_metrics(spark, d):
+    x = ledger.trade_metrics(_clip(spark, d))
+    return x.select("n", *[rounded(c, 4).alias(c) for c in ("win_rate", "avg_profit", "avg_loss", "avg_profit_pct", "avg_loss_pct", "avg_holding_days", "profit_loss_ratio", "kelly")])
+
+
+@query("top_trades", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, close_time, {r('profit', 6)} AS profit FROM trips ORDER BY trips.profit DESC, close_time LIMIT 10")
+def top_trades(spark, d):
+    return ledger.top_trades(_clip(spark, d), 10).select("symbol", "close_time", rounded("profit", 6).alias("profit"))
+
+
+@query("worst_trades", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, close_time, {r('profit', 6)} AS profit FROM trips ORDER BY trips.profit, close_time LIMIT 10")
+def worst_trades(spark, d):
+    return ledger.top_trades(_clip(spark, d), 10, worst=True).select("symbol", "close_time", rounded("profit", 6).alias("profit"))
+
+
+@query("ledger_backtest")
+def ledger_backtest(spark, d):
+    """Every user's trades replayed through an account of their own."""
+    return ledger.replay(bars.event_trades(spark, d).withColumn("account", F.col("symbol")), cash=100_000.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,5 +94,5 @@ def event_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("ts").alias("created_at"), F.col("user_id").alias("symbol"), F.col("value").alias("price"), lots.cast("double").alias("volume"),
         F.when(F.col("event_type").isin("purchase", "view", "signup"), 1).otherwise(2).alias("side"),
-        F.greatest(F.round(F.col("value") * lots * 0.0003, 2), F.lit(5.0)).alias("fee"),
+        F.greatest(F.round(F.col("value").cast("decimal(18,2)") * lots.cast("int") * F.lit(Decimal("0.0003")), 2).cast("double"), F.lit(5.0)).alias("fee"),
     )

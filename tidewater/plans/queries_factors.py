@@ -1 +1,238 @@
-"""Queries."""
+"""Queries on factor panels: factors, validation, weights, orthogonalisation and combination."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.functions.stats import rounded
+from tidewater.operators import combine, factors
+from tidewater.plans.catalog import query, r
+from tidewater.sources import bars
+
+#: Three-month momentum ``f``, a second factor ``v``, and next month's return ``ret``, rounded so that ranks and comparisons agree.
+BASE = """{panel}, fx AS (SELECT date, symbol, round(close / lag(close, 3) OVER w - 1, 9) AS f, round(volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) - 1, 9) AS v,
+    round(lead(close) OVER w / close - 1, 9) AS ret, dense_rank() OVER (ORDER BY date) - 1 AS di FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+nd AS (SELECT count(DISTINCT date) AS n FROM panel), al AS (SELECT fx.* FROM fx, nd WHERE di BETWEEN 1 AND n - 2)"""
+
+
+def panel(spark, d) -> DataFrame:
+    p = factors.future_return(factors.momentum(bars.supplier_panel(spark, d), 3, "f"), "ret")
+    v = F.try_divide(F.col("volume"), F.avg("volume").over(factors.PANEL.last(3))) - 1
+    return p.withColumn("v", F.round(v, 9)).withColumns({"f": F.round("f", 9), "ret": F.round("ret", 9)}).select("date", "symbol", "close", "volume", "f", "v", "ret")
+
+
+def _out(df: DataFrame, *names: str, keys=("date", "symbol")) -> DataFrame:
+    return df.select(*keys, *(rounded(n).alias(n) for n in names))
+
+
+def roll(agg: str, x: str, n: int) -> str:
+    w = f"OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {w} = {n} THEN {agg}({x}) {w} END"
+
+
+@query("panel_monthly", "WITH {panel} SELECT date, symbol, close, volume FROM panel")
+def panel_monthly(spark, d):
+    return bars.supplier_panel(spark, d).select("date", "symbol", "close", "volume")
+
+
+@query("factor_lnclose", f"WITH {{panel}} SELECT date, symbol, {r('ln(close)')} AS ln_close FROM panel")
+def factor_lnclose(spark, d):
+    return _out(factors.ln_close(bars.supplier_panel(spark, d)), "ln_close")
+
+
+@query("factor_momentum", f"WITH {{panel}} SELECT date, symbol, {r('close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) - 1')} AS momentum FROM panel")
+def factor_momentum(spark, d):
+    return _out(factors.momentum(bars.supplier_panel(spark, d)), "momentum")
+
+
+@query("factor_volume", f"WITH {{panel}} SELECT date, symbol, {r('volume / (' + roll('avg', 'volume', 20) + ') - 1')} AS volume_factor FROM panel")
+def factor_volume(spark, d):
+    return _out(factors.volume(bars.supplier_panel(spark, d)), "volume_factor")
+
+
+@query("factor_volatility", f"WITH {{panel}}, x AS (SELECT date, symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS rr FROM panel) SELECT date, symbol, {r(roll('stddev_samp', 'rr', 20))} AS volatility FROM x")
+def factor_volatility(spark, d):
+    return _out(factors.volatility(bars.supplier_panel(spark, d)), "volatility")
+
+
+@query("factor_graph", f"WITH {{panel}}, x AS (SELECT date, symbol, ln(close) AS l FROM panel) SELECT date, symbol, {r('l')} AS ln_close, {r('l - lag(l) OVER (PARTITION BY symbol ORDER BY date)')} AS ln_change FROM x")
+def factor_graph(spark, d):
+    g = factors.FactorGraph()
+    g.register("ln_change", lambda p: p.withColumn("ln_change", factors.PANEL.diff("ln_close")), ("ln_close",))
+    g.register("ln_close", factors.ln_close)
+    return _out(g.calculate(bars.supplier_panel(spark, d), ["ln_change"]), "ln_close", "ln_change")
+
+
+@query("factor_complete_field", "WITH {panel}, d AS (SELECT DISTINCT date FROM panel), s AS (SELECT DISTINCT symbol FROM panel) SELECT d.date, s.symbol, volume FROM d CROSS JOIN s LEFT JOIN panel USING (date, symbol)")
+def factor_complete_field(spark, d):
+    p = bars.supplier_panel(spark, d)
+    return bars.complete_field(p, p.select("date").distinct(), p.select("symbol").distinct(), "volume")
+
+
+BUCKET = "b AS (SELECT *, CASE WHEN f IS NOT NULL AND count(f) OVER (PARTITION BY date) >= 10 THEN CAST(greatest(1, ceil(10 * (row_number() OVER (PARTITION BY date ORDER BY f NULLS LAST, symbol) - 1) / (count(f) OVER (PARTITION BY date) - 1))) AS INT) END AS bucket FROM fx)"
+
+
+@query("decile_assign", f"WITH {BASE}, {BUCKET} SELECT date, symbol, bucket FROM b WHERE bucket IS NOT NULL")
+def decile_assign(spark, d):
+    return factors.buckets(panel(spark, d), "f").select("date", "symbol", "bucket").where("bucket is not null")
+
+
+SPEARMAN = """k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY f) + (count(*) OVER (PARTITION BY date, f) - 1) / 2.0 AS x,
+    rank() OVER (PARTITION BY date ORDER BY ret) + (count(*) OVER (PARTITION BY date, ret) - 1) / 2.0 AS y FROM al WHERE f IS NOT NULL AND ret IS NOT NULL),
+ic AS (SELECT date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic FROM k GROUP BY date HAVING count(*) >= 10 AND covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) IS NOT NULL)"""
+
+
+def _ics(spark, d, factor: str = "f") -> DataFrame:
+    p = panel(spark, d)
+    return factors.ic_by_date(factors.aligned(p, factor, "ret"), factor, "ret")
+
+
+@query("ic_spearman", f"WITH {BASE}, {SPEARMAN} SELECT date, {r('ic')} AS ic FROM ic")
+def ic_spearman(spark, d):
+    return _out(_ics(spark, d), "ic", keys=("date",))
+
+
+@query("ic_pearson", f"WITH {BASE} SELECT date, {r('covar_pop(f, ret) / nullif(stddev_pop(f) * stddev_pop(ret), 0)')} AS ic FROM al WHERE f IS NOT NULL AND ret IS NOT NULL GROUP BY date HAVING count(*) >= 10")
+def ic_pearson(spark, d):
+    p = panel(spark, d)
+    return _out(factors.ic_by_date(factors.aligned(p, "f", "ret"), "f", "ret", "pearson"), "ic", keys=("date",))
+
+
+@query("ic_shifted", f"WITH {BASE}, s AS (SELECT date, f, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS ret FROM fx) SELECT date, {r('covar_pop(f, ret) / nullif(stddev_pop(f) * stddev_pop(ret), 0)')} AS ic FROM s WHERE f IS NOT NULL AND ret IS NOT NULL GROUP BY date HAVING count(*) >= 10")
+def ic_shifted(spark, d):
+    return _out(factors.ic_by_date(factors.aligned(panel(spark, d), "f", "ret", 1, "shifted"), "f", "ret", "pearson"), "ic", keys=("date",))
+
+
+@query(
+    "ic_summary",
+    f"WITH {BASE}, {SPEARMAN} SELECT {r('avg(ic)')} AS ic_mean, {r('stddev_pop(ic)')} AS ic_std, {r('avg(ic) / stddev_pop(ic)')} AS ic_ir, {r('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_ratio, "
+    f"{r('avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))')} AS t_stat, count(ic) AS n FROM ic",
+)
+def ic_summary(spark, d):
+    return factors.ic_summary(_ics(spark, d)).select(*(rounded(c).alias(c) for c in ("ic_mean", "ic_std", "ic_ir", "positive_ratio", "t_stat")), "n")
+
+
+@query(
+    "turnover",
+    f"WITH {BASE}, {BUCKET}, m AS (SELECT a.date, (a.bucket <> z.bucket)::INT::DOUBLE AS moved, z.bucket AS was FROM b a JOIN b z ON a.symbol = z.symbol AND a.di = z.di + 1 WHERE a.bucket IS NOT NULL AND z.bucket IS NOT NULL) "
+    f"SELECT date, {r('avg(moved)')} AS turnover, {r('avg(moved) FILTER (was = 10)')} AS top, {r('avg(moved) FILTER (was = 1)')} AS bottom FROM m GROUP BY date",
+)
+def turnover(spark, d):
+    return _out(factors.turnover(panel(spark, d), "f"), "turnover", "top", "bottom", keys=("date",))
+
+
+@query(
+    "ic_decay",
+    f"WITH {BASE.replace('BETWEEN 1 AND n - 2', 'BETWEEN 0 AND n - 1')}, {SPEARMAN}, i AS (SELECT ic.*, di, n FROM ic JOIN (SELECT DISTINCT date, di FROM fx) USING (date), nd), "
+    f"x AS (SELECT k.k, ic FROM i, generate_series(1, 20) AS k(k) WHERE k.k <= n // 2 - 1 AND di BETWEEN k.k AND n - 1 - k.k) SELECT CAST(k AS INT) AS k, {r('avg(ic)')} AS ic_mean, count(ic) AS n FROM x GROUP BY k",
+)
+def ic_decay(spark, d):
+    return factors.ic_decay(panel(spark, d), "f", "ret").select("k", rounded("ic_mean").alias("ic_mean"), "n")
+
+
+GROUPS = BASE.replace(", al AS", f", {BUCKET}, al AS").replace("SELECT fx.* FROM fx, nd", "SELECT b.* FROM b, nd")
+GR = ", g1 AS (SELECT date, bucket, avg(ret) AS m FROM al WHERE bucket IS NOT NULL AND ret IS NOT NULL GROUP BY date, bucket), g AS (SELECT bucket, avg(m) AS mean_return, count(m) AS n_dates FROM g1 GROUP BY bucket)"
+
+
+@query("group_returns", f"WITH {GROUPS}{GR} SELECT bucket, {r('mean_return')} AS mean_return, n_dates FROM g")
+def group_returns(spark, d):
+    return factors.group_returns(panel(spark, d), "f", "ret").select("bucket", rounded("mean_return").alias("mean_return"), "n_dates")
+
+
+@query("group_returns_weighted", f"WITH {GROUPS.replace('round(lead(close)', 'volume, round(lead(close)')}, g1 AS (SELECT date, bucket, sum(ret * volume) / sum(volume) AS m FROM al WHERE bucket IS NOT NULL AND ret IS NOT NULL GROUP BY date, bucket) SELECT bucket, {r('avg(m)')} AS mean_return, count(m) AS n_dates FROM g1 GROUP BY bucket")
+def group_returns_weighted(spark, d):
+    return factors.group_returns(panel(spark, d), "f", "ret", weight="volume").select("bucket", rounded("mean_return").alias("mean_return"), "n_dates")
+
+
+@query("monotonicity", f"WITH {GROUPS}{GR}, k AS (SELECT rank() OVER (ORDER BY bucket) AS x, rank() OVER (ORDER BY mean_return) AS y, bucket, mean_return FROM g) SELECT {r('arg_max(mean_return, bucket) - arg_min(mean_return, bucket)')} AS spread, {r('abs(corr(x, y))')} AS monotonicity FROM k")
+def monotonicity(spark, d):
+    x = factors.monotonicity(factors.group_returns(panel(spark, d), "f", "ret"))
+    return x.select(rounded("spread").alias("spread"), rounded("monotonicity").alias("monotonicity"))
+
+
+@query(
+    "hit_rate",
+    f"WITH {BASE}, v AS (SELECT date, f, ret FROM al WHERE f IS NOT NULL AND ret IS NOT NULL), m AS (SELECT date, quantile_cont(f, 0.5) AS mf, quantile_cont(ret, 0.5) AS mr FROM v GROUP BY date HAVING count(*) >= 10) "
+    f"SELECT CAST(sum(((f > mf) = (ret > mr))::INT) AS BIGINT) AS hits, count(*) AS n, {r('avg(((f > mf) = (ret > mr))::INT)')} AS hit_rate FROM v JOIN m USING (date)",
+)
+def hit_rate(spark, d):
+    return factors.hit_rate(panel(spark, d), "f", "ret").withColumn("hit_rate", rounded("hit_rate"))
+
+
+@query(
+    "stability",
+    f"WITH {BASE}, {SPEARMAN}, s AS (SELECT ic, CASE WHEN count(ic) OVER w = 60 THEN stddev_samp(ic) OVER w END AS sd, product(1 + ic) OVER u AS c, lag(ic, 1) OVER o AS l1, lag(ic, 2) OVER o AS l2, lag(ic, 3) OVER o AS l3, lag(ic, 4) OVER o AS l4, lag(ic, 5) OVER o AS l5 "
+    "FROM ic WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), u AS (ORDER BY date ROWS UNBOUNDED PRECEDING), o AS (ORDER BY date)), "
+    "p AS (SELECT s.*, max(c) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, row_number() OVER () AS rn FROM s) s) "
+    f"SELECT {r('avg(sd)')} AS mean_rolling_std, {r('min((c - pk) / pk)')} AS max_ic_drawdown, " + ", ".join(f"{r(f'corr(ic, l{k})')} AS autocorr_{k}" for k in range(1, 6)) + " FROM p",
+)
+def stability(spark, d):
+    x = factors.stability(_ics(spark, d))
+    return x.select(*(rounded(c).alias(c) for c in ("mean_rolling_std", "max_ic_drawdown", *(f"autocorr_{k}" for k in range(1, 6)))))
+
+
+@query("valid_ratio", f"WITH {BASE} SELECT count(f) AS valid, count(*) AS cells, {r('count(f) / count(*)')} AS valid_ratio FROM fx")
+def valid_ratio(spark, d):
+    return factors.valid_ratio(panel(spark, d), "f").withColumn("valid_ratio", rounded("valid_ratio"))
+
+
+# Weights and combination ------------------------------------------------------------------------------
+
+TWO = SPEARMAN + ", " + SPEARMAN.replace("k AS", "k2 AS").replace("FROM k ", "FROM k2 ").replace("ic AS (SELECT date", "ic2 AS (SELECT date").replace("BY f)", "BY v)").replace("date, f)", "date, v)").replace("WHERE f IS", "WHERE v IS")
+ABS_IC = "i AS (SELECT (SELECT abs(avg(ic)) FROM ic) AS a, (SELECT abs(avg(ic)) FROM ic2) AS b)"
+PAIR = "SELECT 'f' AS factor, {0} AS weight FROM {2} UNION ALL SELECT 'v', {1} FROM {2}"
+COV = "c AS (SELECT covar_samp(f, f) AS ff, covar_samp(v, v) AS vv, covar_samp(CASE WHEN v IS NOT NULL THEN f END, CASE WHEN f IS NOT NULL THEN v END) AS fv FROM fx)"
+
+
+def _weights(name: str, method: str, sql: str) -> None:
+    @query(name, f"WITH {BASE}, {sql}")
+    def run(spark, d):
+        p = panel(spark, d)
+        w = combine.weights(p, ["f", "v"], method, "ret")
+        return combine.weight_rows(p, w).withColumn("weight", rounded("weight"))
+
+
+_weights("w_equal", "equal_weight", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))
+_weights("w_maxdiv", "max_diversification", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))
+_weights("w_ic", "ic_weight", f"{TWO}, {ABS_IC} " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "i"))
+_weights("w_ir", "ir_weight", f"{TWO}, i AS (SELECT (SELECT abs(avg(ic) / stddev_pop(ic)) FROM ic) AS a, (SELECT abs(avg(ic) / stddev_pop(ic)) FROM ic2) AS b) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "i"))
+_weights("w_minvar", "min_variance", f"{COV}, m AS (SELECT greatest(vv - fv, 0) AS a, greatest(ff - fv, 0) AS b FROM c) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
+_weights("w_maxsharpe", "max_sharpe", f"{TWO}, {ABS_IC}, {COV}, m AS (SELECT greatest(vv * i.a - fv * i.b, 0) AS a, greatest(ff * i.b - fv * i.a, 0) AS b FROM c, i) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
+_weights("w_riskparity", "risk_parity", "m AS (SELECT 1 / stddev_pop(f) AS a, 1 / stddev_pop(v) AS b FROM fx) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
+_weights("w_pca", "pca", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))  # of two factors both loadings are equal
+
+
+@query(
+    "orth_residual",
+    f"WITH {BASE}, g AS (SELECT regr_slope(v, f) AS b, regr_intercept(v, f) AS a FROM fx) SELECT date, symbol, {r('f')} AS f, {r('v - (a + b * f)')} AS v FROM fx, g",
+)
+def orth_residual(spark, d):
+    return _out(combine.orthogonalize(panel(spark, d), ["f", "v"], "residual"), "f", "v")
+
+
+@query(
+    "orth_gs",
+    f"WITH {BASE}, o AS (SELECT sum(f * f) AS ff, sum(f * v) AS fv, sum(v * v) AS vv FROM fx WHERE f IS NOT NULL AND v IS NOT NULL) "
+    f"SELECT date, symbol, {r('CASE WHEN v IS NOT NULL THEN f / sqrt(ff) END')} AS f, {r('(v - fv / ff * f) / sqrt(vv - fv * fv / ff)')} AS v FROM fx, o",
+)
+def orth_gs(spark, d):
+    return _out(combine.orthogonalize(panel(spark, d), ["f", "v"], "gram_schmidt"), "f", "v")
+
+
+@query(
+    "orth_pca",
+    f"WITH {BASE}, o AS (SELECT avg(f) AS mf, stddev_pop(f) AS sf, avg(v) AS mv, stddev_pop(v) AS sv, sign(corr(f, v)) AS s FROM fx WHERE f IS NOT NULL AND v IS NOT NULL), "
+    "z AS (SELECT date, symbol, (f - mf) / sf AS a, (v - mv) / sv AS b, s FROM fx, o) "
+    f"SELECT date, symbol, {r('abs(a + s * b) / sqrt(2)')} AS f, {r('abs(a - s * b) / sqrt(2)')} AS v FROM z",
+)
+def orth_pca(spark, d):
+    """Sizes of the scores: with two factors both loadings of a component are equal, so its sign is a matter of rounding."""
+    x = combine.orthogonalize(panel(spark, d), ["f", "v"], "pca")
+    return _out(x.withColumns({"f": F.abs("f"), "v": F.abs("v")}), "f", "v")
+
+
+@query("combine_factors", f"WITH {BASE}, {TWO}, {ABS_IC} SELECT date, symbol, {r('a / (a + b) * f + b / (a + b) * v')} AS combined FROM fx, i")
+def combine_factors(spark, d):
+    p = panel(spark, d)
+    return _out(combine.combine(p, combine.weights(p, ["f", "v"], "ic_weight", "ret")), "combined")

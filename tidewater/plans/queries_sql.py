@@ -1 +1,163 @@
-"""Queries."""
+"""Queries made with the SQL builder, paging, and report data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.functions.stats import rounded
+from tidewater.plans import report
+from tidewater.plans.catalog import query, r
+from tidewater.plans.library import FactorLibrary
+from tidewater.plans.sqlbuilder import Database, page_count, sorted_page, top_per_key
+from tidewater.sources import bars
+
+
+def _db(spark, d, *names: str) -> Database:
+    db = Database(spark)
+    for n in names:
+        db.register(n, bars.read(spark, d, n))
+    return db
+
+
+@query(
+    "sql_where_ops",
+    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_nationkey IN (1, 2, 3, 7, 9) AND c_mktsegment IS NOT NULL AND c_name ILIKE 'cust%' AND c_mktsegment <> 'BUILDING' OR c_custkey <= 5",
+)
+def sql_where_ops(spark, d):
+    q = _db(spark, d, "customer").table("customer").fields(["c_custkey", "c_name", "c_acctbal"])
+    q.where({"c_acctbal": ("between", [0.0, 5000.0]), "c_nationkey": ("in", [1, 2, 3, 7, 9]), "c_mktsegment": ("is not", None), "c_name": ("like", "cust%")})
+    return q.where("c_mktsegment", ("<>", "BUILDING")).where("c_custkey", ("<=", 5), method="or").df()
+
+
+@query("sql_where_wrap", "SELECT c_custkey FROM customer WHERE c_nationkey = 1 AND (c_acctbal > 9000 OR c_acctbal < 0)")
+def sql_where_wrap(spark, d):
+    q = _db(spark, d, "customer").table("customer").fields("c_custkey").where("c_nationkey", 1)
+    return q.where({"c_acctbal": (">", 9000.0)}, wrap="(").where("c_acctbal", ("<", 0.0), method="or", wrap=")").df()
+
+
+@query("sql_join_left", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def sql_join_left(spark, d):
+    q = _db(spark, d, "customer", "nation", "region").table("customer").fields("c_custkey, n_name, r_name")
+    return q.left_join("nation", "c_nationkey = n_nationkey").left_join("region", "n_regionkey = r_regionkey").df()
+
+
+@query("sql_join_theta", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey >= r_regionkey")
+def sql_join_theta(spark, d):
+    return _db(spark, d, "nation", "region").table("nation").fields(["n_name", "r_name"]).join("region", "n_regionkey >= r_regionkey").df()
+
+
+@query("sql_group", "SELECT n_name, count(*) AS n, round(sum(CAST(c_acctbal AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def sql_group(spark, d):
+    q = _db(spark, d, "customer", "nation").table("customer").inner_join("nation", "c_nationkey = n_nationkey")
+    return q.fields("n_name, count(*) as n, cast(sum(cast(c_acctbal as decimal(18,2))) as double) as total").group_by("n_name").df()
+
+
+@query("sql_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
+def sql_page(spark, d):
+    return _db(spark, d, "customer").table("customer").fields(["c_custkey", "c_acctbal"]).order_by("c_acctbal desc, c_custkey").page(3, 20).df()
+
+
+@query("sql_raw", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+def sql_raw(spark, d):
+    return _db(spark, d, "orders").query("select o_orderpriority, count(*) as n from orders where o_totalprice > ? group by o_orderpriority", [1000.0])
+
+
+def _split(spark, d):
+    c = bars.read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    db = Database(spark)
+    db.register("accounts", c.where("c_custkey % 3 <> 0"))
+    return db, c.where("c_custkey % 3 <> 1").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+
+
+@query("sql_upsert_replace", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def sql_upsert_replace(spark, d):
+    db, new = _split(spark, d)
+    return db.table("accounts").insert(new, ["c_custkey"], "replace")
+
+
+@query("sql_upsert_ignore", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def sql_upsert_ignore(spark, d):
+    db, new = _split(spark, d)
+    return db.table("accounts").insert(new, ["c_custkey"], "ignore")
+
+
+@query("sql_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_nationkey = 5 THEN 'frozen' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def sql_update(spark, d):
+    return _db(spark, d, "customer").table("customer").where({"c_acctbal": ("<", 0.0), "c_nationkey": 5}).update({"c_mktsegment": "frozen"}).select("c_custkey", "c_mktsegment")
+
+
+@query("sql_delete", "SELECT c_custkey FROM customer WHERE NOT coalesce(c_mktsegment = 'MACHINERY' AND c_acctbal > 100, false)")
+def sql_delete(spark, d):
+    return _db(spark, d, "customer").table("customer").where("c_mktsegment", "MACHINERY").where("c_acctbal", (">", 100.0)).delete().select("c_custkey")
+
+
+@query("sort_multi_page", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25")
+def sort_multi_page(spark, d):
+    c = bars.read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return sorted_page(c, [("c_nationkey", False), ("c_acctbal", True), ("c_custkey", False)], 2, 25)
+
+
+@query("page_count", "SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM customer")
+def pages(spark, d):
+    return page_count(bars.read(spark, d, "customer"), 25)
+
+
+@query("top_per_key", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 5")
+def top_rows(spark, d):
+    e = bars.read(spark, d, "events").select("event_type", "event_id", "value")
+    return top_per_key(e, ["event_type"], [F.desc("value"), "event_id"], 5)
+
+
+@query("set_difference", "SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49")
+def set_difference(spark, d):
+    return bars.read(spark, d, "supplier").select("s_suppkey").exceptAll(bars.read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")).distinct())
+
+
+@query("set_intersection", "SELECT DISTINCT CAST(o_orderdate AS DATE)::TIMESTAMP AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem)")
+def set_intersection(spark, d):
+    x = bars.order_nav(spark, d).select("date").intersect(bars.ship_benchmark(spark, d).select("date"))
+    return x.select(F.col("date").cast("timestamp").alias("date"))
+
+
+# Report data ------------------------------------------------------------------------------------------
+
+
+@query("heat_scale", "WITH {days} SELECT symbol, eob, " + r("(close - min(close) OVER w) / (max(close) OVER w - min(close) OVER w)") + " AS scale FROM days WINDOW w AS (PARTITION BY symbol)")
+def heat_scale(spark, d):
+    return report.color_scale(bars.event_bars(spark, d, "day"), "close", ["symbol"]).select("symbol", "eob", rounded("scale").alias("scale"))
+
+
+@query("stack_percent", "WITH {days} SELECT symbol, eob, " + r("100 * volume / sum(volume) OVER (PARTITION BY eob)") + " AS percent FROM days")
+def stack_percent(spark, d):
+    return report.stack_percent(bars.event_bars(spark, d, "day"), "eob", "volume").select("symbol", "eob", rounded("percent").alias("percent"))
+
+
+@query("kline_rows", "WITH {days} SELECT eob AS x, open AS o, close AS c, low AS l, high AS h FROM days WHERE symbol = 'view'")
+def kline_rows(spark, d):
+    k = report.kline(bars.event_bars(spark, d, "day").where("symbol = 'view'"), "eob")
+    return k.select("x", *(F.element_at("ohlc", i + 1).alias(n) for i, n in enumerate("oclh")))
+
+
+@query("chart_series", "WITH {days} SELECT symbol, eob AS x, name, value FROM (UNPIVOT (SELECT symbol, eob, open, close FROM days) ON open, close INTO NAME name VALUE value)")
+def chart_series(spark, d):
+    b = bars.event_bars(spark, d, "day")
+    parts: list[DataFrame] = [report.series(b.where(F.col("symbol") == s), "eob", ["open", "close"]).withColumn("symbol", F.lit(s)) for s in ("click", "error", "purchase", "signup", "view")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("heatmap_cells", "WITH {days} SELECT dense_rank() OVER (ORDER BY eob) - 1 AS xi, dense_rank() OVER (ORDER BY symbol) - 1 AS yi, volume AS value FROM days")
+def heatmap_cells(spark, d):
+    return report.heatmap(bars.event_bars(spark, d, "day"), "symbol", "eob", "volume").select(F.col("xi").cast("long").alias("xi"), F.col("yi").cast("long").alias("yi"), "value")
+
+
+@query("library_statistics", "SELECT * FROM (VALUES ('author', 'ann', 3), ('category', 'price', 1), ('category', 'volume', 1), ('status', 'active', 2), ('status', 'draft', 1)) t(kind, value, n)")
+def library_statistics(spark, d):
+    lib = FactorLibrary(spark)
+    lib.register("momentum", "1.0.9", category="price", author="ann", tags=["trend"], status="active")
+    lib.register("momentum", category="price", author="ann")
+    lib.register("turnover", category="volume", author="ann", status="active")
+    return lib.statistics()

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Live bars with Structured Streaming."""

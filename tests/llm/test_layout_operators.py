@@ -135,5 +135,6 @@ def test_stretches():
 
 
 def test_frame_is_numbered_by_content(odd):
-    n = source_mixing.numbered(odd, "doc_id", "text").toPandas()
-    assert sorted(n[n.doc_id == 3]._nth) == [1, 2, 3] and isinstance(n, pd.DataFrame)
+    d, nth = source_mixing.numbered(odd, "doc_id", "text")
+    n = d.toPandas()
+    assert nth not in odd.columns and sorted(n[n.doc_id == 3][nth]) == [1, 2, 3] and isinstance(n, pd.DataFrame)

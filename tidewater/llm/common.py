@@ -32,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local temporary one only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -76,7 +76,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     raw = _counts(docs.select(F.col(text_col).alias("text")))
     good = labels.where(learn_side(id_col) & (F.col(label_col) == 1)).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_target)
     # A bounded number of ids, so broadcasting them is bounded too.
-    target = _counts(docs.join(F.broadcast(good), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(text_col).alias("text")))
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    target = _counts(own.join(F.broadcast(good), F.col("_doc") == F.col("_id"), "left_semi").select("text"))
     if not target.sum():
         return np.zeros(BUCKETS)
     # The raw model is the target model's prior, so rare buckets lean to a ratio of one.

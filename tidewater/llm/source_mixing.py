@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, positions, prepare
+from tidewater.llm.common import fresh, materialize, positions, prepare
 
 BLOCK = 256
 SLOTS = 1024
@@ -116,7 +116,8 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     spark = df.sparkSession
     prepare(spark)
-    sized = materialize(numbered(df, id_col, text_col).select(F.col(id_col).alias("doc_id"), "_nth", F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    rows, nth = numbered(df, id_col, text_col)
+    sized = materialize(rows.select(F.col(id_col).alias("doc_id"), F.col(nth).alias("_nth"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     per = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     want = targets(per, weights, cap)
     order = sorted(want, key=lambda s: (s is None, s or ""))
@@ -170,11 +171,12 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed, mix
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with ``_nth``, the row's number among rows of the same id (in the order of their texts' hashes)."""
-    w = Window.partitionBy(id_col).orderBy("_hash")
-    d = df.withColumn("_hash", F.xxhash64(text_col, *[c for c in df.columns if c not in (id_col, text_col)]))
-    return d.withColumn("_nth", F.row_number().over(w).cast("int")).drop("_hash")
+def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``df`` with the row's number among rows of the same id (in the order of their texts' hashes), and that column's name."""
+    nth, hash_ = fresh(df, "_nth"), fresh(df, "_hash")
+    w = Window.partitionBy(id_col).orderBy(hash_)
+    d = df.withColumn(hash_, F.xxhash64(text_col, *[c for c in df.columns if c not in (id_col, text_col)]))
+    return d.withColumn(nth, F.row_number().over(w).cast("int")).drop(hash_), nth
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -196,20 +198,20 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     last word's last.
     """
     _, mix = mix_blocks(df, id_col, text_col, source_col, **how)
-    spans = mix.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("uses", "at", "length")).alias("_spans"))  # bounded by the text's own blocks
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("nth").alias("_n"), "_spans")
-    rows = numbered(df, id_col, text_col)
-    joined = rows.join(spans, (rows[id_col] == F.col("_id")) & (F.col("_nth") == F.col("_n"))).drop("_id", "_n", "_nth")
+    key, number, list_ = fresh(df, "_id"), fresh(df, "_n"), fresh(df, "_spans")
+    spans = mix.groupBy(F.col("doc_id").alias(key), F.col("nth").alias(number)).agg(F.collect_list(F.struct("uses", "at", "length")).alias(list_))  # bounded by the text's own blocks
+    rows, nth = numbered(df, id_col, text_col)
+    joined = rows.join(spans, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(nth) == F.col(number))).drop(key, number, nth)
     counted = "n_chars" in df.columns
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, texts = [], []
-            for k, (text, spans) in enumerate(zip(b[text_col], b["_spans"])):
+            for k, (text, spans) in enumerate(zip(b[text_col], b[list_])):
                 for t in stretches(text, [(s["uses"], s["at"], s["length"]) for s in spans]):
                     at.append(k)
                     texts.append(t)
-            out = b.drop(columns="_spans").iloc[at].copy()
+            out = b.drop(columns=list_).iloc[at].copy()
             out[text_col] = texts
             if counted:
                 out["n_chars"] = [len(t) for t in texts]

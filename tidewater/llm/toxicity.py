@@ -196,7 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where("_y = 1").orderBy("_o").limit(max_rows).unionByName(known.where("_y = 0").orderBy("_o").limit(max_rows))
     at = F.pmod(F.col("_o"), F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1) + 1
     text = F.substring(F.col(text_col), at.cast("int"), F.lit(max_chars))
-    got = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(text.alias("t"), "_y", "_o")
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    got = own.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(text.alias("t"), "_y", "_o")
     return train([(r["t"], r["_y"]) for r in sorted(got.collect(), key=lambda r: (r["_o"], r["t"]))])
 
 

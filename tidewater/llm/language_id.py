@@ -78,8 +78,11 @@ class Model:
         return self.langs[k], float(p[k] / p.sum())
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model:
-    """A model of ``(text, language)`` pairs; every fifth is held back for calibration."""
+def train(rows: list[tuple[str, str]], epochs: int = 6, steps_least: int = 200, rate: float = 4.0, seed: int = 7) -> Model:
+    """A model of ``(text, language)`` pairs; every fifth is held back for calibration.
+
+    There are as many epochs more as it takes to make ``steps_least`` steps of few pairs.
+    """
     bags = [(np.concatenate(ids), lang) for text, lang in rows if (ids := list(subwords(text)))]
     langs = sorted({lang for _, lang in bags})
     if not langs:
@@ -91,6 +94,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed:
     out = np.zeros((DIM, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
     batch, steps = 32, 0
+    epochs = max(epochs, -(-steps_least // -(-len(used) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(used))
         for at in range(0, len(order), batch):

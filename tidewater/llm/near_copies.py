@@ -1,0 +1,133 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Rows of equal shingle sets form a class. Bands of min-hashes put classes into buckets; two classes of
+similarity 0.8 share no bucket with a probability of ``(1 - 0.8 ** ROWS) ** BANDS``, below 1e-4. Every class of a
+bucket is first held against the bucket's smallest, then against those of its bucket that are still in another
+component, so every pair of a bucket is linked through others or was compared. All comparisons are made on the
+whole shingle sets.
+
+Defined results: words are runs without ASCII white space, in lower case (A-Z); a text of fewer words than a
+shingle is one shingle; null texts and texts without words are copies of each other. Rows decide, not ids: of
+each component the row of smallest id (null ids last), then of smallest text hash, stays, once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewater.llm.common import connected_components, fresh, materialize, prepare
+from tidewater.llm.quality_rules import mixed
+from tidewater.llm.substring_dedup import _LOWER, shingles
+
+SIZE = 5
+SIMILARITY = 0.8
+ROWS = 6
+BANDS = 32
+
+_RANDOM = np.random.default_rng(20240817)
+_FACTOR = _RANDOM.integers(1, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDEND = _RANDOM.integers(1, 1 << 63, ROWS * BANDS, np.uint64)
+
+
+def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    s, starts = shingles(texts, size)
+    out = []
+    for t, a, z in zip(texts, starts[:-1].tolist(), starts[1:].tolist()):
+        if a == z and (words := t.encode("utf-8", "surrogatepass").translate(_LOWER).split() if t else []):
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64))
+        else:
+            out.append(np.unique(s[a:z]))
+    return out
+
+
+def bands(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The bucket of each set in every band; an empty set has none."""
+    some = [i for i, s in enumerate(sets) if len(s)]
+    out = [np.empty(0, np.int64)] * len(sets)
+    if not some:
+        return out
+    flat = np.concatenate([sets[i] for i in some])
+    at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])[:-1]])
+    keys = np.empty((len(some), BANDS), np.uint64)
+    for j in range(BANDS):
+        key = np.full(len(some), j + 1, np.uint64)
+        for k in range(j * ROWS, (j + 1) * ROWS):
+            key = mixed(key ^ np.minimum.reduceat(flat * _FACTOR[k] + _ADDEND[k], at))
+        keys[:, j] = key
+    for i, k in zip(some, keys.view(np.int64)):
+        out[i] = k
+    return out
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose sets are as similar as asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for s, t in zip(b["x"], b["y"]):
+                x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.loc[np.array(ok, bool), ["a", "b"]]
+
+    x, y = sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
+    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``df`` for each component of linked texts."""
+    prepare(df.sparkSession)
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("hash"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = shingle_sets(b["text"].tolist(), size)
+            cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": b["id"], "hash": b["hash"], "cls": cls, "n": [len(s) for s in sets], "bands": bands(sets)})
+
+    rows = materialize(docs.mapInPandas(sketch, f"id {kind}, hash long, cls long, n long, bands array<long>"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    classes = materialize(rows.groupBy("cls").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
+    members = materialize(classes.select("cls", "n", F.explode("bands").alias("key")))
+    hubs = members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    # Written first, so that the join below has two shuffles of its own and a hot bucket can be split.
+    hubs = materialize(hubs.select("key", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n")))
+    met = materialize(members.join(hubs, "key"))
+
+    wanted = met.select("cls").distinct().join(classes, "cls").select("cls", F.col("first.id").alias("_i"), F.col("first.hash").alias("_h"))
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h"))).groupBy("cls").agg(F.min("text").alias("text"))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "s": [s.astype("<u8").tobytes() for s in shingle_sets(b["text"].tolist(), size)]})
+
+    sets = materialize(texts.mapInPandas(whole, "cls long, s binary"))
+    # Sets whose sizes differ by more than the similarity cannot be as similar.
+    pairs = met.where((F.col("cls") != F.col("hub")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")))
+    links = _linked(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), sets, similarity)
+
+    comp = materialize(connected_components(links))
+    own, hub = comp.select(F.col("node").alias("cls"), F.col("component").alias("c")), comp.select(F.col("node").alias("hub"), F.col("component").alias("h"))
+    named = met.join(own, "cls", "left").join(hub, "hub", "left").select("key", "cls", "n", "hub", F.coalesce("c", "cls").alias("c"), F.coalesce("h", "hub").alias("h"))
+    named = materialize(named)
+    lone = named.where("c <> h").select("key", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
+    rest = lone.join(named.where("cls <> hub"), "key").where("a_c <> c and (c = h or a < cls)").where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n"))
+    more = _linked(rest.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), sets, similarity)
+
+    comp = connected_components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
+    rooted = classes.select("cls", "first").join(comp, "cls", "left").groupBy(F.coalesce("component", "cls").alias("root")).agg(F.min("first").alias("first"))
+    h, n = fresh(df, "_hash"), fresh(df, "_nth")
+    i = fresh(df, "_id")
+    heads = rooted.select(F.col("first.id").alias(i), F.col("first.hash").alias("_head"))
+    equal = Window.partitionBy(id_col, h).orderBy(*(F.xxhash64(c) for c in df.columns))
+    once = df.withColumn(h, F.xxhash64(text_col)).withColumn(n, F.row_number().over(equal)).where(F.col(n) == 1)
+    return once.join(heads.withColumnRenamed("_head", fresh(df, "_head")), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(fresh(df, "_head"))), "left_semi").select(*df.columns)

@@ -180,6 +180,22 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert all(cut[i] == before[i] for i in range(1000, 1020))
 
 
+def test_near_passage_beside_a_frequent_line():
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 1 << 62, 130)
+    y = rng.integers(0, 1 << 62, 200)
+    y[20:76] = x[10:66]
+    y[46:51] += 1  # an edited word
+    for gap in (1, 5, 8, 12):
+        # A line that the other text holds elsewhere, and another loosely similar stretch.
+        z = y.copy()
+        z[120:126] = x[66 + gap : 72 + gap]
+        z[140:150] = x[82:92]
+        got = substring_dedup.passages(x, z, 46, 0.8)
+        assert [(a, b, c, d) for a, b, c, d, _ in got] == [(10, 66, 20, 76)], gap
+        assert got[0][4] == pytest.approx(51 / 61)
+
+
 def test_passages_on_odd_and_empty(odd, empty):
     got = substring_dedup.repeated_passages(odd).toPandas()
     assert {(7, 6), (8, 6), (11, 10)} <= set(zip(got.doc_id, got.ref_doc_id))

@@ -65,3 +65,25 @@ def test_bands_meet_at_the_threshold():
         a, b = near_copies.bands([np.sort(x[:900]), np.sort(x[100:])])  # Jaccard 0.8
         missed += not (a == b).any()
     assert missed <= 2
+
+
+def test_rows_decide_and_not_ids(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.integers(0, 4000, 80))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(3, one), (3, two), (None, three), (None, four), (1, one), (7, two), (None, five), (None, five), (3, two)]
+    assert sorted(_kept(spark, rows), key=str) == sorted([(1, one), (3, two), (None, three), (None, four), (None, five)], key=str)
+
+
+def test_passages_of_rows_without_an_id_of_their_own(spark):
+    from tidewater.llm import substring_dedup
+
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 4000, n))
+    passage, clean = words(60), words(150)
+    rows = [(3, clean), (3, f"{words(40)} {passage} {words(30)}"), (None, f"{words(20)} {passage} {words(9)}"), (1, f"{passage} {words(50)}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(d).collect()} >= {(3, 1), (None, 1)}
+    cut = {(r.doc_id, r.text) for r in substring_dedup.without_repeats(d).collect()}
+    assert rows[3] in cut and rows[0] in cut and len(cut) == 4
+    assert sum(passage in t for _, t in cut) == 1

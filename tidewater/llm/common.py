@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,51 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def text_groups(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes of text; a longer text is a range by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    i, total = 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if j > i and total + n > limit:
+            yield i, j
+            i, total = j, 0
+        total += n
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns (numbers without nulls) of batches sorted by ``key``, cut so that no value of it is in two of them."""
+    held: list[dict[str, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
+        k = rows[key]
+        if held and k[0] != held[-1][key][-1]:
+            yield {n: np.concatenate([h[n] for h in held]) for n in rows}
+            held = []
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut:
+            yield {n: np.concatenate([*(h[n] for h in held), x[:cut]]) for n, x in rows.items()}
+            held = []
+        held.append({n: x[cut:] for n, x in rows.items()})
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
+def with_texts(b: pa.RecordBatch, text_col: str, texts: list[str | None]) -> pa.RecordBatch:
+    """``b`` with other texts, and ``n_chars``, if there is such a column, counted anew where the text changed."""
+    at = b.schema.get_field_index(text_col)
+    old = b.column(at).to_pylist()
+    b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+    n = b.schema.get_field_index("n_chars")
+    if n >= 0 and pa.types.is_integer(b.schema.field(n).type):
+        counts = [c if t == o or t is None else len(t) for c, t, o in zip(b.column(n).to_pylist(), texts, old)]
+        b = b.set_column(n, b.schema.field(n), pa.array(counts, b.schema.field(n).type))
+    return b
+
+
 def learn_side(id_col: str = "doc_id") -> Column:
     """True for rows that may be learnt from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string")) % 3 != 1

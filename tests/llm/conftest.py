@@ -12,9 +12,11 @@ def odd_rows():
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     long = " ".join(word() for _ in range(30_000))
     line = " ".join(word() for _ in range(80))
-    texts = [None, "", "   \n\t", "a", "a b", "A\x0bb\x85c\xa0d", line, line, line.encode().upper().decode(), f"{line}\n{line}", long, long[5:], "x " * 500, "12 34 !!", "日本語 テキスト ABC", "<|endoftext|> it's é"]
+    texts = [None, "", "   \n\t", "a", "a b", "A\x0bb\x85c\xa0d", line, line, line.encode().upper().decode(), f"{line}\n{line}", long, long[5:], "x " * 500, "12 34 !!", "日本語 テキスト ABC", "<|endoftext|> it's é", "<|ENDOFTEXT|> a<|endoftext|>b"]
     rows = [(i, t, [None, "en", "fr"][i % 3], [None, "s1", "s2"][i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
-    return rows + [rows[6], rows[3], (3, "other text for a known id", "en", "s1", 5)]
+    passage = " ".join(word() for _ in range(60))
+    more = [(7, f"{word()} {passage}", "fr", "s2", 9), ((1 << 53) + 1, passage, "en", None, None), (None, f"{passage} {word()} {word()}", None, "s2", 4), (None, None, None, None, None)]
+    return rows + [rows[6], rows[3], (3, "other text for a known id", "en", "s1", 5), *more]
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

@@ -191,7 +191,7 @@ def test_near_passage_beside_a_frequent_line():
         z = y.copy()
         z[120:126] = x[66 + gap : 72 + gap]
         z[140:150] = x[82:92]
-        got = substring_dedup.passages(x, z, 46, 0.8)
+        got = substring_dedup.passages(x, z, 10, 46, 0.8)
         assert [(a, b, c, d) for a, b, c, d, _ in got] == [(10, 66, 20, 76)], gap
         assert got[0][4] == pytest.approx(51 / 61)
 

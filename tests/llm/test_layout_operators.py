@@ -4,8 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
 from tidewater.llm import bin_packing, kdtree_sharding, source_mixing
 from tidewater.llm.common import positions
@@ -78,11 +78,28 @@ def test_fullest_is_optimal():
 def test_token_ids_are_the_tokenizers():
     path = bin_packing.tokenizer_path()
     texts = [r[1] for r in ROWS] + ["a.b,c", "a._b", "x.. y, ..z", "3.14,5", "ſtraße ß", "don't 'tis it's", "hello\x85world", "\x1cab", "ª. º, c"]
-    tok = bin_packing._tokenizer(path)[0]
+    tok = Tokenizer.from_file(path)  # as the file has it
+    assert tok.encode("<|endoftext|> hi", add_special_tokens=False).ids == next(bin_packing.token_ids(["<|endoftext|> hi"], path)).tolist()
+    texts += ["<|ENDOFTEXT|>", "x<|endoftext|>y", "plain <|startoftext|> words", "a <|endoftext|>  b"]
     for t, ids in zip(texts, bin_packing.token_ids(texts, path)):
         assert ids.tolist() == (tok.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_packed_pieces_against_brute_force(odd):
+    tok = Tokenizer.from_file(bin_packing.tokenizer_path())
+    want = Counter()
+    for doc, text, *_ in ROWS:
+        ids = np.array((tok.encode(text, add_special_tokens=False).ids if text else []) + [0], "<u4")
+        want.update((doc, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048)))
+    got = bin_packing.pack_documents(odd).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places = Counter((r["sequence_id"], at) for r in got for at in range(r["offset"], r["offset"] + r["length"]))
+    assert max(places.values()) == 1 and max(at for _, at in places) < 2048
+    fill = Counter(s for s, _ in places)
+    assert all((s, at) in places for s, n in fill.items() for at in range(n))
+    assert len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
 def test_packing(odd, empty):
     got = bin_packing.pack_documents(odd, with_ids=True)
     p = got.toPandas()
@@ -90,7 +107,7 @@ def test_packing(odd, empty):
     for _, g in p.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.concatenate([[0], g.length.cumsum().to_numpy()[:-1]])).all()
     assert all(zlib.crc32(np.asarray(i, "<u4").tobytes()) == c for i, c in zip(p.ids, p.ids_crc32))
-    assert p.groupby("doc_id").size()[0] == 1 and p[p.doc_id == 0].length.tolist() == [1]
+    assert p[p.doc_id == 0].length.tolist() == [1]
     seqs = bin_packing.sequences(got).toPandas()
     assert sum(map(len, seqs.ids)) == p.length.sum()
     assert bin_packing.pack_documents(empty).count() == 0
@@ -122,10 +139,16 @@ def test_mixed_documents(odd, empty):
     assert len(sizes) == len(ROWS) and sizes[sizes["size"] == 0].taken.sum() == 0
     out = source_mixing.mixed_documents(odd).toPandas()
     assert list(out.columns) == odd.columns
-    words = lambda t: len(source_mixing._WORD.findall(t))
-    assert out.text.map(words).groupby(out.doc_id).sum().to_dict() == {k: v for k, v in sizes.groupby("doc_id").taken.sum().items() if v}
-    whole = {(r[0], r[1]) for r in ROWS}
-    assert any((d, t) in whole for d, t in zip(out.doc_id, out.text))
+    mixed = source_mixing.mixed_documents(odd).collect()
+    got, want = Counter(), Counter()
+    for r in mixed:
+        got[r["doc_id"]] += len(source_mixing._WORD.findall(r["text"]))
+    for r in source_mixing.mix_sources(odd).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert got == want
+    rows = {(r["doc_id"], r["text"]) for r in mixed}
+    texts = {(r[0], r[1]) for r in ROWS}
+    assert rows & texts and all(any(i == d and t in (s or "") for d, s in texts) for i, t in rows) and any(i == (1 << 53) + 1 for i, _ in rows)
     assert source_mixing.mix_sources(empty).count() == 0 and source_mixing.mixed_documents(empty).count() == 0
 
 
@@ -134,7 +157,26 @@ def test_stretches():
     assert list(source_mixing.stretches(t, [(0, 0, 2), (0, 2, 2), (1, 1, 1), (1, 3, 1)])) == [t, "b", "d"]
 
 
-def test_frame_is_numbered_by_content(odd):
-    d, nth = source_mixing.numbered(odd, "doc_id", "text")
-    n = d.toPandas()
-    assert nth not in odd.columns and sorted(n[n.doc_id == 3][nth]) == [1, 2, 3] and isinstance(n, pd.DataFrame)
+def test_mix_replayed(spark):
+    """Every word of a source is taken as often as the whole uses of its source, or once more, and together they make the target."""
+    rows = [(i if i % 9 else None, " ".join(f"w{i}_{k}" for k in range(i * 7 % 90)), f"s{i % 5}" if i % 5 else None) for i in range(300)]
+    d = spark.createDataFrame([*rows, rows[4], rows[4]], "doc_id long, text string, source string")
+    placed, mix = source_mixing.mix_blocks(d, block=16, slots=8)
+    facts = {(r["src"], r["pos"]): r for r in placed.where("size > 0").collect()}
+    assert len(facts) == sum(bool(r[1]) for r in [*rows, rows[4], rows[4]])
+    taken = {r["src"]: np.zeros(r["source_size"], int) for r in facts.values()}
+    slots = {}
+    for r in mix.collect():
+        n = taken[r["src"]]
+        n[r["pos"] + r["at"] : r["pos"] + r["at"] + r["length"]] += 1
+        slots.setdefault((r["src"], r["slot"]), []).append(r["length"])
+    for src, n in taken.items():
+        target = round(next(f["target"] for f in facts.values() if f["src"] == src))
+        assert n.sum() == target and set(n) <= {target // len(n), target // len(n) + 1}
+    assert max(map(sum, slots.values())) <= 16
+    by_document = {}
+    for r in source_mixing.mix_sources(d, block=16, slots=8).collect():
+        by_document.setdefault((r["doc_id"], r["size"]), []).append(r["taken"])
+    for r in facts.values():
+        own = int(taken[r["src"]][r["pos"] : r["pos"] + r["size"]].sum())
+        assert own in by_document[r["doc_id"], r["size"]] and own <= 3 * r["size"]

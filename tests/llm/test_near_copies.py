@@ -3,7 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
-from tidewater.llm import near_copies
+from tidewater.llm import simhash_dedup
+from tidewater.llm.quality_rules import mixed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,14 +58,59 @@ def test_edited_copies_go(spark):
     assert sorted(_kept(spark, rows)) == want
 
 
-def test_bands_meet_at_the_threshold():
+def test_fingerprints_are_near_at_the_threshold():
     rng = np.random.default_rng(5)
-    missed = 0
-    for _ in range(500):
-        x = rng.integers(0, 1 << 63, 1000, np.uint64)
-        a, b = near_copies.bands([np.sort(x[:900]), np.sort(x[100:])])  # Jaccard 0.8
-        missed += not (a == b).any()
-    assert missed <= 2
+    for n in (9, 18, 90, 900):
+        for _ in range(100):
+            x = rng.integers(0, 1 << 32, n // 9 * 10, np.uint64).astype(np.uint32)
+            y = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
+            a, b, c = simhash_dedup.wide_fingerprints([np.sort(x[:n]), np.sort(x[n // 9 :]), np.sort(y)])  # Jaccard 0.8, and unrelated
+            assert np.bitwise_count(a ^ b).sum() <= simhash_dedup.NEAR_RADIUS < np.bitwise_count(a ^ c).sum()
+            assert np.bitwise_count(a[0] ^ b[0]) <= simhash_dedup.FIRST_RADIUS
+
+
+def test_wide_fingerprints():
+    sets = simhash_dedup.shingle_sets(["a b c d e f g h i", None, "one two", " ".join(f"w{i % 70}" for i in range(900))])
+    got = simhash_dedup.wide_fingerprints(sets)
+    for s, row in zip(sets, got):
+        for w in range(simhash_dedup.NEAR_WORDS):
+            h = mixed(mixed(s.astype(np.uint64) + np.uint64((w + 1) << 32)))
+            want = sum(1 << bit for bit in range(64) if 2 * sum(int(x) >> bit & 1 for x in h) > len(s))
+            assert int(row[w]) == want
+
+
+def test_blocks_find_what_nearest_links_leave_apart(spark):
+    """Two groups whose nearest candidates lie inside each group, linked by one pair; parts and blocks of a few texts."""
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 32, 400, np.uint64).astype(np.uint32)
+
+    def changed(x, n):
+        return np.unique(np.concatenate([x[n:], rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)]))
+
+    far = changed(base, 41)
+    sets = [changed(base, 3) for _ in range(12)] + [changed(far, 3) for _ in range(12)] + [changed(rng.integers(0, 1 << 32, 400, np.uint64).astype(np.uint32), 1) for _ in range(6)]
+    fp = simhash_dedup.wide_fingerprints(sets).view(np.int64)
+    classes = spark.createDataFrame([(i, len(s), *map(int, f)) for i, (s, f) in enumerate(zip(sets, fp))], "cls long, n long, f0 long, f1 long, f2 long, f3 long")
+    texts = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cls long, s binary")
+    for part, block in ((16384, (256, 1024)), (5, (3, 4))):
+        links = simhash_dedup.near_links(classes, lambda some: some.join(texts, "cls"), 0.8, part, block).collect()
+        root = list(range(len(sets)))
+        for r in links:
+            assert simhash_dedup._jaccard(sets[r.a], sets[r.b]) >= 0.8
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if simhash_dedup._jaccard(sets[i], sets[j]) >= 0.8]
+        assert _components(root, [(r.a, r.b) for r in links]) == _components(root, want)
+
+
+def _components(nodes, links):
+    root = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
 
 
 def test_rows_decide_and_not_ids(spark):

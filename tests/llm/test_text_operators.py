@@ -79,10 +79,79 @@ def test_toxicity_on_odd_and_without_labels(odd, empty, labels):
     assert toxicity.keep_ordinary(odd, model).columns == odd.columns
 
 
+def _ids(df):
+    return sorted((r["doc_id"] for r in df.collect()), key=repr)
+
+
+def test_ids_stay_as_they_are(odd, labels):
+    """A null id and one above 2**53 in the same batch."""
+    want = sorted((r[0] for r in ROWS), key=repr)
+    assert None in want and (1 << 53) + 1 in want
+    assert _ids(quality_rules.repetition_rules(odd)) == want
+    assert _ids(language_id.identify_language(odd)) == want
+    assert _ids(importance_resampling.resample(odd, labels)) == want
+    assert _ids(toxicity.score_toxicity(odd, labels)) == want
+    rows = odd.collect()
+    model = toxicity.learn(odd, labels)
+    kept = toxicity.keep_ordinary(odd, model).collect()
+    assert sorted(map(repr, kept)) == sorted(repr(r) for r in rows if model.score(r["text"]) < toxicity.THRESHOLD)
+
+
+def test_language_against_the_model(docs):
+    """The query against predictions made one by one, whole texts, by the formula of the model."""
+    model = language_id.learn(docs)
+    got = {r["doc_id"]: r for r in language_id.identify_language(docs, model=model).collect()}
+    for r in docs.limit(60).collect():
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        ids = np.concatenate([np.empty(0, np.int64), *language_id.subwords(r["text"] or "")])
+        g = got[r["doc_id"]]
+        if not words:
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        z = (model.table[ids].mean(axis=0) + model.bias) / model.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert g["lang_pred"] == model.langs[int(p.argmax())] and g["score"] == pytest.approx(float(p.max())) and g["rejected"] == (g["score"] < model.least)
+
+
+def test_every_language_is_learnt(spark):
+    alphabet = "abcdefghijklmnopqrst"
+    rows = [(i, " ".join(alphabet[i % 80 // 4 :][:3] * (2 + i % 4) for _ in range(30)), f"l{i % 80}") for i in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.learn(d).langs) == 80
+
+
+def test_learning_from_rows_of_one_id(spark):
+    rows = [(5, f"{'ab cd ef' if i % 2 else 'uv wx yz'} {i}", "x" if i % 2 else "y") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.learn(x, per_lang=40) for x in (d, d.repartition(5)))
+    assert one.langs == ["x", "y"] and (one.table == two.table).all()
+
+
+def test_inclusion_frequencies(docs, spark, sf):
+    """Over seeds, documents are kept as often as a sampler of the same weights keeps them, which a plain cut does not."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = importance_resampling.resample(docs, labels).select("doc_id", "log_weight").toPandas().sort_values("doc_id")
+    w, k = got.log_weight.to_numpy(), int(0.6 * len(got))
+    rng = np.random.default_rng(1)
+    brute, runs = np.zeros(len(w)), 2000
+    for _ in range(runs):
+        brute[np.argsort(-(w + rng.gumbel(size=len(w))))[:k]] += 1
+    ours, seeds = np.zeros(len(w)), 300
+    keys = importance_resampling.gumbel_keys(docs.select("doc_id"), seeds).toPandas().sort_values(["seed", "doc_id"])
+    for noise in keys.noise.to_numpy().reshape(seeds, -1):
+        ours[np.argsort(-(w + noise))[:k]] += 1
+    p, q = brute / runs, ours / seeds
+    assert np.abs(p - q).max() < 0.16 and np.abs(p - q).mean() < 0.03
+    assert ((p > 0.05) & (p < 0.95)).sum() > 20  # the noise decides about these
+    assert (q[np.argsort(-w)[:k]] < 1).sum() > 5
+
+
 def test_resampling(docs, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = importance_resampling.resample(docs, labels).toPandas()
-    assert got.kept.sum() == int(importance_resampling.FRACTION * len(got))
+    learnt = labels.toPandas().loc[lambda x: [zlib.crc32(str(i).encode()) % 3 != 1 for i in x.doc_id]]
+    assert got.kept.sum() == int((learnt.quality == 1).mean() * len(got))
+    assert set(importance_resampling.resample(docs, labels, fraction=0.0).toPandas().kept) == {False}
     assert got[got.kept].key.min() >= got[~got.kept].key.max()
     x = got.merge(labels.toPandas(), on="doc_id")
     assert x[x.quality == 1].log_weight.median() > x[x.quality == 0].log_weight.median()

@@ -7,7 +7,8 @@ whatever the corpus holds, and removes a combination as many times at once as th
 find their places by their rank among pieces of the same length, so no task sees all pieces of a length.
 
 Defined results: a null or empty text is the end token alone; only documents longer than a sequence are
-cut; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+cut, however long; ids are those of the tokenizer's file as it is, special tokens in a text included; repeated rows
+are packed each; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, positions, prepare
+from tidewater.llm.common import materialize, positions, prepare, text_groups
 
 CAPACITY = 2048
 END_ID = 0
@@ -50,20 +51,21 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = (t, {})
+        # Texts that spell a special token, in whatever case, go to the tokenizer whole.
+        special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        _TOKENIZERS[path] = (t, {}, special)
     return _TOKENIZERS[path]
 
 
 def token_ids(texts: list[str | None], path: str, group: int = 256) -> Iterator[np.ndarray]:
     """The ids of each text, as the tokenizer gives them. Words of plain texts are looked up; new ones are encoded once."""
-    tok, known = _tokenizer(path)
+    tok, known, special = _tokenizer(path)
     get = known.get
     for at in range(0, len(texts), group):
         found: list[tuple[str | None, list[str] | None, list]] = []
         new: set[str] = set()
         for text in texts[at : at + group]:
-            words = _split(text) if text and _PLAIN.fullmatch(text) else None
+            words = _split(text) if text and _PLAIN.fullmatch(text) and not special.search(text) else None
             ids = [get(w) for w in words] if words else []
             if None in ids:
                 new.update(w for w, i in zip(words, ids) if i is None)
@@ -99,17 +101,22 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     d = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, ids in zip(b["doc_id"], token_ids(b["text"].tolist(), path)):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    p = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(p), zlib.crc32(p.tobytes()), *([p.astype(np.int32)] * with_ids)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            for i, j in text_groups(b.column("text")):
+                rows, row = [], []
+                for doc, ids in enumerate(token_ids(b.column("text")[i:j].to_pylist(), path), i):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        p = ids[at : at + capacity]
+                        row.append(doc)
+                        rows.append((k, at, len(p), zlib.crc32(p.tobytes()), *([p.astype(np.int32)] * with_ids)))
+                yield pa.record_batch([b.column("doc_id").take(pa.array(row)), *(pa.array(x, kind) for x, kind in zip(zip(*rows), kinds))], ["doc_id", *names])
 
-    return d.mapInPandas(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -169,18 +176,16 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     key = rows[:, 0] << 48 | rows[:, 1]
     ranked = positions(cut, ["length"], ["doc_id", "piece", "ids_crc32"], F.lit(1), "_rank")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, rank = b["length"].to_numpy(), b["_rank"].to_numpy()
+            n, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             r = rows[np.searchsorted(key, n << 48 | rank, "right") - 1]
             nth = rank - r[:, 1]
-            b = b.drop(columns="_rank")
-            b["sequence_id"] = r[:, 3] + nth % r[:, 2]
-            b["offset"] = r[:, 4] + nth // r[:, 2] * n
-            yield b
+            b = b.drop_columns(["_rank"])
+            yield b.append_column("sequence_id", pa.array(r[:, 3] + nth % r[:, 2])).append_column("offset", pa.array(r[:, 4] + nth // r[:, 2] * n))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.select(*cut.columns, "_rank").mapInPandas(place, schema)
+    return ranked.select(*cut.columns, "_rank").mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:

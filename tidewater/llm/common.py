@@ -44,9 +44,12 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local temporary one only where none is set (tests)."""
+    """The shared folder named by the session; a temporary one only on one machine where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = _OWN_SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewater-scratch-"))
     return f"{base.rstrip('/')}/tidewater/{spark.sparkContext.applicationId}"
 
@@ -172,10 +175,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large-star: every larger neighbour of u is linked to the smallest node in u's neighbourhood.
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.join(mins, "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        large = _by_node(both, mins).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         # Small-star: the smaller neighbours of u, and u, are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(low, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+        small = _by_node(large, low).where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         nxt = materialize(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
         old, cur, before, sign = cur, nxt, sign, _signature(nxt)
         discard(old)
@@ -186,6 +189,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def _by_node(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """Edges joined with a number for each node, on two names of it: a join by other keys than the aggregate's has
+    shuffles of its own on both sides, so that a node with very many edges can be split."""
+    return edges.withColumn("_u", F.col("u")).join(minima.withColumn("_u", F.col("u")), ["u", "_u"]).drop("_u")
+
+
 def _signature(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return (r["n"], r["h"])

@@ -10,7 +10,9 @@ Equal vectors of one label are one class and are compared once. Tasks return eac
 vectors and a spanning forest of the links, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a
-null label, link with nothing; vectors of different lengths do not link; repeated rows link as equal vectors.
+null label, link with nothing; vectors of different lengths do not link; repeated rows link as equal vectors, and
+vectors of one id are counted each by itself; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ def _unpack(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(-1, dim)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by the largest component first, so that squares of very large or small ones stay finite."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _axes(classes: DataFrame, axes: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and leading principal axes of all unit vectors, padded to the longest; sums are added up task by task."""
     dim = classes.agg(F.max(F.size("v"))).first()[0] or 1
@@ -44,7 +52,7 @@ def _axes(classes: DataFrame, axes: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.zeros((len(b), dim))
             for i, v in enumerate(b["v"]):
                 x[i, : len(v)] = v
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            x = _unit(x)
             n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
         yield pd.DataFrame({"i": np.arange(dim + 1), "row": [*np.vstack([s, q])], "n": n})
 
@@ -96,21 +104,19 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     rows = df.select(df[id_col].alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     fine = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda e: e != 0), F.lit(False))
     rows = materialize(rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("class", F.when(F.col("fine"), F.sha2(F.concat_ws("|", "label", F.to_json("v")), 256))))
-    counts = rows.where("fine").groupBy("class").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    # A class's vector is that of its first row; joined by both, so equal ids are met once.
-    reps = rows.where("fine").join(counts, "class").where("vec_id = first").select("class", "first", "n", "label", "v").dropDuplicates(["class"])
-    classes = materialize(reps.select("first", "n", "label", "v"))
+    # All vectors of a class are equal, so any is its own; counted before the shuffle, copies of one vector do not meet in a task.
+    counts = rows.where("fine").groupBy("class").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    numbered = materialize(counts.withColumn("first", F.monotonically_increasing_id()))  # classes, not ids, are linked: two vectors may have one id
+    classes = numbered.select("first", "n", "label", "v")
     mean, turn = _axes(classes, axes)
-    kind = rows.schema["vec_id"].dataType.simpleString()
+    kind = "long"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.zeros((len(b), len(mean)))
             for i, e in enumerate(b["v"]):
                 x[i, : len(e)] = e
-            size = np.abs(x).max(axis=1)
-            x /= size[:, None]  # so that squares of very large or small components stay finite
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            x = _unit(x)
             at = (x - mean) @ turn
             out = b[["first", "n"]].copy()
             out["part"] = [f"{lab}|{len(e)}" for lab, e in zip(b["label"], b["v"])]
@@ -190,7 +196,11 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     found = materialize(met.mapInPandas(compare, f"a {kind}, b {kind}, m long"))
     comp = connected_components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("first")).agg(F.sum("m").alias("m"))
-    by_class = counts.join(links, "first", "left").join(comp.withColumnRenamed("node", "first"), "first", "left").select("class", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+    named = numbered.select("class", "first", "smallest", "n").join(links, "first", "left").join(comp.withColumnRenamed("node", "first"), "first", "left")
+    named = named.select("class", "smallest", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("root"))
+    named = materialize(named)
+    heads = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    by_class = materialize(named.join(heads, "root").select("class", "n_links", "component_id"))  # written, so that a hot class can be split below
     linked = rows.where("fine").join(by_class, "class").select("vec_id", "n_links", "component_id")
     out = linked.unionByName(rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -6,11 +6,13 @@ labelled stretches, then multiplied into one table of logits per bucket, so that
 one mean over table rows. The softmax is calibrated by a temperature on held-back stretches, where the
 rejection threshold is also set: at most a stated share of right answers may fall below it.
 
-The sample: about ``per_lang`` documents of each of the ``max_langs`` most frequent languages, chosen by a
-hash of the id, and of each a stretch of at most ``chars`` characters at a place given by that hash.
+The sample: of every language the first ``per_lang`` documents in the order of a hash of id and text (fewer where
+there are so many languages that ``max_rows`` would be passed), and of each a stretch of at most ``chars`` characters
+at a place given by that hash; reruns draw the same.
 
 Defined results: a null text, and one without letters, is ``und`` with score 0; with nothing to learn from
-every text is ``und``; repeated rows are predicted row by row; other columns are ignored.
+every text is ``und``; repeated rows are predicted row by row; very long texts are read whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import learn_side, prepare
 
+#: Labelled documents learnt from: of each language at most so many, and of all languages together (but 50 of each).
 PER_LANG = 1200
-MAX_LANGS = 64
+MAX_ROWS = 80_000
+#: Characters of each of them, from a place drawn by its hash; predictions read whole texts.
 CHARS = 400
 BUCKETS = 1 << 14
 DIM = 16
@@ -127,18 +131,20 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, steps_least: int = 200,
     return model
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, chars: int = CHARS) -> Model:
-    known = docs.where(learn_side(id_col) & F.col(lang_col).isNotNull())
-    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()}
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, chars: int = CHARS) -> Model:
+    known = docs.where(learn_side(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}  # a row for each language
     if not counts:
         return train([])
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
-    h = F.xxhash64(id_col)
-    some = known.where(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(1 << 20)) < F.try_element_at(share, F.col(lang_col)) * (1 << 20)))
+    per_lang = min(per_lang, max(50, max_rows // len(counts)))
+    # About twice as many as are wanted by the hash, and of these the first in its order.
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_lang / n))))
+    h = F.xxhash64(id_col, text_col)
+    some = known.where(F.pmod(h, F.lit(1 << 20)) < F.try_element_at(share, F.col(lang_col)) * (1 << 20))
     at = F.pmod(F.shiftrightunsigned(h, 20), F.greatest(F.length(text_col) - chars, F.lit(0)) + 1) + 1
-    rows = some.select(F.substring(F.col(text_col), at.cast("int"), F.lit(chars)).alias("t"), F.col(lang_col).alias("l"), h.alias("o"))
-    rows = rows.limit(2 * per_lang * len(counts)).collect()  # the hash gives about per_lang each; this makes it a bound
-    return train([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["o"], r["t"]))])
+    rows = some.select(F.substring(F.col(text_col), at.cast("int"), F.lit(chars)).alias("t"), F.col(lang_col).alias("l"), h.alias("o")).distinct()
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.shiftrightunsigned("o", 20), "o", "t"))).where(F.col("n") <= per_lang)
+    return train([(r["t"], r["l"]) for r in sorted(rows.collect(), key=lambda r: (r["o"], r["t"], r["l"]))])
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
@@ -147,13 +153,10 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     model = model or learn(docs, id_col, text_col, lang_col)
     d = docs.select(docs[id_col].alias("doc_id"), (~learn_side(id_col)).alias("held_out"), docs[text_col].alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.predict(t) for t in b["text"]]
-            out = pd.DataFrame(found, columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out.insert(1, "held_out", b["held_out"].to_numpy())
-            out["rejected"] = out["score"] < model.least
-            yield out
-
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
+            found = [model.predict(t.as_py()) for t in b.column("text")]
+            lang, score = pa.array([x for x, _ in found], pa.string()), np.array([x for _, x in found], float)
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), lang, pa.array(score), pa.array(score < model.least)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -5,7 +5,8 @@ lengths are rolled from shorter ones in numpy, and positions whose hash occurs t
 mark the words they cover; a word counts once however many duplicated n-grams cover it.
 
 Defined results: a null text counts as empty; an empty text has zero everywhere and fails the base rule;
-repeated rows are scored row by row; other columns of the input are ignored.
+repeated rows are scored row by row; very long texts are measured whole; an empty table gives an empty result;
+other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import prepare
@@ -128,18 +129,17 @@ def repetition_rules(
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pd.DataFrame([measure(t, ngrams) for t in b["text"]], columns=names, dtype="int64")
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-            good = ~out["base_failed"] & (100 * out["dup_line_chars"] <= line_limit * out["line_chars"])
+            found = np.array([measure(t.as_py(), ngrams) for t in b.column("text")], np.int64).reshape(-1, len(names))
+            out = dict(zip(names, found.T))
+            failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
+            good = ~failed & (100 * out["dup_line_chars"] <= line_limit * out["line_chars"])
             for k, limit in zip(ngrams, ngram_limits, strict=True):
                 good &= 100 * out[f"dup_{k}gram_chars"] <= limit * out["word_chars"]
-            out["kept"] = good
-            yield out
+            yield pa.record_batch([b.column("doc_id"), *map(pa.array, out.values()), pa.array(failed), pa.array(good)], ["doc_id", *names, "base_failed", "kept"])
 
-    return d.mapInPandas(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 ORACLE = r"""

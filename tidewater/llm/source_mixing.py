@@ -9,7 +9,8 @@ target are left out, so each source's words equal its target rounded to a whole
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; a source
 without words has target zero; repeated rows are each part of the stream; the same input and seed give the
-same mix whatever the partitioning; an empty table gives an empty result.
+same mix whatever the partitioning; very long texts are cut into blocks like any other; an empty table gives an empty
+result; other columns, whatever their names, do no harm.
 The driver holds a few numbers per source, and none per document.
 """
 
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, materialize, positions, prepare
+from tidewater.llm.common import fresh, materialize, positions, prepare, with_texts
 
 BLOCK = 256
 SLOTS = 1024
@@ -110,14 +112,15 @@ def _quota(src: int, size: int, want: int, block: int, seed: int) -> dict:
 def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The documents with their place, and the mix.
 
-    First: ``doc_id, nth`` (among rows of that id), ``size, source_size, target, src, pos`` (first word's place in its source).
-    Second: ``shard, slot, src, pos, doc_id, nth, uses, at, length``: the words from ``at`` on that a slot takes of a document, in the
-    source's ``uses``-th use.
+    First: ``doc_id, hash`` (of the row), ``nth`` (among equal rows), ``size, source_size, target, src, pos`` (first word's place in its
+    source). Second: ``shard, slot, src, pos, doc_id, hash, nth, uses, at, length``: the words from ``at`` on that a slot takes of a
+    document, in the source's ``uses``-th use.
     """
     spark = df.sparkSession
     prepare(spark)
-    rows, nth = numbered(df, id_col, text_col)
-    sized = materialize(rows.select(F.col(id_col).alias("doc_id"), F.col(nth).alias("_nth"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    # Texts are measured where they are read; only ids, hashes and counts are shuffled.
+    rows = df.select(df[id_col].alias("doc_id"), row_hash(df).alias("hash"), df[source_col].cast("string").alias("source"), n_words(df[text_col]).alias("size"))
+    sized = materialize(rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("size")).cast("int")))
     per = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     want = targets(per, weights, cap)
     order = sorted(want, key=lambda s: (s is None, s or ""))
@@ -125,7 +128,7 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     quota = [_quota(i, sizes[s], round(want[s]), block, seed) for i, s in enumerate(order)]
     facts = spark.createDataFrame([(s, i, sizes[s], want[s]) for i, s in enumerate(order)], "_source string, src int, source_size long, target double")
     docs = sized.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # a row per source
-    placed = positions(docs, ["src"], ["doc_id", "_nth"], F.col("size"), "pos").select("doc_id", F.col("_nth").alias("nth"), "size", "source_size", "target", "src", "pos")
+    placed = positions(docs, ["src"], ["doc_id", "hash", "nth"], F.col("size"), "pos").select("doc_id", "hash", "nth", "size", "source_size", "target", "src", "pos")
     placed = materialize(placed)
 
     total = sum(q["slots"] for q in quota)
@@ -164,19 +167,16 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                 yield rows.assign(uses=use.astype(np.int32), block=index, take=take)
 
     filled = numbered_slots.mapInPandas(fill, "shard long, src int, slot long, uses int, block long, take long")
-    parts = placed.where("size > 0").select("doc_id", "nth", "src", "pos", "size", F.explode(F.expr(f"sequence(pos div {block}, (pos + size - 1) div {block})")).alias("block"))
+    parts = placed.where("size > 0").select("doc_id", "hash", "nth", "src", "pos", "size", F.explode(F.expr(f"sequence(pos div {block}, (pos + size - 1) div {block})")).alias("block"))
     lo = F.greatest("pos", F.col("block") * block)
     hi = F.least(F.col("pos") + F.col("size"), F.col("block") * block + F.col("take"))
-    mix = filled.join(parts, ["src", "block"]).where(hi > lo).select("shard", "slot", "src", "pos", "doc_id", "nth", "uses", (lo - F.col("pos")).alias("at"), (hi - lo).alias("length"))
+    mix = filled.join(parts, ["src", "block"]).where(hi > lo).select("shard", "slot", "src", "pos", "doc_id", "hash", "nth", "uses", (lo - F.col("pos")).alias("at"), (hi - lo).alias("length"))
     return placed, mix
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``df`` with the row's number among rows of the same id (in the order of their texts' hashes), and that column's name."""
-    nth, hash_ = fresh(df, "_nth"), fresh(df, "_hash")
-    w = Window.partitionBy(id_col).orderBy(hash_)
-    d = df.withColumn(hash_, F.xxhash64(text_col, *[c for c in df.columns if c not in (id_col, text_col)]))
-    return d.withColumn(nth, F.row_number().over(w).cast("int")).drop(hash_), nth
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns, so that only equal rows share an id and a hash."""
+    return F.xxhash64(*(df[c] for c in df.columns))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -197,27 +197,26 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Whole documents keep their text as it is; a stretch runs from its first word's first character to its
     last word's last.
     """
-    _, mix = mix_blocks(df, id_col, text_col, source_col, **how)
-    key, number, list_ = fresh(df, "_id"), fresh(df, "_n"), fresh(df, "_spans")
-    spans = mix.groupBy(F.col("doc_id").alias(key), F.col("nth").alias(number)).agg(F.collect_list(F.struct("uses", "at", "length")).alias(list_))  # bounded by the text's own blocks
-    rows, nth = numbered(df, id_col, text_col)
-    joined = rows.join(spans, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(nth) == F.col(number))).drop(key, number, nth)
-    counted = "n_chars" in df.columns
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed, mix = mix_blocks(df, id_col, text_col, source_col, **how)
+    key, hash_, list_ = fresh(df, "_id"), fresh(df, "_hash"), fresh(df, "_spans")
+    # Bounded by the text's own blocks; equal rows are as good as one another, so one of them stands for all.
+    spans = mix.groupBy(F.col("doc_id").alias(key), F.col("hash").alias("_h")).agg(F.collect_list(F.struct("nth", "uses", "at", "length")).alias(list_))
+    rows = df.withColumn(hash_, row_hash(df))
+    if not placed.where("nth > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col, hash_])
+    joined = rows.join(spans, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(hash_) == F.col("_h"))).drop(key, hash_, "_h")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, texts = [], []
-            for k, (text, spans) in enumerate(zip(b[text_col], b[list_])):
-                for t in stretches(text, [(s["uses"], s["at"], s["length"]) for s in spans]):
-                    at.append(k)
-                    texts.append(t)
-            out = b.drop(columns=list_).iloc[at].copy()
-            out[text_col] = texts
-            if counted:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    return joined.mapInPandas(cut, df.schema)
+            for k, (text, spans) in enumerate(zip(b.column(text_col).to_pylist(), b.column(list_).to_pylist())):
+                for nth in sorted({s["nth"] for s in spans}):
+                    for t in stretches(text, [(s["uses"], s["at"], s["length"]) for s in spans if s["nth"] == nth]):
+                        at.append(k)
+                        texts.append(t)
+            yield with_texts(b.drop_columns([list_]).take(pa.array(at, pa.int64())), text_col, texts)
+
+    return joined.mapInArrow(cut, df.schema)
 
 
 def stretches(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:

@@ -10,7 +10,8 @@ Learning is from at most ``max_rows`` labelled texts of each class (chosen by a
 of at most ``max_chars`` characters of each), gathered to the driver; scoring reads everything.
 
 Defined results: null and empty texts get the score of no evidence; without labels of both classes every
-score is 0; repeated rows are scored row by row; labels without a document, and other columns, are ignored.
+score is 0; repeated rows are scored row by row; very long texts are scored whole; an empty table gives an empty
+result; labels without a document, and other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import learn_side, prepare
@@ -197,7 +198,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = F.pmod(F.col("_o"), F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1) + 1
     text = F.substring(F.col(text_col), at.cast("int"), F.lit(max_chars))
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    got = own.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(text.alias("t"), "_y", "_o")
+    got = own.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(text.alias("t"), "_y", "_o").distinct()
+    # Of an id with several texts, or several labels, the first texts count, so that the rows are bounded as the ids are.
+    first = Window.partitionBy("_y").orderBy("_o", F.xxhash64("t"), "t")
+    got = got.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_rows)
     return train([(r["t"], r["_y"]) for r in sorted(got.collect(), key=lambda r: (r["_o"], r["t"]))])
 
 
@@ -207,20 +211,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = model or learn(docs, labels, id_col, text_col)
     d = docs.select(docs[id_col].alias("doc_id"), (~learn_side(id_col)).alias("held_out"), docs[text_col].alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = np.array([model.score(t) for t in b["text"]], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= threshold).astype("int32")})
+            score = np.array([model.score(t.as_py()) for t in b.column("text")], float)
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     prepare(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[np.array([model.score(t) < threshold for t in b[text_col]], bool)]
+            yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(text_col)], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

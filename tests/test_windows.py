@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded, safe_corr, t_p_value
 from tidewater.functions.windows import Series, avg_rank, quantile_bucket, with_overlap
-from tidewater.schemas import nan_to_null
+from tidewater.functions.stats import nan_to_null
 
 S = Series("k", "t")
 

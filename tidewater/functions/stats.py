@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,12 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * h
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating-point NaN becomes null, so that aggregates skip it and comparisons are unknown."""
+    fixed = {n: F.when(F.isnan(n), F.lit(None)).otherwise(F.col(n)) for n, kind in df.dtypes if kind in ("double", "float")}
+    return df.withColumns(fixed) if fixed else df
+
+
 def rounded(x: Column | str, digits: int = 6) -> Column:
     """Rounded, with no negative zero."""
     return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.stats import both
-from tidewater.operators.factors import aligned, ic_by_date, ic_summary
+from tidewater.functions.stats import both, safe_corr
+from tidewater.operators.factors import aligned, group_returns, ic_by_date, ic_by_factor, ic_summary, monotonicity
 
 MIN_POINTS = 10
 
@@ -29,11 +29,8 @@ def equal(names: list[str]) -> Weights:
 
 def _ics(panel: DataFrame, names: list[str], ret: str, k: int) -> dict[str, tuple[float, float]]:
     """Mean and ratio of each factor's correlations with the return."""
-    out = {}
-    for n in names:
-        r = ic_summary(ic_by_date(aligned(panel, n, ret, k), n, ret)).first()
-        out[n] = (r["ic_mean"] or 0.0, r["ic_ir"] or 0.0)
-    return out
+    got = {r["factor"]: r for r in ic_by_factor(panel, names, ret, k).collect()}  # a row for each factor
+    return {n: (got[n]["ic_mean"] or 0.0, got[n]["ic_ir"] or 0.0) if n in got else (0.0, 0.0) for n in names}
 
 
 def ic_weights(panel: DataFrame, names: list[str], ret: str, k: int = 1) -> Weights:
@@ -220,5 +217,21 @@ def concentration(w: Weights) -> dict[str, float]:
     return {"effective_number": 1 / h if h else 0.0, "herfindahl": sum(v * v for v in w.values())}
 
 
+def metrics(panel: DataFrame, w: Weights, ret: str, k: int = 1, q: int = 10) -> DataFrame:
+    """One row on a combination: how concentrated its weights are, and its rank correlation, spread and monotonicity against returns."""
+    d = combine(panel, w, "_combined")
+    spread = monotonicity(group_returns(d, "_combined", ret, q, k))
+    ic = ic_summary(ic_by_date(aligned(d, "_combined", ret, k), "_combined", ret)).select(F.col("ic_mean").alias("ic"), F.col("ic_ir").alias("ir"))
+    facts = concentration(w)
+    return ic.crossJoin(F.broadcast(spread)).select(*(F.lit(float(v)).alias(n) for n, v in facts.items()), "ic", "ir", "spread", "monotonicity")  # one row each
+
+
+def correlations(panel: DataFrame, names: list[str]) -> DataFrame:
+    """Pooled correlation of each pair of factors over rows where both are known."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(a, b).alias("correlation")) for a, b in pairs))
+    return panel.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def weight_rows(panel: DataFrame, w: Weights) -> DataFrame:
     return panel.sparkSession.createDataFrame([(n, float(v)) for n, v in w.items()], "factor string, weight double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.stats import safe_corr
@@ -46,6 +46,9 @@ class FactorGraph:
 
     def __init__(self):
         self.factors: dict[str, tuple[Factor, tuple[str, ...]]] = {}
+        #: What went wrong in the last calculation, by factor.
+        self.errors: dict[str, str] = {}
+        self.counts = {"calculated": 0, "failed": 0}
 
     def register(self, name: str, factor: Factor, depends: tuple[str, ...] = ()) -> None:
         self.factors[name] = (factor, tuple(depends))
@@ -71,12 +74,36 @@ class FactorGraph:
         return out
 
     def calculate(self, panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """The panel with all named factors, and those they need, as columns: one plan, evaluated together."""
+        """The panel with all named factors, and those they need, as columns: one plan, evaluated together.
+
+        A factor whose plan cannot be made, or lacks its column, is null throughout and named in ``errors``.
+        """
+        self.errors = {}
         for level in self.levels(names):
             for n in level:
-                panel = self.factors[n][0](panel)
+                try:
+                    got = self.factors[n][0](panel)
+                    if n not in got.columns:
+                        raise ValueError(f"no column {n!r} came back")
+                    panel, kind = got, "calculated"
+                except Exception as e:  # noqa: BLE001  whatever a user's factor raises
+                    panel, kind = panel.withColumn(n, F.lit(None).cast("double")), "failed"
+                    self.errors[n] = str(e)
+                self.counts[kind] += 1
         return panel
 
+    def factor(self, name: str, depends: tuple[str, ...] = ()) -> Callable[[Factor], Factor]:
+        """Decorator: register a function as a factor."""
+
+        def add(f: Factor) -> Factor:
+            self.register(name, f, depends)
+            return f
+
+        return add
+
+    def statistics(self) -> dict[str, int]:
+        return {"registered": len(self.factors), **self.counts}
+
 
 def dated(panel: DataFrame) -> DataFrame:
     """Adds ``date_idx``, from 0 over all dates of the panel, and ``n_dates``."""
@@ -176,5 +203,45 @@ def stability(ics: DataFrame, window: int = 60) -> DataFrame:
     return d.agg(F.when(enough, F.avg("_s")).alias("mean_rolling_std"), F.when(enough, F.min(F.try_divide(F.col("_c") - F.col("_p"), "_p"))).alias("max_ic_drawdown"), *acs)
 
 
+def ic_by_factor(panel: DataFrame, names: list[str], ret: str, k: int = 1, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """:func:`ic_summary` of rank correlations for each of several factors, by ``factor``: one pass over the panel."""
+    long = aligned(panel.select("date", "symbol", ret, *names), names[0], ret, k).select("date", F.col(ret).cast("double").alias("y"), F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.col(n).cast("double").alias("x")) for n in names))).alias("_f"))
+    d = long.select("date", "y", "_f.factor", "_f.x").where("x is not null and y is not null")
+    d = d.select("date", "factor", avg_rank("x", ["date", "factor"]).alias("x"), avg_rank("y", ["date", "factor"]).alias("y"))
+    ics = d.groupBy("date", "factor").agg(safe_corr("x", "y").alias("ic"), F.count("*").alias("n")).where((F.col("n") >= min_pairs) & F.col("ic").isNotNull())
+    return ics.groupBy("factor").agg(F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("ic_std"), F.try_divide(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.count("ic").alias("n"))
+
+
+def shape(panel: DataFrame, fields: list[str]) -> DataFrame:
+    """For each field: rows, values, dates and symbols, and whether there is a row for every date and symbol."""
+    facts = panel.agg(F.count_distinct("date").alias("n_dates"), F.count_distinct("symbol").alias("n_symbols"), F.count("*").alias("n_rows"), F.array(*(F.struct(F.lit(f).alias("field"), F.count(f).alias("n_values")) for f in fields)).alias("_f"))
+    d = facts.select("n_dates", "n_symbols", "n_rows", F.explode("_f").alias("_f")).select("_f.field", "n_dates", "n_symbols", "n_rows", "_f.n_values")
+    return d.withColumn("complete", (F.col("n_rows") > 0) & (F.col("n_rows") == F.col("n_dates") * F.col("n_symbols")))
+
+
+def export_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write a panel: ``parquet`` and ``csv`` as folders by Spark, ``feather`` as one file (of a result that fits the driver)."""
+    if fmt == "parquet":
+        df.write.parquet(path)
+    elif fmt == "csv":
+        df.write.csv(path, header=True)
+    elif fmt == "feather":
+        from pyarrow import feather
+
+        feather.write_feather(df.toArrow(), path)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+
+
+def sample_panel(spark: SparkSession, symbols: int = 50, days: int = 262, start: str = "2024-01-01", seed: int = 42) -> DataFrame:
+    """A made-up daily panel, the same for the same seed: a return a day from a hash, compounded, and the fields around it."""
+    grid = spark.range(symbols).select(F.format_string("S%04d", "id").alias("symbol")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    u = lambda k: (F.pmod(F.xxhash64("symbol", "_d", F.lit(seed + k)), F.lit(1_000_003)) / F.lit(1_000_003.0))
+    d = grid.withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("_d")).cast("timestamp")).withColumn("_r", (u(0) + u(1) + u(2) - 1.5) * 0.04)
+    d = d.withColumn("close", 100 * PANEL.cum_prod(1 + F.col("_r")))
+    d = d.withColumns({"open": F.col("close") * (1 + (u(3) - 0.5) * 0.01), "volume": F.floor(1_000_000 * (0.5 + u(4))).cast("double")})
+    return d.select("date", "symbol", "open", (F.greatest("open", "close") * (1 + u(5) * 0.01)).alias("high"), (F.least("open", "close") * (1 - u(6) * 0.01)).alias("low"), "close", "volume", (F.col("close") * F.col("volume")).alias("amount"))
+
+
 def valid_ratio(panel: DataFrame, factor: str) -> DataFrame:
     return panel.agg(F.count(factor).alias("valid"), F.count("*").alias("cells")).withColumn("valid_ratio", F.try_divide("valid", "cells"))

@@ -7,13 +7,10 @@ state, never one key's rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.folds import folded
 from tidewater.functions.stats import rounded
 
 # Fee rates.
@@ -21,24 +18,6 @@ COMMISSION_RATE, STAMP_TAX_RATE, MIN_COMMISSION = 0.0003, 0.001, 5.0
 BUY, SELL = 1, 2
 
 
-def folded(df: DataFrame, by: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], schema: str) -> DataFrame:
-    """Rows that ``step(state, row)`` gives for the rows of each key in order; ``start()`` makes a key's first state."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), None
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                k = getattr(row, by)
-                if k != key:
-                    key, state = k, start()
-                out += step(state, row)
-            yield pd.DataFrame(out, columns=names)
-
-    return df.repartition(F.col(by)).sortWithinPartitions(by, *order).mapInPandas(run, schema)
-
-
 def side_code(side: str) -> Column:
     """Sides given as 1 and 2, or as ``buy`` and ``sell``, as 1 and 2."""
     text = F.lower(F.col(side).cast("string"))
@@ -79,14 +58,18 @@ def round_trips(trades: DataFrame, clip: bool = False) -> DataFrame:
         return [row]
 
     kind = t.schema["symbol"].dataType.simpleString()
-    return folded(t, "symbol", ["created_at", "seq"], start, step, f"symbol {kind}, profit double, open_time timestamp, close_time timestamp, open_price double, open_fee double, close_fee double, close_price double, volume double")
+    return folded(t, ["symbol"], ["created_at", "seq"], start, step, f"symbol {kind}, profit double, open_time timestamp, close_time timestamp, open_price double, open_fee double, close_fee double, close_price double, volume double")
+
 
+def trade_metrics(trips: DataFrame, fraction: float = 0.5, whole_days: bool = True) -> DataFrame:
+    """Win rate, mean profit and loss (money and share of the opening value), holding days, Kelly criterion.
 
-def trade_metrics(trips: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Win rate, mean profit and loss (money and share of the opening value), holding days, Kelly criterion."""
+    The older report counts parts of days (``whole_days=False``) and shows the win rate in percent.
+    """
     won, lost = F.col("profit") > 0, F.col("profit") < 0
     share = F.try_divide("profit", F.abs("volume") * F.col("open_price"))
-    days = F.floor((F.unix_timestamp("close_time") - F.unix_timestamp("open_time")) / 86400)
+    days = (F.unix_timestamp("close_time") - F.unix_timestamp("open_time")) / 86400
+    days = F.floor(days) if whole_days else days
     g = trips.agg(
         F.count("*").alias("n"), F.avg(won.cast("double")).alias("win_rate"), F.avg(F.when(won, F.col("profit"))).alias("avg_profit"), F.avg(F.when(lost, F.col("profit"))).alias("avg_loss"),
         F.avg(F.when(won, share)).alias("avg_profit_pct"), F.avg(F.when(lost, share)).alias("avg_loss_pct"), F.avg(days.cast("double")).alias("avg_holding_days"),
@@ -106,6 +89,51 @@ def fees(price: float, volume: float, side: int) -> float:
     return round(max(round(price * volume * COMMISSION_RATE, 2), MIN_COMMISSION) + tax, 2)
 
 
+class Account:
+    """Cash, positions (volume and averaged cost) and the last price of each symbol, rounded as money is."""
+
+    def __init__(self, cash: float):
+        self.cash = round(cash, 2)
+        self.held: dict[str, tuple[float, float]] = {}
+        self.price: dict[str, float] = {}
+        self.orders = 0
+        self.last_cost = 0.0
+
+    def value(self) -> float:
+        """Net asset value."""
+        return round(self.cash + sum(v * self.price[k] for k, (v, _) in self.held.items()), 2)
+
+    def order(self, symbol: str, side: int, price: float, volume: float | None = None, percent: float | None = None) -> tuple[float, float, float]:
+        """Fill an order as a whole, or not at all where cash or holding do not suffice: volume, filled volume and fee.
+
+        Without a volume it is ``percent`` of the net asset value (buys, as far as the cash goes) or of the holding (sells).
+        """
+        have, cost = self.held.get(symbol, (0, 0.0))
+        if volume is None and percent is None:
+            volume = 0
+        elif volume is None and side == BUY:
+            amount = min(self.value() * abs(percent), self.cash)
+            volume = int((amount - max(round(amount * COMMISSION_RATE, 2), MIN_COMMISSION)) / price)
+        elif volume is None:
+            volume = int(have * abs(percent))
+        filled, fee = 0.0, 0.0
+        if volume > 0:
+            self.orders += 1
+            fee = fees(price, volume, side)
+            if side == BUY and self.cash >= (total := round(volume * price + fee, 2)):
+                self.cash = round(self.cash - total, 2)
+                have, cost, filled = have + volume, round((have * cost + volume * price + fee) / (have + volume), 3), volume
+            elif side == SELL and have >= volume:
+                self.cash = round(self.cash + volume * price - fee, 2)
+                have, filled = have - volume, volume
+            if have:
+                self.held[symbol] = (have, cost)
+            else:
+                self.held.pop(symbol, None)
+        self.last_cost = cost
+        return volume, filled, fee if filled else 0.0
+
+
 def replay(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """Orders filled one after the other in the accounts that place them.
 
@@ -119,39 +147,23 @@ def replay(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
         d = d.withColumn("percent", F.lit(None).cast("double"))
     d = d.select("account", "created_at", "seq", "symbol", "side", "price", F.col("volume").cast("double").alias("volume"), "percent").where((F.col("price") > 0) & F.col("side").isNotNull())
 
-    def start() -> dict:
-        return {"cash": round(cash, 2), "held": {}, "price": {}, "orders": 0}
-
-    def step(s: dict, x) -> list[tuple]:
-        s["price"][x.symbol] = x.price
-        value = lambda: round(s["cash"] + sum(v * s["price"][k] for k, (v, _) in s["held"].items()), 2)
-        have, cost = s["held"].get(x.symbol, (0, 0.0))
-        volume = x.volume
-        if volume is None or volume != volume:
-            if x.side == BUY:
-                amount = min(value() * abs(x.percent), s["cash"])
-                volume = int((amount - max(round(amount * COMMISSION_RATE, 2), MIN_COMMISSION)) / x.price)
-            else:
-                volume = int(have * abs(x.percent))
-        filled, fee = 0.0, 0.0
-        if volume > 0:
-            s["orders"] += 1
-            fee = fees(x.price, volume, x.side)
-            if x.side == BUY and s["cash"] >= (total := round(volume * x.price + fee, 2)):
-                s["cash"] = round(s["cash"] - total, 2)
-                have, cost, filled = have + volume, round((have * cost + volume * x.price + fee) / (have + volume), 3), volume
-            elif x.side == SELL and have >= volume:
-                s["cash"] = round(s["cash"] + volume * x.price - fee, 2)
-                have, filled = have - volume, volume
-            if have:
-                s["held"][x.symbol] = (have, cost)
-            else:
-                s["held"].pop(x.symbol, None)
-        return [(x.account, x.created_at, x.seq, x.symbol, x.side, x.price, float(volume), float(filled), fee if filled else 0.0, f"order_{s['orders']}", s["cash"], float(have), cost, value())]
+    def step(a: Account, x) -> list[tuple]:
+        a.price[x.symbol] = x.price
+        volume, filled, fee = a.order(x.symbol, x.side, x.price, x.volume, x.percent)
+        have, cost = a.held.get(x.symbol, (0.0, a.last_cost))
+        return [(x.account, x.created_at, x.seq, x.symbol, x.side, x.price, float(volume), float(filled), fee, f"order_{a.orders}", a.cash, float(have), float(cost), a.value())]
 
     types = dict(d.dtypes)
     schema = f"account {types['account']}, created_at timestamp, seq {types['seq']}, symbol {types['symbol']}, side int, price double, volume double, filled_volume double, fee double, order_id string, cash double, holding double, cost_price double, nav double"
-    return folded(d, "account", ["created_at", "seq"], start, step, schema)
+    return folded(d, ["account"], ["created_at", "seq"], lambda: Account(cash), step, schema)
+
+
+def orders_between(fills: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Orders that were filled from one time to another, both included."""
+    d = fills.where("filled_volume > 0")
+    if start:
+        d = d.where(F.col("created_at") >= F.lit(start).cast("timestamp"))
+    return d.where(F.col("created_at") <= F.lit(end).cast("timestamp")) if end else d
 
 
 def account_at(fills: DataFrame, at: str) -> DataFrame:

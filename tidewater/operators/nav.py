@@ -6,7 +6,7 @@ portfolio's days are ordered in one task and portfolios are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.windows import Series
@@ -112,19 +112,71 @@ def excess(aligned: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("excess_drawdown", F.col("excess_pct") - s.cum_max("excess_pct")).select(*keys, "date", "strategy_pct", "benchmark_pct", "excess_pct", "excess_drawdown")
 
 
-def client_metrics(nav: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
-    """The metrics of the browser report: without the base day, tail value by position, ulcer index as a fraction, 0 for missing."""
-    d = returns(nav, keys)
-    n = F.count("r").over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("r").asc_nulls_last(), "date"))
-    d = d.withColumns({"_n": n, "_k": at})
-    g = d.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(F.max_by("assets", "date") - F.min_by("assets", "date"), F.min_by("assets", "date")), F.lit(0.0)).alias("return_rate"),
-        F.coalesce(F.stddev_pop("r") * F.sqrt(F.lit(float(YEAR_DAYS))), F.lit(0.0)).alias("volatility"), F.coalesce(F.max("dd"), F.lit(0.0)).alias("max_drawdown"),
-        F.coalesce(-F.max(F.when(F.col("_k") - 1 == F.floor(F.col("_n") * F.lit(1 - confidence) + 1e-9), F.col("r"))), F.lit(0.0)).alias("var"), F.coalesce(F.sqrt(F.avg(F.col("dd") * F.col("dd"))), F.lit(0.0)).alias("ulcer_index"),
-    )
-    return g
-
+def client_metrics(nav: DataFrame, keys: list[str], risk_free: float = RISK_FREE, confidence: float = 0.95) -> DataFrame:
+    """The metrics of the browser report, one row for each slice.
 
-def percent_of(x: Column, of: Column) -> Column:
-    return 100 * F.try_divide(x, of)
+    Only the return rate knows the base day (the first, or those marked in ``base``); the tail value goes by
+    position, the ulcer index is a fraction, and what is undefined is 0. With a column ``benchmark``, its return
+    and drawdown, and the return over it.
+    """
+    d = nav if "base" in nav.columns else nav.withColumn("base", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) == 1)
+    has_benchmark = "benchmark" in d.columns
+    if not has_benchmark:
+        d = d.withColumn("benchmark", F.lit(None).cast("double"))
+    ends = d.groupBy(*keys).agg(*(f(c, "date").alias(f"_{n}{c[0]}") for c in ("assets", "benchmark") for f, n in ((F.min_by, "a"), (F.max_by, "z"))))
+    x = returns(d.where(~F.col("base")), keys)
+    s = Series(keys, "date")
+    x = x.withColumn("_bp", s.cum_max("benchmark")).withColumn("_bd", F.try_divide(F.col("_bp") - F.col("benchmark"), "_bp"))
+    x = x.withColumns({"_n": F.count("r").over(Window.partitionBy(*keys)), "_k": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("r").asc_nulls_last(), "date"))})
+    at = F.floor(F.col("_n") * F.lit(1 - confidence) + 1e-9)
+    worst = F.col("r").isNotNull() & (F.col("_k") <= F.greatest(F.lit(1).cast("bigint"), at))
+    trough = F.struct("dd", -F.unix_date("date"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    year = F.sqrt(F.lit(float(YEAR_DAYS)))
+    g = x.groupBy(*keys).agg(
+        F.count("*").alias("n_days"), F.datediff(F.max("date"), F.min("date")).alias("_days"), F.count("r").alias("_m"), F.count(F.when(F.col("r") < 0, 1)).alias("_losses"),
+        zero(F.max("dd")).alias("max_drawdown"), F.max_by("date", trough).alias("drawdown_end"), F.max("_bd").alias("benchmark_max_drawdown"),
+        zero(F.when(F.count("r") >= 2, F.stddev_pop("r") * year)).alias("volatility"), F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r")).when(F.col("r").isNotNull(), 0.0))).alias("_down"),
+        zero(F.when(F.count("r") >= 2, -F.max(F.when(F.col("_k") - 1 == at, F.col("r"))))).alias("var"), zero(F.when(F.count("r") >= 2, -F.avg(F.when(worst, F.col("r"))))).alias("cvar"),
+        zero(F.sqrt(F.avg(F.col("dd") * F.col("dd")))).alias("ulcer_index"),
+    ).join(ends, keys)
+    g = g.withColumn("return_rate", zero(F.try_divide(F.col("_za") - F.col("_aa"), "_aa")))
+    g = g.withColumn("annualized_return", F.when((F.col("_days") == 0) | (F.col("return_rate") <= -1), 0.0).otherwise(F.pow(1 + F.col("return_rate"), F.try_divide(F.lit(365.0), "_days")) - 1))
+    over, inf = F.col("annualized_return") - risk_free, F.lit(float("inf"))
+    sortino = F.when(F.col("_m") < 2, 0.0).when(F.col("_losses") == 0, inf).otherwise(F.coalesce(F.try_divide(over, F.col("_down") * year), inf))
+    out = ["n_days", "return_rate", "annualized_return", "volatility", "max_drawdown", "drawdown_end", zero(F.try_divide(over, "volatility")).alias("sharpe_ratio"), sortino.alias("sortino_ratio"), "var", "cvar", "ulcer_index", zero(F.try_divide(over, "ulcer_index")).alias("upi")]
+    if has_benchmark:
+        bench = F.try_divide(F.col("_zb") - F.col("_ab"), "_ab")
+        out += [bench.alias("benchmark_return"), zero(F.col("benchmark_max_drawdown")).alias("benchmark_max_drawdown"), (F.col("return_rate") - zero(bench)).alias("relative_return")]
+    return g.select(*keys, *out)
+
+
+def client_series(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """Day by day what the browser report draws: cumulative percent, drawdowns and excess over the benchmark."""
+    fall = drawdowns(aligned.select(*keys, "date", "assets"), keys).withColumnRenamed("drawdown", "strategy_drawdown")
+    bench = drawdowns(aligned.where("benchmark is not null").select(*keys, "date", F.col("benchmark").alias("assets")), keys).withColumnRenamed("drawdown", "benchmark_drawdown")
+    return excess(aligned, keys).join(fall, [*keys, "date"], "left").join(bench, [*keys, "date"], "left")
+
+
+def index_range(nav: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+    """Return (in percent) and largest drawdown of the days from one place to another, counted from 0, both included."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    part = nav.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i").between(first, last))
+    g = returns(part, keys).groupBy(*keys).agg(F.min_by("assets", "date").alias("_a"), F.max_by("assets", "date").alias("_z"), (100 * F.max("dd")).alias("max_drawdown_pct"))
+    return g.select(*keys, (100 * F.try_divide(F.col("_z") - F.col("_a"), "_a")).alias("period_return_pct"), "max_drawdown_pct")
+
+
+#: Metrics in the order of reports; users add columns of :func:`metrics` by name.
+METRICS = {"return_rate": 10, "annualized_return": 11, "volatility": 20, "max_drawdown": 21, "var": 22, "cvar": 23, "ulcer_index": 24, "sharpe_ratio": 30, "sortino_ratio": 31, "upi": 32}
+
+
+def register_metric(name: str, order: int = 99) -> None:
+    METRICS[name] = order
+
+
+def metric_rows(wide: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """Metrics as rows ``name, place, value`` in their registered order; metrics that ``wide`` lacks are left out."""
+    chosen = sorted((n for n in names or METRICS if n in wide.columns), key=lambda n: (METRICS.get(n, 99), n))
+    rows = wide.select(*keys, *(F.col(n).cast("double").alias(n) for n in chosen)).unpivot(keys, chosen, "name", "value")
+    places = F.create_map(*(F.lit(x) for i, n in enumerate(chosen) for x in (n, i)))
+    return rows.select(*keys, "name", F.element_at(places, F.col("name")).alias("place"), "value")

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.folds import folded
 from tidewater.functions.windows import Series
 
 BARS = Series(["symbol", "frequency"], ["eob"])
@@ -118,6 +119,21 @@ def fuse_score(df: DataFrame, names: list[str], weights: dict[str, float] | None
     return d.withColumn(out, F.when(top > 0, F.col("_t") / top).otherwise(F.col("_t"))).drop("_t")
 
 
+def score_rows(df: DataFrame, names: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """Row by row the weighted mean of hyperbolic tangents of the signals that are known: its sign and its size."""
+    w = {c: float((weights or {}).get(c, 1.0)) for c in names}
+    known = lambda c, x: F.when(F.col(c).isNotNull(), x).otherwise(0.0)
+    score = F.coalesce(F.try_divide(sum((known(c, w[c] * F.tanh(F.col(c))) for c in names), F.lit(0.0)), sum((known(c, F.lit(w[c])) for c in names), F.lit(0.0))), F.lit(0.0))
+    return with_strength_rule(df.withColumns({"direction": F.signum(score).cast("int"), "strength": F.abs(score)}), names)
+
+
+def with_strength_rule(df: DataFrame, names: list[str], least: float = 0.5) -> DataFrame:
+    """A strength of exactly 1, unless neutral, becomes the mean size of the signals; ``actionable`` from ``least`` on."""
+    sizes = F.try_divide(sum((F.coalesce(F.abs(c), F.lit(0.0)) for c in names), F.lit(0.0)), sum((F.col(c).isNotNull().cast("double") for c in names), F.lit(0.0)))
+    d = df.withColumn("strength", F.when(F.col("direction") == 0, 0.0).when(F.col("strength") == 1.0, sizes).otherwise(F.col("strength")))
+    return d.withColumn("actionable", F.coalesce(F.col("strength") >= least, F.lit(False)))
+
+
 def fuse_weighted(df: DataFrame, names: list[str], weights: dict[str, float], out: str = "fused", unlisted: float = 1.0) -> DataFrame:
     """Weighted sum; a row-wise combination gives unlisted signals weight 0, a series-wise one keeps them at 1. Listed weights are normalized."""
     total = sum(weights.values()) or 1.0
@@ -195,15 +211,22 @@ def thr_dual(df: DataFrame, x: str, entry_long: float, entry_short: float, exit_
         d = d.withColumn("_e0", F.first("_e", ignorenulls=True).over(s.so_far)).withColumn("_was", s.lag("_e0"))
         d = d.withColumn("_ev", F.when(F.col("_was").isNull(), F.col("_e0")).when(v > exit_long, 1).when(v < exit_short, -1))
         return d.withColumn(out, F.coalesce(s.ffill("_ev"), F.lit(0))).drop("_e", "_e0", "_was", "_ev")
-    # Both exits can hold at once, so the position depends on the whole path.
-    path = F.collect_list(F.struct(v.alias("v"))).over(s.so_far)
 
-    def step(p: Column, t: Column) -> Column:
-        v = t["v"]
-        flat = F.when(v > entry_long, 1).when(v < entry_short, -1).otherwise(0)
-        return F.when(v.isNull(), p).when(p == 0, flat).when((p == 1) & (v < exit_short), -1).when((p == -1) & (v > exit_long), 1).otherwise(p)
+    # Both exits can hold at once, so the position depends on the whole path: a fold whose state is the position.
+    def step(state: list[int], row) -> list[tuple]:
+        p, y = state[0], getattr(row, x)
+        if y is not None:
+            if p == 0:
+                p = 1 if y > entry_long else -1 if y < entry_short else 0
+            elif p == 1 and y < exit_short:
+                p = -1
+            elif p == -1 and y > exit_long:
+                p = 1
+        state[0] = p
+        return [(*row, p)]
 
-    return df.withColumn(out, F.aggregate(path, F.lit(0), step))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` int"
+    return folded(df, s.by, s.order, lambda: [0], step, schema)
 
 
 def strategy_returns(df: DataFrame, position: str, price: str = "close", s: Series = BARS) -> DataFrame:
@@ -259,7 +282,3 @@ def signal_set(df: DataFrame, names: list[str]) -> DataFrame:
 def position_window(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of a period, bounds included; windows are to be computed before."""
     return df.where(F.col("eob").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
-
-
-def partition_count(df: DataFrame, s: Series = BARS) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*s.by))

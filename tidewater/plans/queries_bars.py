@@ -239,6 +239,43 @@ _threshold(
 )
 
 
+@query(
+    "thr_dual_wide",
+    f"WITH RECURSIVE {{bars}}, m AS (SELECT symbol, eob, round({MOM}, 9) AS x, row_number() OVER (PARTITION BY symbol ORDER BY eob) AS k FROM bars), "
+    "s(symbol, eob, k, p) AS (SELECT symbol, eob, k, CASE WHEN x > 0.3 THEN 1 WHEN x < -0.3 THEN -1 ELSE 0 END FROM m WHERE k = 1 UNION ALL "
+    "SELECT m.symbol, m.eob, m.k, CASE WHEN x IS NULL THEN p WHEN p = 0 THEN CASE WHEN x > 0.3 THEN 1 WHEN x < -0.3 THEN -1 ELSE 0 END WHEN p = 1 AND x < 0.2 THEN -1 WHEN p = -1 AND x > -0.2 THEN 1 ELSE p END FROM s JOIN m ON m.symbol = s.symbol AND m.k = s.k + 1) "
+    "SELECT symbol, eob, CAST(p AS INT) AS position FROM s",
+)
+def thr_dual_wide(spark, d):
+    """Exits that can hold at once: the position depends on the whole path."""
+    x = signals.momentum(bars.event_bars(spark, d), out="x").withColumn("x", F.round("x", 9))
+    return signals.thr_dual(x, "x", 0.3, -0.3, -0.2, 0.2).select("symbol", "eob", "position")
+
+
+@query(
+    "score_rows",
+    "WITH " + THREE + ", q AS (SELECT symbol, eob, ma, boll, vol, coalesce((CASE WHEN ma IS NOT NULL THEN 2 * tanh(ma) ELSE 0 END + CASE WHEN boll IS NOT NULL THEN tanh(boll) ELSE 0 END + CASE WHEN vol IS NOT NULL THEN tanh(vol) ELSE 0 END) "
+    "/ nullif((ma IS NOT NULL)::INT * 2 + (boll IS NOT NULL)::INT + (vol IS NOT NULL)::INT, 0), 0) AS sc FROM s), t AS (SELECT *, CASE WHEN sc = 0 THEN 0.0 WHEN abs(sc) = 1 THEN (coalesce(abs(ma), 0) + coalesce(abs(boll), 0) + coalesce(abs(vol), 0)) / ((ma IS NOT NULL)::INT + (boll IS NOT NULL)::INT + (vol IS NOT NULL)::INT) ELSE abs(sc) END AS strength FROM q) "
+    f"SELECT symbol, eob, CAST(sign(sc) AS INT) AS direction, {r('strength')} AS strength, strength >= 0.5 AS actionable FROM t",
+)
+def score_rows(spark, d):
+    x = signals.score_rows(_three(spark, d), ["ma", "boll", "vol"], {"ma": 2.0})
+    return x.select("symbol", "eob", "direction", rounded("strength").alias("strength"), "actionable")
+
+
+@query(
+    "vote_strength",
+    "WITH " + THREE + ", q AS (SELECT *, (coalesce(ma, 0) > 0)::INT + (coalesce(boll, 0) > 0)::INT + (coalesce(vol, 0) > 0)::INT AS up, (coalesce(ma, 0) < 0)::INT + (coalesce(boll, 0) < 0)::INT + (coalesce(vol, 0) < 0)::INT AS down FROM s), "
+    "t AS (SELECT symbol, eob, CASE WHEN up > down THEN 1 WHEN down > up THEN -1 ELSE 0 END AS direction, CASE WHEN up > down THEN up / 3.0 WHEN down > up THEN down / 3.0 ELSE 0.0 END AS st, (coalesce(abs(ma), 0) + coalesce(abs(boll), 0) + coalesce(abs(vol), 0)) / nullif((ma IS NOT NULL)::INT + (boll IS NOT NULL)::INT + (vol IS NOT NULL)::INT, 0) AS av FROM q) "
+    f"SELECT symbol, eob, CAST(direction AS INT) AS direction, {r('CASE WHEN direction <> 0 AND st = 1 THEN av ELSE st END')} AS strength, coalesce(CASE WHEN direction <> 0 AND st = 1 THEN av ELSE st END >= 0.5, false) AS actionable FROM t",
+)
+def vote_strength(spark, d):
+    """The majority's direction; a unanimous vote's strength is the mean size of the signals."""
+    names = ["ma", "boll", "vol"]
+    x = signals.with_strength_rule(signals.vote_with_strength(_three(spark, d), names), names)
+    return x.select("symbol", "eob", "direction", rounded("strength").alias("strength"), "actionable")
+
+
 @query(
     "strategy_return",
     f"WITH {{bars}}, m AS (SELECT symbol, eob, close, CASE WHEN {MOM} > 0 THEN 1 WHEN {MOM} < 0 THEN -1 ELSE 0 END AS p FROM bars), "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded
-from tidewater.operators import combine, factors
+from tidewater.operators import combine, factors, validation
 from tidewater.plans.catalog import query, r
 from tidewater.sources import bars
 
@@ -70,6 +70,19 @@ def factor_complete_field(spark, d):
     return bars.complete_field(p, p.select("date").distinct(), p.select("symbol").distinct(), "volume")
 
 
+@query("factor_field_missing", "WITH {panel}, d AS (SELECT DISTINCT date FROM panel UNION SELECT TIMESTAMP '1900-01-01'), s AS (SELECT DISTINCT symbol FROM panel) SELECT d.date, s.symbol, NULL::DOUBLE AS volume FROM d CROSS JOIN s")
+def factor_field_missing(spark, d):
+    """A date is asked for that the panel lacks, so the whole field is null."""
+    p = bars.supplier_panel(spark, d)
+    dates = p.select("date").distinct().unionByName(spark.sql("select timestamp'1900-01-01' as date"))
+    return bars.complete_field(p, dates, p.select("symbol").distinct(), "volume")
+
+
+@query("panel_shape", "WITH {panel} SELECT f AS field, n_dates, n_symbols, n_rows, n_rows AS n_values, n_rows = n_dates * n_symbols AS complete FROM (SELECT count(DISTINCT date) AS n_dates, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows FROM panel), (SELECT unnest(['close', 'volume']) AS f)")
+def panel_shape(spark, d):
+    return factors.shape(bars.supplier_panel(spark, d), ["close", "volume"])
+
+
 BUCKET = "b AS (SELECT *, CASE WHEN f IS NOT NULL AND count(f) OVER (PARTITION BY date) >= 10 THEN CAST(greatest(1, ceil(10 * (row_number() OVER (PARTITION BY date ORDER BY f NULLS LAST, symbol) - 1) / (count(f) OVER (PARTITION BY date) - 1))) AS INT) END AS bucket FROM fx)"
 
 
@@ -131,6 +144,15 @@ def ic_decay(spark, d):
     return factors.ic_decay(panel(spark, d), "f", "ret").select("k", rounded("ic_mean").alias("ic_mean"), "n")
 
 
+DECAY = f"{SPEARMAN}, i AS (SELECT ic.*, di, n FROM ic JOIN (SELECT DISTINCT date, di FROM fx) USING (date), nd), dk AS (SELECT kk.k AS k, avg(ic) AS m FROM i, generate_series(1, 20) AS kk(k) WHERE kk.k <= n // 2 - 1 AND di BETWEEN kk.k AND n - 1 - kk.k GROUP BY kk.k), hl AS (SELECT -regr_slope(ln(abs(m)), k) AS rate FROM dk WHERE abs(m) > 0)"
+
+
+@query("half_life", f"WITH {BASE}, {DECAY} SELECT {r('rate')} AS decay_rate, {r('CASE WHEN rate > 0 THEN ln(2.0) / rate ELSE CAST(' + chr(39) + 'inf' + chr(39) + ' AS DOUBLE) END', 4)} AS half_life FROM hl")
+def half_life(spark, d):
+    x = factors.half_life(factors.ic_decay(panel(spark, d), "f", "ret"))
+    return x.select(rounded("decay_rate").alias("decay_rate"), rounded("half_life", 4).alias("half_life"))
+
+
 GROUPS = BASE.replace(", al AS", f", {BUCKET}, al AS").replace("SELECT fx.* FROM fx, nd", "SELECT b.* FROM b, nd")
 GR = ", g1 AS (SELECT date, bucket, avg(ret) AS m FROM al WHERE bucket IS NOT NULL AND ret IS NOT NULL GROUP BY date, bucket), g AS (SELECT bucket, avg(m) AS mean_return, count(m) AS n_dates FROM g1 GROUP BY bucket)"
 
@@ -200,7 +222,25 @@ _weights("w_ir", "ir_weight", f"{TWO}, i AS (SELECT (SELECT abs(avg(ic) / stddev
 _weights("w_minvar", "min_variance", f"{COV}, m AS (SELECT greatest(vv - fv, 0) AS a, greatest(ff - fv, 0) AS b FROM c) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
 _weights("w_maxsharpe", "max_sharpe", f"{TWO}, {ABS_IC}, {COV}, m AS (SELECT greatest(vv * i.a - fv * i.b, 0) AS a, greatest(ff * i.b - fv * i.a, 0) AS b FROM c, i) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
 _weights("w_riskparity", "risk_parity", "m AS (SELECT 1 / stddev_pop(f) AS a, 1 / stddev_pop(v) AS b FROM fx) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))
-_weights("w_pca", "pca", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))  # of two factors both loadings are equal
+
+#: A third factor, and the first component of the three by power iteration, its largest loading positive.
+THREE = """t AS (SELECT fx.date, fx.symbol, f, v, round(ln(close), 9) AS l FROM fx JOIN panel USING (date, symbol)), tc AS (SELECT * FROM t WHERE f IS NOT NULL AND v IS NOT NULL AND l IS NOT NULL),
+rho AS (SELECT corr(f, v) AS fv, corr(f, l) AS fl, corr(v, l) AS vl, avg(f) AS mf, stddev_pop(f) AS sf, avg(v) AS mv, stddev_pop(v) AS sv, avg(l) AS ml, stddev_pop(l) AS sl FROM tc),
+pw(i, a, b, c) AS (SELECT 0, 1.0::DOUBLE, 0.9::DOUBLE, 0.8::DOUBLE UNION ALL
+  SELECT i + 1, x / sqrt(x * x + y * y + z * z), y / sqrt(x * x + y * y + z * z), z / sqrt(x * x + y * y + z * z)
+  FROM (SELECT i, a + fv * b + fl * c AS x, fv * a + b + vl * c AS y, fl * a + vl * b + c AS z FROM pw, rho WHERE i < 3000)),
+ax AS (SELECT a * s AS a, b * s AS b, c * s AS c FROM (SELECT *, sign(CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a WHEN abs(b) >= abs(c) THEN b ELSE c END) AS s FROM pw WHERE i = 3000))"""
+NAMES3 = ["f", "v", "l"]
+
+
+def _three(spark, d) -> DataFrame:
+    return panel(spark, d).withColumn("l", F.round(F.ln("close"), 9))
+
+
+@query("w_pca", f"WITH RECURSIVE {BASE}, {THREE} SELECT n AS factor, {r('abs(w) / (abs(a) + abs(b) + abs(c))')} AS weight FROM (SELECT *, unnest(['f', 'v', 'l']) AS n, unnest([a, b, c]) AS w FROM ax)")
+def w_pca(spark, d):
+    p = _three(spark, d)
+    return combine.weight_rows(p, combine.weights(p, NAMES3, "pca")).withColumn("weight", rounded("weight"))
 
 
 @query(
@@ -222,17 +262,62 @@ def orth_gs(spark, d):
 
 @query(
     "orth_pca",
-    f"WITH {BASE}, o AS (SELECT avg(f) AS mf, stddev_pop(f) AS sf, avg(v) AS mv, stddev_pop(v) AS sv, sign(corr(f, v)) AS s FROM fx WHERE f IS NOT NULL AND v IS NOT NULL), "
-    "z AS (SELECT date, symbol, (f - mf) / sf AS a, (v - mv) / sv AS b, s FROM fx, o) "
-    f"SELECT date, symbol, {r('abs(a + s * b) / sqrt(2)')} AS f, {r('abs(a - s * b) / sqrt(2)')} AS v FROM z",
+    f"WITH RECURSIVE {BASE}, {THREE}, z AS (SELECT date, symbol, (f - mf) / sf AS zf, (v - mv) / sv AS zv, (l - ml) / sl AS zl FROM t, rho), y AS (SELECT date, symbol, a * zf + b * zv + c * zl AS p, zf * zf + zv * zv + zl * zl AS q FROM z, ax) "
+    f"SELECT date, symbol, {r('p', 5)} AS first_score, {r('q - p * p', 5)} AS rest FROM y",
 )
 def orth_pca(spark, d):
-    """Sizes of the scores: with two factors both loadings of a component are equal, so its sign is a matter of rounding."""
-    x = combine.orthogonalize(panel(spark, d), ["f", "v"], "pca")
-    return _out(x.withColumns({"f": F.abs("f"), "v": F.abs("v")}), "f", "v")
+    """The first component's score with its sign, and the sum of squares of the other two."""
+    x = combine.orthogonalize(_three(spark, d), NAMES3, "pca")
+    return x.select("date", "symbol", rounded("f", 5).alias("first_score"), rounded(F.col("v") * F.col("v") + F.col("l") * F.col("l"), 5).alias("rest"))
 
 
 @query("combine_factors", f"WITH {BASE}, {TWO}, {ABS_IC} SELECT date, symbol, {r('a / (a + b) * f + b / (a + b) * v')} AS combined FROM fx, i")
 def combine_factors(spark, d):
     p = panel(spark, d)
     return _out(combine.combine(p, combine.weights(p, ["f", "v"], "ic_weight", "ret")), "combined")
+
+
+@query("top_factors", f"WITH {BASE}, {TWO} SELECT factor, {r('m')} AS ic_mean FROM (SELECT 'f' AS factor, avg(ic) AS m FROM ic UNION ALL SELECT 'v', avg(ic) FROM ic2) ORDER BY abs(m) DESC LIMIT 1")
+def top_factors(spark, d):
+    """The factor of largest absolute correlation: of two, the first."""
+    x = factors.ic_by_factor(panel(spark, d), ["f", "v"], "ret")
+    return x.orderBy(F.desc(F.abs("ic_mean"))).limit(1).select("factor", rounded("ic_mean").alias("ic_mean"))
+
+
+@query("factor_correlation", f"WITH RECURSIVE {BASE}, {THREE} SELECT * FROM (SELECT 'f' AS a, 'v' AS b, {r('corr(f, v)')} AS correlation FROM t UNION ALL SELECT 'f', 'l', {r('corr(f, l)')} FROM t UNION ALL SELECT 'v', 'l', {r('corr(v, l)')} FROM t)")
+def factor_correlation(spark, d):
+    return combine.correlations(_three(spark, d), NAMES3).withColumn("correlation", rounded("correlation"))
+
+
+GK = "gk AS (SELECT rank() OVER (ORDER BY bucket) AS x, rank() OVER (ORDER BY mean_return) AS y, bucket, mean_return FROM g), gs AS (SELECT arg_max(mean_return, bucket) - arg_min(mean_return, bucket) AS spread, abs(corr(x, y)) AS monotonicity FROM gk)"
+#: The groups of a combination 0.75 f + 0.25 v in place of the factor.
+MIXED = BASE.replace("nd AS (SELECT", "fy AS (SELECT * REPLACE (0.75 * f + 0.25 * v AS f) FROM fx), nd AS (SELECT").replace(", al AS", ", " + BUCKET.replace("FROM fx)", "FROM fy)") + ", al AS").replace("SELECT fx.* FROM fx, nd", "SELECT b.* FROM b, nd")
+
+
+@query("combination_metrics", f"WITH {MIXED}, {SPEARMAN}{GR}, {GK} SELECT {r('1 / (0.75 * 0.75 + 0.25 * 0.25)')} AS effective_number, {r('0.75 * 0.75 + 0.25 * 0.25')} AS herfindahl, (SELECT {r('avg(ic)')} FROM ic) AS ic, (SELECT {r('avg(ic) / stddev_pop(ic)')} FROM ic) AS ir, {r('spread')} AS spread, {r('monotonicity')} AS monotonicity FROM gs")
+def combination_metrics(spark, d):
+    x = combine.metrics(panel(spark, d), {"f": 0.75, "v": 0.25}, "ret")
+    return x.select(*(rounded(c).alias(c) for c in x.columns))
+
+
+@query(
+    "validation_run",
+    f"WITH {GROUPS}, {DECAY}{GR}, {GK}, hv AS (SELECT date, f, ret FROM al WHERE f IS NOT NULL AND ret IS NOT NULL), hm AS (SELECT date, quantile_cont(f, 0.5) AS mf, quantile_cont(ret, 0.5) AS mr FROM hv GROUP BY date HAVING count(*) >= 10), "
+    "h AS (SELECT sum(((f > mf) = (ret > mr))::INT) AS hits, count(*) AS n FROM hv JOIN hm USING (date)), "
+    "mv AS (SELECT a.date, (a.bucket <> z.bucket)::INT::DOUBLE AS moved, z.bucket AS was FROM b a JOIN b z ON a.symbol = z.symbol AND a.di = z.di + 1 WHERE a.bucket IS NOT NULL AND z.bucket IS NOT NULL), "
+    "tn AS (SELECT avg(moved) AS t, avg(moved) FILTER (was = 10) AS top, avg(moved) FILTER (was = 1) AS bottom FROM mv GROUP BY date), "
+    "vr AS (SELECT count(f) AS valid, count(*) AS cells FROM fx) "
+    f"SELECT validation, name, {r('value', 5)} AS value FROM ("
+    "SELECT 'validity' AS validation, 'valid' AS name, valid::DOUBLE AS value FROM vr UNION ALL SELECT 'validity', 'cells', cells FROM vr UNION ALL SELECT 'validity', 'valid_ratio', valid / cells FROM vr UNION ALL SELECT 'validity', 'sparse', (valid / cells < 0.7)::INT FROM vr "
+    "UNION ALL SELECT 'information_coefficient', 'ic_mean', avg(ic) FROM ic UNION ALL SELECT 'information_coefficient', 'ic_std', stddev_pop(ic) FROM ic UNION ALL SELECT 'information_coefficient', 'ic_ir', avg(ic) / stddev_pop(ic) FROM ic "
+    "UNION ALL SELECT 'information_coefficient', 'positive_ratio', avg((ic > 0)::INT) FROM ic UNION ALL SELECT 'information_coefficient', 't_stat', avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) FROM ic UNION ALL SELECT 'information_coefficient', 'n', count(ic) FROM ic "
+    "UNION ALL SELECT 'ic_decay', 'decay_rate', rate FROM hl UNION ALL SELECT 'ic_decay', 'half_life', CASE WHEN rate > 0 THEN ln(2.0) / rate ELSE CAST('inf' AS DOUBLE) END FROM hl "
+    "UNION ALL SELECT 'group_returns', 'spread', spread FROM gs UNION ALL SELECT 'group_returns', 'monotonicity', monotonicity FROM gs "
+    "UNION ALL SELECT 'turnover', 'turnover', avg(t) FROM tn UNION ALL SELECT 'turnover', 'top', avg(top) FROM tn UNION ALL SELECT 'turnover', 'bottom', avg(bottom) FROM tn "
+    "UNION ALL SELECT 'hit_rate', 'hits', hits FROM h UNION ALL SELECT 'hit_rate', 'n', n FROM h UNION ALL SELECT 'hit_rate', 'hit_rate', hits / n FROM h)",
+)
+def validation_run(spark, d):
+    """All validations but the stability of the correlation, which has a query of its own, and the p-value, which has no SQL."""
+    names = [n for n in validation.CHECKS if n != "stability"]
+    rows = validation.result_rows(spark, validation.run_all(panel(spark, d).cache(), "f", "ret", names=names))
+    return rows.where("name <> 'p_value'").select("validation", "name", rounded("value", 5).alias("value"))

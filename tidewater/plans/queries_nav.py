@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded
-from tidewater.operators import ledger, nav
+from tidewater.operators import asof, ledger, nav, strategy
 from tidewater.plans.catalog import query, r
 from tidewater.sources import bars
 
@@ -100,15 +100,74 @@ def nav_excess(spark, d):
     return x.select("date", *_rounded(x, ["strategy_pct", "benchmark_pct", "excess_pct", "excess_drawdown"]))
 
 
+CLIENT = ("return_rate", "annualized_return", "volatility", "max_drawdown", "sharpe_ratio", "sortino_ratio", "var", "cvar", "ulcer_index", "upi", "benchmark_return", "benchmark_max_drawdown", "relative_return")
+
+
+def _client_sql(source: str, group: str = "") -> str:
+    """Metrics of the browser report of slices in ``source(date, assets, benchmark, g)``; a slice's first day is its base."""
+    w = "(PARTITION BY g ORDER BY date)"
+    up = "(PARTITION BY g ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""e AS (SELECT *, row_number() OVER {w} AS i FROM {source}), en AS (SELECT g, arg_min(assets, date) AS a0, arg_max(assets, date) AS a1, arg_min({{'b': benchmark}}, date).b AS b0, arg_max({{'b': benchmark}}, date).b AS b1 FROM e GROUP BY g),
+x AS (SELECT g, date, assets, benchmark, assets / lag(assets) OVER {w} - 1 AS r, max(assets) OVER {up} AS peak, max(benchmark) OVER {up} AS bpeak FROM e WHERE i > 1),
+y AS (SELECT *, (peak - assets) / peak AS dd, (bpeak - benchmark) / bpeak AS bd, row_number() OVER (PARTITION BY g ORDER BY r NULLS LAST, date) AS k, count(r) OVER (PARTITION BY g) AS n FROM x),
+a AS (SELECT g, count(*) AS n_days, date_diff('day', min(date), max(date)) AS days, stddev_pop(r) * sqrt(252) AS volatility, max(dd) AS max_drawdown, coalesce(max(bd), 0) AS benchmark_max_drawdown,
+  -max(r) FILTER (k - 1 = floor(n * 0.05 + 1e-9)) AS var, -avg(r) FILTER (k <= greatest(1, floor(n * 0.05 + 1e-9)) AND r IS NOT NULL) AS cvar, sqrt(avg(dd * dd)) AS ulcer_index,
+  sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0.0 END)) AS down FROM y GROUP BY g),
+m AS (SELECT a.*, (a1 - a0) / a0 AS return_rate, (b1 - b0) / b0 AS benchmark_return FROM a JOIN en USING (g)), n AS (SELECT *, pow(1 + return_rate, 365.0 / days) - 1 AS annualized_return FROM m),
+z AS (SELECT *, (annualized_return - 0.02) / volatility AS sharpe_ratio, (annualized_return - 0.02) / (down * sqrt(252)) AS sortino_ratio, (annualized_return - 0.02) / ulcer_index AS upi, return_rate - coalesce(benchmark_return, 0) AS relative_return FROM n)
+SELECT {group}n_days, {', '.join(f'{r(n)} AS {n}' for n in CLIENT)} FROM z"""
+
+
+def _with_benchmark(spark, d) -> DataFrame:
+    return nav.align_benchmark(_nav(spark, d), bars.ship_benchmark(spark, d))
+
+
+@query("nav_client_metrics", f"WITH {ALIGNED}, s AS (SELECT 1 AS g, * FROM al), " + _client_sql("s"))
+def nav_client_metrics(spark, d):
+    x = nav.client_metrics(_with_benchmark(spark, d), KEYS)
+    return x.select("n_days", *_rounded(x, CLIENT))
+
+
 @query(
-    "nav_client_metrics",
-    f"WITH {{nav}}, x AS ({RET}), y AS (SELECT *, (peak - assets) / peak AS dd, row_number() OVER (ORDER BY r NULLS LAST, date) AS k, count(r) OVER () AS n FROM x) "
-    f"SELECT {r('(arg_max(assets, date) - arg_min(assets, date)) / arg_min(assets, date)')} AS return_rate, {r('stddev_pop(r) * sqrt(252)')} AS volatility, {r('max(dd)')} AS max_drawdown, "
-    f"{r('-max(r) FILTER (k - 1 = floor(n * 0.05 + 1e-9))')} AS var, {r('sqrt(avg(dd * dd))')} AS ulcer_index FROM y",
+    "nav_client_stats",
+    f"WITH {ALIGNED}, f AS (SELECT max(date) AS last, min(date) AS first FROM nav), wd AS (SELECT p, CASE WHEN p = 'ytd' THEN CAST(date_trunc('year', last) AS DATE) ELSE CAST(last - to_months(m) AS DATE) END AS since, first FROM f, (VALUES ('1m', 1), ('1y', 12), ('ytd', NULL), ('all', NULL)) v(p, m)), "
+    "bs AS (SELECT p, coalesce(CASE WHEN p = 'ytd' THEN (SELECT min(date) FROM nav WHERE date >= since) ELSE (SELECT max(date) FROM nav WHERE date <= since AND date > first) END, (SELECT min(date) FROM nav WHERE date > first)) AS start FROM wd), "
+    "c AS (SELECT p, coalesce((SELECT max(date) FROM nav WHERE date < start), (SELECT first FROM f)) AS base FROM bs), "
+    "s AS (SELECT p AS g, date, assets, benchmark FROM al, c WHERE date >= base), " + _client_sql("s", "g AS period, "),
 )
-def nav_client_metrics(spark, d):
-    x = nav.client_metrics(_nav(spark, d), KEYS)
-    return x.select(*_rounded(x, ["return_rate", "volatility", "max_drawdown", "var", "ulcer_index"]))
+def nav_client_stats(spark, d):
+    x = nav.client_metrics(nav.slices(_with_benchmark(spark, d), ["1m", "1y", "ytd", "all"]), ["portfolio", "period"])
+    return x.select("period", "n_days", *_rounded(x, CLIENT))
+
+
+@query(
+    "nav_client_series",
+    f"WITH {ALIGNED}, p AS (SELECT *, 100 * (assets / first_value(assets) OVER w - 1) AS s, 100 * (benchmark / first_value(benchmark IGNORE NULLS) OVER w - 1) AS b, max(assets) OVER w AS pa, max(benchmark) OVER w AS pb FROM al WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT date, {r('s')} AS strategy_pct, {r('b')} AS benchmark_pct, {r('s - b')} AS excess_pct, {r('-100 * (pa - assets) / pa')} AS strategy_drawdown, {r('-100 * (pb - benchmark) / pb')} AS benchmark_drawdown FROM p",
+    dates=("date",),
+)
+def nav_client_series(spark, d):
+    x = nav.client_series(_with_benchmark(spark, d), KEYS)
+    return x.select("date", *_rounded(x, ["strategy_pct", "benchmark_pct", "excess_pct", "strategy_drawdown", "benchmark_drawdown"]))
+
+
+@query(
+    "nav_slider",
+    "WITH {nav}, p AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM nav), q AS (SELECT *, max(assets) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM p WHERE i BETWEEN 100 AND 400) "
+    f"SELECT {r('100 * (arg_max(assets, date) - arg_min(assets, date)) / arg_min(assets, date)')} AS period_return_pct, {r('100 * max((peak - assets) / peak)')} AS max_drawdown_pct FROM q",
+)
+def nav_slider(spark, d):
+    x = nav.index_range(_nav(spark, d), KEYS, 100, 400)
+    return x.select(*_rounded(x, ["period_return_pct", "max_drawdown_pct"]))
+
+
+@query(
+    "nav_metric_rows",
+    "WITH {nav}, s AS (SELECT 1 AS g, * FROM nav), " + _metrics_sql("s").replace("\nSELECT n_days, ", ", w AS (SELECT ") + ") SELECT name, CAST(list_position(["
+    + ", ".join(f"'{n}'" for n in sorted(nav.METRICS, key=lambda n: (nav.METRICS[n], n))) + "], name) - 1 AS INT) AS place, value FROM (UNPIVOT w ON COLUMNS(*) INTO NAME name VALUE value)",
+)
+def nav_metric_rows(spark, d):
+    return nav.metric_rows(nav.metrics(_nav(spark, d), KEYS), KEYS).select("name", "place", rounded("value").alias("value"))
 
 
 # Trades -----------------------------------------------------------------------------------------------
@@ -155,6 +214,12 @@ def trade_metrics(spark, d):
     return x.select("n", *[rounded(c, 4).alias(c) for c in ("win_rate", "avg_profit", "avg_loss", "avg_profit_pct", "avg_loss_pct", "avg_holding_days", "profit_loss_ratio", "kelly")])
 
 
+@query("trade_metrics_legacy", "WITH RECURSIVE {trades}," + FOLD + f" SELECT {r('100 * avg(CASE WHEN profit > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate_pct, {r('avg((epoch(date_trunc(' + chr(39) + 'second' + chr(39) + ', close_time)) - epoch(date_trunc(' + chr(39) + 'second' + chr(39) + ', open_time))) / 86400)', 4)} AS avg_holding_days FROM trips")
+def trade_metrics_legacy(spark, d):
+    x = ledger.trade_metrics(_clip(spark, d), whole_days=False)
+    return x.select(rounded(100 * F.col("win_rate"), 4).alias("win_rate_pct"), rounded("avg_holding_days", 4).alias("avg_holding_days"))
+
+
 @query("top_trades", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, close_time, {r('profit', 6)} AS profit FROM trips ORDER BY trips.profit DESC, close_time LIMIT 10")
 def top_trades(spark, d):
     return ledger.top_trades(_clip(spark, d), 10).select("symbol", "close_time", rounded("profit", 6).alias("profit"))
@@ -169,3 +234,52 @@ def worst_trades(spark, d):
 def ledger_backtest(spark, d):
     """Every user's trades replayed through an account of their own."""
     return ledger.replay(bars.event_trades(spark, d).withColumn("account", F.col("symbol")), cash=100_000.0)
+
+
+# Strategies -------------------------------------------------------------------------------------------
+
+def buy_and_hold(context, now) -> None:
+    """Buys at the first bar of the period and sells at its 25th; an account trades one symbol."""
+    if context.step == 1:
+        context.buy(now[0].symbol, 10_000)
+    elif context.step == 25:
+        context.sell(now[0].symbol, 10_000)
+
+
+def _backtest(spark, d) -> DataFrame:
+    return strategy.backtest(bars.event_bars(spark, d).where("close > 0"), buy_and_hold, "2024-01-05 00:00:00", "2024-01-15 00:00:00", "symbol", cash=1e9)
+
+
+#: Volumes are such that fees come out in whole cents.
+HELD = """{bars}, p AS (SELECT symbol, eob, close, row_number() OVER (PARTITION BY symbol ORDER BY eob) AS k FROM bars WHERE close > 0 AND eob BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15'),
+f AS (SELECT symbol, max(close) FILTER (k = 1) AS p1, max(close) FILTER (k = 25) AS p2 FROM p GROUP BY symbol),
+c AS (SELECT symbol, p1, p2, 1e9 - (10000 * p1 + greatest(3 * p1, 5)) AS c1, 10000 * p2 - (greatest(3 * p2, 5) + 10 * p2) AS gain FROM f),
+o AS (SELECT symbol, eob, k, close, p1, p2, CASE WHEN k >= 25 THEN c1 + gain ELSE c1 END AS cash, CASE WHEN k >= 25 THEN 0 ELSE 10000 END AS held FROM p JOIN c USING (symbol)),
+s AS (SELECT symbol AS account, eob AS created_at, cash, cash + held * close AS nav FROM o
+      UNION ALL SELECT symbol, max(eob), 1e9, 1e9 FROM bars WHERE close > 0 AND eob < TIMESTAMP '2024-01-05' GROUP BY symbol)"""
+
+
+@query("strategy_backtest", f"WITH {HELD} SELECT account, created_at, {r('cash', 2)} AS cash, {r('nav', 2)} AS nav FROM s")
+def strategy_backtest(spark, d):
+    x = strategy.snapshots(_backtest(spark, d))
+    return x.select("account", "created_at", *_rounded(x, ["cash", "nav"], 2))
+
+
+@query(
+    "strategy_orders",
+    f"WITH {HELD} SELECT symbol AS account, eob AS created_at, CASE WHEN k = 1 THEN 1 ELSE 2 END AS side, close AS price, 10000.0::DOUBLE AS volume, {r('greatest(3 * close, 5) + CASE WHEN k = 25 THEN 10 * close ELSE 0 END', 2)} AS fee FROM o WHERE k IN (1, 25) AND eob >= TIMESTAMP '2024-01-05 01:00:00'",
+)
+def strategy_orders(spark, d):
+    x = ledger.orders_between(strategy.fills(_backtest(spark, d)), "2024-01-05 01:00:00", "2024-01-15 00:00:00")
+    return x.select("account", "created_at", "side", "price", F.col("filled_volume").alias("volume"), rounded("fee", 2).alias("fee"))
+
+
+@query("strategy_account_at", f"WITH {HELD} SELECT account, {r('arg_max(nav, created_at)', 2)} AS nav, max(created_at) AS created_at FROM s WHERE created_at <= TIMESTAMP '2024-01-05 20:30:00' GROUP BY account")
+def strategy_account_at(spark, d):
+    x = asof.snapshot_at(strategy.snapshots(_backtest(spark, d)), "2024-01-05 20:30:00", "nav", ["account"])
+    return x.withColumn("nav", rounded("nav", 2))
+
+
+@query("strategy_positions", f"WITH {HELD} SELECT symbol AS account, symbol, 10000.0::DOUBLE AS volume FROM f WHERE p1 IS NOT NULL AND (SELECT min(eob) FROM p WHERE p.symbol = f.symbol) <= TIMESTAMP '2024-01-05 20:30:00' AND coalesce((SELECT min(eob) FROM p WHERE p.symbol = f.symbol AND k = 25) > TIMESTAMP '2024-01-05 20:30:00', true)")
+def strategy_positions(spark, d):
+    return ledger.positions_at(strategy.fills(_backtest(spark, d)), "2024-01-05 20:30:00").select("account", "symbol", "volume")

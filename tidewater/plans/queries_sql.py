@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.stats import rounded
 from tidewater.plans import report
 from tidewater.plans.catalog import query, r
-from tidewater.plans.library import FactorLibrary
+from tidewater.plans.library import STATUSES, FactorLibrary
 from tidewater.plans.sqlbuilder import Database, page_count, sorted_page, top_per_key
 from tidewater.sources import bars
 
@@ -133,20 +133,24 @@ def stack_percent(spark, d):
     return report.stack_percent(bars.event_bars(spark, d, "day"), "eob", "volume").select("symbol", "eob", rounded("percent").alias("percent"))
 
 
-@query("kline_rows", "WITH {days} SELECT eob AS x, open AS o, close AS c, low AS l, high AS h FROM days WHERE symbol = 'view'")
+@query("kline_rows", "WITH {days} SELECT symbol, eob AS x, open AS o, close AS c, low AS l, high AS h FROM days")
 def kline_rows(spark, d):
-    k = report.kline(bars.event_bars(spark, d, "day").where("symbol = 'view'"), "eob")
-    return k.select("x", *(F.element_at("ohlc", i + 1).alias(n) for i, n in enumerate("oclh")))
+    k = report.kline(bars.event_bars(spark, d, "day"), "eob", ["symbol"])
+    return k.select("symbol", "x", *(F.element_at("ohlc", i + 1).alias(n) for i, n in enumerate("oclh")))
 
 
 @query("chart_series", "WITH {days} SELECT symbol, eob AS x, name, value FROM (UNPIVOT (SELECT symbol, eob, open, close FROM days) ON open, close INTO NAME name VALUE value)")
 def chart_series(spark, d):
-    b = bars.event_bars(spark, d, "day")
-    parts: list[DataFrame] = [report.series(b.where(F.col("symbol") == s), "eob", ["open", "close"]).withColumn("symbol", F.lit(s)) for s in ("click", "error", "purchase", "signup", "view")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return report.series(bars.event_bars(spark, d, "day"), "eob", ["open", "close"], ["symbol"])
+
+
+@query(
+    "visual_range",
+    "WITH {days}, m AS (SELECT symbol, min(volume) AS lo, max(volume) AS hi FROM days GROUP BY symbol), s AS (SELECT *, CASE WHEN hi - lo >= 10 THEN 5.0 WHEN hi - lo >= 1 THEN 0.5 ELSE 0.01 END AS step FROM m) "
+    "SELECT symbol, CAST(floor(lo / step) * step AS DOUBLE) AS low, CAST(ceil(hi / step) * step AS DOUBLE) AS high, CAST(step AS DOUBLE) AS step FROM s",
+)
+def visual_range(spark, d):
+    return report.visual_range(bars.event_bars(spark, d, "day"), "volume", ["symbol"])
 
 
 @query("heatmap_cells", "WITH {days} SELECT dense_rank() OVER (ORDER BY eob) - 1 AS xi, dense_rank() OVER (ORDER BY symbol) - 1 AS yi, volume AS value FROM days")
@@ -154,10 +158,51 @@ def heatmap_cells(spark, d):
     return report.heatmap(bars.event_bars(spark, d, "day"), "symbol", "eob", "volume").select(F.col("xi").cast("long").alias("xi"), F.col("yi").cast("long").alias("yi"), "value")
 
 
-@query("library_statistics", "SELECT * FROM (VALUES ('author', 'ann', 3), ('category', 'price', 1), ('category', 'volume', 1), ('status', 'active', 2), ('status', 'draft', 1)) t(kind, value, n)")
+def _library(spark, d) -> FactorLibrary:
+    """Parts as factor versions: every 300th part is another version of one factor."""
+    version = F.concat(F.lit("1.0."), F.floor(F.col("p_partkey") / 300).cast("string"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("p_size") % 4 + 1).cast("int"))
+    at = F.lit("2024-01-01").cast("timestamp")
+    return FactorLibrary(spark, bars.read(spark, d, "part").select(
+        F.concat(F.lit("f"), (F.col("p_partkey") % 300).cast("string")).alias("factor_name"), version.alias("version"), F.col("p_type").alias("category"), F.col("p_name").alias("description"), F.col("p_brand").alias("author"),
+        status.alias("status"), F.array(F.element_at(F.split("p_name", " "), 1)).alias("tags"), at.alias("created_at"), at.alias("updated_at"),
+    ))
+
+
+LATEST = "p AS (SELECT *, p_partkey % 300 AS name, row_number() OVER (PARTITION BY p_partkey % 300 ORDER BY p_partkey // 300 DESC) AS k FROM part)"
+
+
+@query(
+    "library_statistics",
+    f"WITH {LATEST} SELECT 'category' AS kind, p_type AS value, count(*) AS n FROM p WHERE k = 1 GROUP BY p_type UNION ALL SELECT 'status', ['draft', 'testing', 'active', 'deprecated'][p_size % 4 + 1], count(*) FROM p GROUP BY 2 "
+    "UNION ALL SELECT 'author', p_brand, count(*) FROM p GROUP BY 2",
+)
 def library_statistics(spark, d):
-    lib = FactorLibrary(spark)
-    lib.register("momentum", "1.0.9", category="price", author="ann", tags=["trend"], status="active")
-    lib.register("momentum", category="price", author="ann")
-    lib.register("turnover", category="volume", author="ann", status="active")
-    return lib.statistics()
+    return _library(spark, d).statistics()
+
+
+@query("library_search", f"WITH {LATEST} SELECT 'f' || name AS factor_name, '1.0.' || (p_partkey // 300) AS version FROM p WHERE k = 1 AND (p_name ILIKE '%red%' OR 'f' || name ILIKE '%red%') AND p_size % 4 = 2")
+def library_search(spark, d):
+    lib = _library(spark, d)
+    hits = lib.search("RED", ("factor_name", "description"))
+    return hits.where("status = 'active'").select("factor_name", "version")
+
+
+@query("sql_conditions", "SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 OR c_mktsegment LIKE '%?%' OR c_custkey IN (7, 8) AND c_mktsegment IS NOT NULL")
+def sql_conditions(spark, d):
+    """Connectors that are not ``or`` count as ``and``, whatever they say; question marks in values are values."""
+    q = _db(spark, d, "customer").table("customer").fields("c_custkey").where({"c_nationkey": 3, "c_acctbal": (">", 0.0, "AND 1 = 1 OR")})
+    return q.where({"c_mktsegment": ("like", "%?%")}, method="OR").where({"c_custkey": ("in", [7, 8]), "c_mktsegment": ("is not", "NULL")}, method="or").df()
+
+
+@query("sql_upsert_batch", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 1 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal FROM customer")
+def sql_upsert_batch(spark, d):
+    """A batch that has each key twice: the later row counts."""
+    db, new = _split(spark, d)
+    return db.table("accounts").insert(new.unionByName(new.withColumn("c_acctbal", F.col("c_acctbal") + 1)), ["c_custkey"], "replace")
+
+
+@query("sort_numbers_in_text", "SELECT c_custkey, CAST(c_custkey % 500 AS VARCHAR) AS code FROM customer ORDER BY c_custkey % 500 DESC, c_custkey LIMIT 30 OFFSET 30")
+def sort_numbers_in_text(spark, d):
+    c = bars.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 500).cast("string").alias("code"))
+    return sorted_page(c, [("code", True), ("c_custkey", False)], 2, 30)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -18,18 +19,19 @@ KLINE_NAMES = {
 }
 
 
-def series(df: DataFrame, x: str, names: list[str] | None = None) -> DataFrame:
-    """Wide columns as rows ``x, name, value``."""
-    cols = names or [c for c in df.columns if c != x]
-    return df.select(F.col(x).alias("x"), *(F.col(c).cast("double").alias(c) for c in cols)).unpivot("x", cols, "name", "value")
+def series(df: DataFrame, x: str, names: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Wide columns as rows ``x, name, value``, beside the columns ``keys``."""
+    keys = keys or []
+    cols = names or [c for c in df.columns if c not in (x, *keys)]
+    return df.select(*keys, F.col(x).alias("x"), *(F.col(c).cast("double").alias(c) for c in cols)).unpivot([*keys, "x"], cols, "name", "value")
 
 
-def kline(df: DataFrame, x: str) -> DataFrame:
-    """Rows ``x, ohlc`` with open, close, low and high in this order."""
+def kline(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows ``x, ohlc`` with open, close, low and high in this order, beside the columns ``keys``."""
     pick = {k: [c for c in names if c in df.columns] for k, names in KLINE_NAMES.items()}
     if missing := [k for k, c in pick.items() if not c]:
         raise ValueError(f"no column for {missing}")
-    return df.select(F.col(x).alias("x"), F.array(*(F.col(pick[k][0]).cast("double") for k in KLINE_NAMES)).alias("ohlc"))
+    return df.select(*(keys or []), F.col(x).alias("x"), F.array(*(F.col(pick[k][0]).cast("double") for k in KLINE_NAMES)).alias("ohlc"))
 
 
 def heatmap(df: DataFrame, y: str, x: str, value: str) -> DataFrame:
@@ -46,12 +48,42 @@ def color_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.withColumn("scale", F.when(F.col(value).isNotNull(), F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.5))))
 
 
+def visual_range(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Bounds of a colour scale: least and largest value of each group, widened to whole steps of 5, 0.5 or 0.01 by their distance."""
+    g = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    step = F.when(F.col("_hi") - F.col("_lo") >= 10, 5.0).when(F.col("_hi") - F.col("_lo") >= 1, 0.5).otherwise(0.01)
+    g = g.withColumn("step", step)
+    return g.select(*by, (F.floor(F.col("_lo") / F.col("step")) * F.col("step")).alias("low"), (F.ceil(F.col("_hi") / F.col("step")) * F.col("step")).alias("high"), "step")
+
+
 def stack_percent(df: DataFrame, x: str, value: str) -> DataFrame:
     """Each value as a percentage of its ``x``'s total; 0 where the total is not positive."""
     total = F.sum(value).over(Window.partitionBy(x))
     return df.withColumn("percent", F.when(total > 0, 100 * F.col(value) / total).otherwise(0.0))
 
 
+#: Builders of cells by kind.
+CELL_KINDS: dict[str, Callable[..., dict]] = {}
+
+
+def cell_kind(name: str) -> Callable:
+    """Decorator: register a builder of cells, a function that returns their data."""
+
+    def add(f: Callable[..., dict]) -> Callable[..., dict]:
+        CELL_KINDS[name] = f
+        return f
+
+    return add
+
+
+def account_report(title: str, metrics: DataFrame, daily: DataFrame, trips: DataFrame, days: int = 5000, trades: int = 100) -> Notebook:
+    """An account's metrics (rows ``name, place, value``), its daily assets, and its most and least profitable round trips, as a document."""
+    rows = metrics.orderBy("place").collect()  # a row for each metric
+    doc = Notebook(title).metrics({r["name"]: r["value"] for r in rows})
+    doc.section("Assets").chart("line", daily, "date", [c for c in daily.columns if c != "date"], days)
+    return doc.section("Trades").table(trips.orderBy(F.desc("profit")), trades).table(trips.orderBy("profit"), trades)
+
+
 class Notebook:
     """Titled sections of cells, written as JSON or as one HTML page. Cells hold small results."""
 
@@ -84,6 +116,23 @@ class Notebook:
     def pie(self, df: DataFrame, name: str, value: str, slices: int = 100) -> Notebook:
         return self._add("pie", data=[{"name": r[0], "value": r[1]} for r in df.select(name, value).limit(slices).collect()])
 
+    def scatter(self, df: DataFrame, x: str, names: list[str], points: int = 10_000) -> Notebook:
+        """Points ``[x, y]`` of each named column; bounded, as all cells are."""
+        got = df.select(x, *names).limit(points).collect()
+        return self._add("scatter", xAxis=[], series=[{"name": c, "data": [[r[0], r[i + 1]] for r in got if r[i + 1] is not None]} for i, c in enumerate(names)])
+
+    def grid(self, charts: list[dict], heights: list[float] | None = None) -> Notebook:
+        """Several charts above each other; heights are shares of the whole, equal ones by default."""
+        heights = heights or [1.0] * len(charts)
+        if len(heights) != len(charts):
+            raise ValueError("a height for each chart is needed")
+        total = sum(heights)
+        return self._add("grid", charts=[{**c, "height": f"{100 * h / total:.4g}%"} for c, h in zip(charts, heights)])
+
+    def cell(self, kind: str, **data) -> Notebook:
+        """A cell of a kind registered with :func:`cell_kind`, made by its builder, or of any kind with the data as they are."""
+        return self._add(kind, **(CELL_KINDS[kind](**data) if kind in CELL_KINDS else data))
+
     def to_dict(self) -> dict:
         return {"title": self.title, "cells": self.cells}
 

@@ -1,6 +1,7 @@
 """A fluent builder of read queries and table changes, run as parameterised Spark SQL.
 
-Conditions are kept as text with ``?`` markers and a list of values, so values never become part of the SQL.
+Conditions are kept as text with ``?`` markers and a list of values, so values never become part of the SQL;
+connectors other than ``or`` count as ``and``.
 Tables are temporary views; changes make a new DataFrame and replace the view.
 """
 
@@ -27,6 +28,10 @@ def _name(field: str) -> str:
     return ".".join(f"`{p.strip('`')}`" for p in field.split("."))
 
 
+def _link(word: Any) -> str:
+    return "or" if str(word).strip().lower() == "or" else "and"
+
+
 def run(spark: SparkSession, text: str, params: list) -> DataFrame:
     """Run SQL with a value for each ``?`` outside quotes. Markers are given names, which bind whatever the parser's order."""
     n = iter(range(len(params) + 1))
@@ -90,13 +95,13 @@ class Query:
     def where(self, condition: dict | str, value: Any = None, method: str = "and", wrap: str = "") -> Query:
         """Add conditions: a dict of column to value, ``(operator, value)`` or ``(operator, value, connector)``, or one column and a value.
 
-        The first condition's connector does not count, and AND binds tighter than OR; ``wrap`` puts ``(``,
-        ``)`` or both around what this call adds.
+        ``method`` joins what this call adds to what is there. The first condition's connector does not count, and
+        AND binds tighter than OR; ``wrap`` puts ``(``, ``)`` or both around what this call adds.
         """
         items = condition.items() if isinstance(condition, dict) else [(condition, value)]
-        text, params = "", []
+        text, params, method = "", [], _link(method)
         for field, v in items:
-            op, v, link = self._parts(v, method)
+            op, v, link = self._parts(v)
             one, some = self._condition(field, op, v)
             text += (f" {link} " if text else "") + one
             params += some
@@ -108,22 +113,28 @@ class Query:
         return self
 
     @staticmethod
-    def _parts(v: Any, method: str) -> tuple[str, Any, str]:
+    def _parts(v: Any) -> tuple[str, Any, str]:
         if isinstance(v, (list, tuple)) and len(v) >= 2 and isinstance(v[0], str):
             op = v[0] if v[0] in OPERATORS else "="
-            return op, v[1], v[2] if len(v) > 2 else method
-        return ("is" if v is None else "="), v, method
+            return op, v[1], _link(v[2]) if len(v) > 2 else "and"
+        return ("is" if v is None else "="), v, "and"
 
     @staticmethod
     def _condition(field: str, op: str, v: Any) -> tuple[str, list]:
         name = _name(field)
         if op in ("in", "not in"):
+            if not isinstance(v, (list, tuple)):
+                raise ValueError(f"{op} needs a list of values")
             v = list(v)
             return (f"{name} {op} ({', '.join('?' * len(v))})", v) if v else (("1 = 0" if op == "in" else "1 = 1"), [])
         if op in ("between", "not between"):
+            if not isinstance(v, (list, tuple)) or len(v) != 2:
+                raise ValueError(f"{op} needs two values")
             return f"{name} {op} ? and ?", list(v)
         if op in ("is", "is not"):
-            return (f"{name} {op} null", []) if v is None else (f"{name} {'<=>' if op == 'is' else 'is distinct from'} ?", [v])
+            if v is not None and str(v).lower() != "null":
+                raise ValueError(f"{op} needs None or 'null'")
+            return f"{name} {op} null", []
         if op in ("like", "not like"):
             return f"{name} {op.replace('like', 'ilike')} ?", [v]  # without regard to case
         return f"{name} {op} ?", [v]
@@ -196,14 +207,20 @@ class Query:
     # Changes --------------------------------------------------------------------------------------------
 
     def insert(self, rows: DataFrame, keys: list[str] | None = None, on_conflict: str | None = None, seq: str | None = None) -> DataFrame:
-        """Append rows; of rows whose ``keys`` exist, ``replace`` takes the new (the last of the batch by ``seq``), ``ignore`` keeps the old (or the first of the batch)."""
+        """Append rows; of rows whose ``keys`` exist, ``replace`` takes the new (the last of the batch by ``seq``), ``ignore`` keeps the old (or the first of the batch).
+
+        Without ``seq`` the order of the batch is that of its partitions and of the rows in them.
+        """
         old = self.db.spark.table(self.name)
         new = rows
         if on_conflict not in (None, "replace", "ignore"):
             raise ValueError(f"unknown conflict rule {on_conflict!r}")
         if on_conflict and not keys:
             raise ValueError("a conflict rule needs keys")
-        if on_conflict and seq:
+        if on_conflict and not seq:
+            seq = "_seq"
+            rows = rows.withColumn(seq, F.monotonically_increasing_id())
+        if on_conflict:
             pick = F.max_by if on_conflict == "replace" else F.min_by
             new = rows.groupBy(*keys).agg(pick(F.struct(*[c for c in rows.columns if c not in keys]), seq).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rows.columns if c not in (*keys, seq)), *([F.col(f"_r.{seq}").alias(seq)] if seq in old.columns else []))
         new = new.select(*old.columns)
@@ -213,39 +230,40 @@ class Query:
             new = new.join(old.select(*keys), keys, "left_anti")
         return self.db._put(self.name, old.select(*new.columns).unionByName(new))
 
-    def _condition_column(self):
+    def _marked(self) -> tuple[DataFrame, str, list[str]]:
+        """The table with a column that says which rows the condition meets, that column's name, and the table's own columns."""
         if not self._params:
             raise ValueError("a change needs a condition with a value")
-        text, it = self._where, iter(self._params)
-        # Values go in as typed literals of the SQL dialect.
-        return F.expr(re.sub(r"\?", lambda _: _literal(next(it)), text))
+        names = self.db.spark.table(self.name).columns
+        hit = "_hit"
+        while hit in names:
+            hit += "_"
+        return run(self.db.spark, f"select *, coalesce({self._where}, false) as {hit} from {self.name}", self._params), hit, names
 
     def update(self, values: dict[str, Any]) -> DataFrame:
-        hit = F.coalesce(self._condition_column(), F.lit(False))
-        old = self.db.spark.table(self.name)
-        return self.db._put(self.name, old.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).select(*old.columns))
+        d, hit, names = self._marked()
+        return self.db._put(self.name, d.withColumns({c: F.when(F.col(hit), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).select(*names))
 
     def delete(self) -> DataFrame:
-        hit = F.coalesce(self._condition_column(), F.lit(False))
-        return self.db._put(self.name, self.db.spark.table(self.name).where(~hit))
-
+        d, hit, names = self._marked()
+        return self.db._put(self.name, d.where(~F.col(hit)).select(*names))
 
-def _literal(v: Any) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, int):
-        return str(v)
-    if isinstance(v, float):
-        return f"{v!r}D"
-    text = str(v).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{text}'"
+    def explain(self) -> str:
+        """The statement, its values, and the plan that Spark makes of it."""
+        text, params = self.sql()
+        return f"{text}\n{params}\n{self.df()._jdf.queryExecution().toString()}"
 
 
 def sorted_page(df: DataFrame, keys: list[tuple[str, bool]], number: int, rows: int) -> DataFrame:
-    """One page of rows by several keys ``(column, descending)``; nulls come first rising and last falling."""
-    order = [F.col(k).desc() if down else F.col(k).asc() for k, down in keys]
+    """One page of rows by several keys ``(column, descending)``; nulls come first rising and last falling.
+
+    A key may be a path into a struct (``a.b``); texts are compared as numbers where all of them are numbers.
+    """
+    texts = [k for k, _ in keys if df.select(k).schema[0].dataType.simpleString() == "string"]
+    numeric = df.agg(*(F.every(F.col(k).isNull() | F.col(k).try_cast("double").isNotNull()).alias(f"c{i}") for i, k in enumerate(texts))).first() if texts else ()
+    numbers = {k for k, ok in zip(texts, numeric) if ok}
+    key = lambda k: F.col(k).try_cast("double") if k in numbers else F.col(k)
+    order = [key(k).desc() if down else key(k).asc() for k, down in keys]
     return df.orderBy(*order).offset((max(1, number) - 1) * rows).limit(rows)
 
 

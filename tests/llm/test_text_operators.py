@@ -121,7 +121,7 @@ def test_every_language_is_learnt(spark):
 
 
 def test_learning_from_rows_of_one_id(spark):
-    rows = [(5, f"{'ab cd ef' if i % 2 else 'uv wx yz'} {i}", "x" if i % 2 else "y") for i in range(500)]
+    rows = [(0, f"{'ab cd ef' if i % 2 else 'uv wx yz'} {i}", "x" if i % 2 else "y") for i in range(500)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     one, two = (language_id.learn(x, per_lang=40) for x in (d, d.repartition(5)))
     assert one.langs == ["x", "y"] and (one.table == two.table).all()

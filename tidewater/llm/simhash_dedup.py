@@ -39,7 +39,7 @@ SEGMENTS = 4
 #: Fingerprints on either side of one comparison task.
 PART = 8192
 #: Fingerprints compared at once.
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 
 # Near copies. Sets of similarity 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6 (in 19 % at most, for
 # sets of a few shingles), and in 10 of the first 64 with a deviation of 3; unrelated sets differ in 128, deviation 8.
@@ -48,7 +48,7 @@ SIMILARITY = 0.8
 NEAR_WORDS = 4
 NEAR_RADIUS = 72
 FIRST_RADIUS = 24
-NEAR_PART = 16384
+NEAR_PART = 8192
 #: Texts on either side of a block that is compared on whole shingle sets.
 BLOCK = (256, 1024)
 

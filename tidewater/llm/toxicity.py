@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary labelled texts, one on what is over-represented
-in toxic ones. A window is compressed with the ordinary dictionary, and with the toxic one behind it; where
-the second stands, the first has filler, so that equal matches cost equal bytes and what differs between the
-two lengths is what the toxic dictionary explains. Every window of every whole text is measured so. A document's features, the windows that the toxic dictionary
-shortens markedly and by how much, go through a logistic calibration fitted on labelled texts.
+Two zstandard dictionaries are learnt: one that zstandard trains on ordinary labelled texts, and one whose content
+is the stretches of words that are over-represented in toxic ones. (Trained by zstandard on whole toxic texts, which
+are mostly ordinary, the second tells the two apart hardly better than chance.) A window is compressed with the
+ordinary dictionary, and with the toxic one behind it; where the second stands, the first has filler, so that equal
+matches cost equal bytes and what differs between the two lengths is what the toxic dictionary explains. Every
+window of every whole text is measured so. A document's features, the windows that the toxic dictionary shortens
+markedly and by how much, go through a logistic calibration fitted on labelled texts.
 
 Learning is from at most ``max_rows`` labelled texts of each class (chosen by a hash of the id, a stretch
 of at most ``max_chars`` characters of each), gathered to the driver; scoring reads everything.
@@ -40,11 +42,13 @@ ORDINARY_BYTES = 4096
 SPECIAL_BYTES = 6144
 #: Bytes of a unit: words are compared by their byte n-grams, so that inflected forms count together.
 UNIT = 5
-#: A unit is over-represented if it is in this share of a class's texts, this many times as often as in the other's, by a likelihood ratio (G squared) of at least this share of the largest.
-MIN_SHARE, MIN_RATIO, MIN_G2 = 0.02, 8.0, 0.07
+#: Occurrences of a unit that count in one text.
+MOST = 4
+#: A unit is over-represented if it occurs in this share of a class's texts, this many times as often as in the other's, by a likelihood ratio (G squared) of at least this share of the largest.
+MIN_SHARE, MIN_RATIO, MIN_G2 = 0.02, 6.0, 0.03
 CARRIER = 64
 #: Bytes saved that make a window count.
-MARKS = (3, 5)
+MARKS = (1, 2, 3, 4, 5)
 THRESHOLD = 0.7
 
 _PUNCTUATION = re.compile(r"[^\w\s]+|_+")
@@ -125,19 +129,23 @@ def _fragments(word: bytes, picked: set[bytes]) -> list[bytes]:
     return [padded[a:z] for a, z in out]
 
 
+def _occurrences(texts: list[list[bytes]]) -> Counter:
+    """How often each unit occurs, at most ``MOST`` times in one text."""
+    total: Counter = Counter()
+    for words in texts:
+        total.update({u: min(n, MOST) for u, n in Counter(u for w in words for u in set(_units(w))).items()})
+    return total
+
+
 def _special(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
-    """Dictionary of the stretches of over-represented units in the words of ``own``; each text gives one sample of them."""
-    a, b = (Counter(u for words in side for u in {u for w in set(words) for u in _units(w)}) for side in (own, other))
-    na, nb = max(1, len(own)), max(1, len(other))
-    least = max(3, MIN_SHARE * na)
+    """Dictionary of the stretches of over-represented units in the words of ``own``, the most frequent last, where zstandard looks first."""
+    a, b = _occurrences(own), _occurrences(other)
+    na, nb = MOST * max(1, len(own)), MOST * max(1, len(other))
+    least = max(3, MIN_SHARE * len(own))
     strength = {u: _g2(n, na, b[u], nb) for u, n in a.items() if n >= least and n / na >= MIN_RATIO * b[u] / nb}
     picked = {u for u, g in strength.items() if g >= MIN_G2 * max(strength.values())}
-    samples = [b"\n".join([b"", *x, b""]) for words in own if (x := [f for w in words for f in _fragments(w, picked)])]
-    if not samples:
-        return b""
-    whole = _dictionary(samples, SPECIAL_BYTES, k=32, d=8)
-    start = min((at for u in picked if (at := whole.find(u)) >= 0), default=len(whole))  # behind the entropy tables
-    return whole[start:]
+    found = Counter(f for words in own for w in words for f in _fragments(w, picked))
+    return b"\n".join([b"", *(f for f, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))), b""])[-SPECIAL_BYTES:] if found else b""
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:

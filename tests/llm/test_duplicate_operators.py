@@ -30,12 +30,12 @@ def _roots(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, local_links", [(0, 0), (1, 0), (2, 0), (0, 40), (1, 10**6)])
+def test_components(spark, seed, local_links):
     rng = np.random.default_rng(seed)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(200, 201 + i) for i in range(50)]
     nodes = {x for p in pairs for x in p}
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), local_links=local_links).collect()}
     want = _roots(pairs, nodes)
     assert got == {n: c for n, c in want.items() if any(n in p for p in pairs if p[0] != p[1])}
     a, b = np.array(pairs).T

@@ -25,7 +25,10 @@ _OWN_SCRATCH: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches of texts small."""
+    """Ship the package and keep Arrow batches of texts small.
+
+    The second is a setting of the session, and stays for its later queries: plans run when their results are asked for.
+    """
     ship_package(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -159,19 +162,24 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Links (16 bytes each) that a single task may hold to finish a graph.
+LOCAL_LINKS = 200_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Components of an undirected graph given as long columns ``a, b``: returns ``node, component``.
 
     Alternates large-star and small-star contraction (Kiveris et al., 2014) until the edges are stars.
-    Each round is two pre-aggregated minima and two joins; edges between rounds live in the shared folder.
+    Each round is two pre-aggregated minima and two joins; edges between rounds live in the shared folder. A graph of
+    at most ``local_links`` edges is finished in one task, whose memory that bounds.
     ``component`` is the smallest node reachable. Nodes without edges are not returned.
     """
     spark = edges.sparkSession
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = _signature(cur)
     for _ in range(max_rounds):
-        if not sign[0]:
-            break
+        if sign[0] <= local_links:
+            return _finished(cur)
         # Large-star: every larger neighbour of u is linked to the smallest node in u's neighbourhood.
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
@@ -189,6 +197,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def _finished(edges: DataFrame) -> DataFrame:
+    """Components of a graph of bounded size, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for b in batches:
+            u.append(b.column("u").to_numpy())
+            v.append(b.column("v").to_numpy())
+        a, b = np.concatenate(u), np.concatenate(v)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_components(len(nodes), at[: len(a)], at[len(a) :])
+        yield pa.record_batch([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def _by_node(edges: DataFrame, minima: DataFrame) -> DataFrame:
     """Edges joined with a number for each node, on two names of it: a join by other keys than the aggregate's has
     shuffles of its own on both sides, so that a node with very many edges can be split."""

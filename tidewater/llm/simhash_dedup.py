@@ -51,6 +51,8 @@ FIRST_RADIUS = 24
 NEAR_PART = 8192
 #: Texts on either side of a block that is compared on whole shingle sets.
 BLOCK = (256, 1024)
+#: Files of tables that have a row for each tile.
+FEW = 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 16
@@ -115,7 +117,7 @@ def _dealt(left: DataFrame, right: DataFrame, key: str, left_part: int, right_pa
     """Rows of both sides of each ``tile`` (``side`` 0 and 1) cut into parts by the hash of ``key``; ``g`` is a pair of parts."""
     # A row for each tile: how many rows it has on either side.
     sizes = left.groupBy("tile").agg(F.count("*").alias("l")).join(right.groupBy("tile").agg(F.count("*").alias("r")), "tile")
-    parts = materialize(sizes.select("tile", F.ceil(F.col("l") / left_part).cast("long").alias("lp"), F.ceil(F.col("r") / right_part).cast("long").alias("rp")))
+    parts = materialize(sizes.select("tile", F.ceil(F.col("l") / left_part).cast("long").alias("lp"), F.ceil(F.col("r") / right_part).cast("long").alias("rp")).coalesce(FEW))
 
     def spread(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
         """A row goes to its own part, against every part of the other side."""
@@ -227,24 +229,27 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+_FAR = 1 << 62
+
+
 def _nearest(similarity: float):
     """Of each text its nearest candidate in a pair of parts, and links that span the candidates: ``a, b, d``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, two in _pairs_of_parts(batches):
             cut, cls = len(one["cls"]), np.concatenate([one["cls"], two["cls"]])
-            root, best, mate = np.arange(len(cls)), np.full(len(cls), 1 << 30), np.full(len(cls), -1)
+            # Of each text the distance of its nearest candidate, above that candidate's place.
+            root, best = np.arange(len(cls)), np.full(len(cls), _FAR)
             for a, b, d in _candidates(one, two, similarity):
-                if not len(a):
-                    continue
-                root = _joined(root, a, b + cut)
-                for x, y in ((a, b + cut), (b + cut, a)):
-                    order = np.lexsort((cls[y], d, x))
-                    first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
-                    better = first[d[first] < best[x[first]]]
-                    best[x[better]], mate[x[better]] = d[better], y[better]
-            at, span = np.flatnonzero(mate >= 0), np.flatnonzero(root != np.arange(len(cls)))
-            far = np.full(len(span), 1 << 30)
+                b += cut
+                np.minimum.at(best, a, d << 32 | b)
+                np.minimum.at(best, b, d << 32 | a)
+                apart = root[a] != root[b]
+                if apart.any():
+                    root = _joined(root, a[apart], b[apart])
+            at, span = np.flatnonzero(best < _FAR), np.flatnonzero(root != np.arange(len(cls)))
+            mate, best = best & 0xFFFFFFFF, best >> 32
+            far = np.full(len(span), _FAR >> 32)
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in ((cls[at], cls[span]), (cls[mate[at]], cls[root[span]]), (best[at], far))], ["a", "b", "d"])
 
     return run
@@ -306,7 +311,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     comp = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("c"))
     named = materialize(groups.join(comp, "cls", "left").select("cls", "tile", F.coalesce("c", "cls").alias("c")))
     parts = named.groupBy("tile", "c").agg(F.count("*").alias("k"))
-    main = materialize(parts.groupBy("tile").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("tile", "main"))
+    main = materialize(parts.groupBy("tile").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("tile", "main").coalesce(FEW))
     apart = materialize(named.join(main, "tile").join(classes, "cls").join(texts, "cls").select("tile", "main", "c", "s", *columns))
     rest = _dealt(apart.where("c <> main").drop("main"), apart.drop("main"), "cls", *block)
     more = materialize(rest.repartition(n_tasks, "g").sortWithinPartitions("g", "side").mapInArrow(_verified(similarity), "a long, b long"))

@@ -179,6 +179,13 @@ def test_batches_without_an_order(spark):
     assert {r["id"]: r["s"] for r in db.table("u").insert(batch.unionByName(batch.where("id = 2")), ["id"], "ignore").collect()} == {1: "a", 2: "z"}
 
 
+def test_views_go_with_their_database(spark):
+    with Database(spark) as db:
+        db.register("gone", spark.range(3))
+        assert db.table("gone").fields("count(*)").value() == 3
+    assert not spark.catalog.tableExists("gone")
+
+
 def test_json_tables(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"id": i, "a": {"b": str(i * 7 % 30)}, "c": "x" if i % 2 else ""} for i in range(12)]))
     d = json_table(spark, str(tmp_path / "t.json"), filters={"c": "x", "id": None, "a": ""})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.folds import folded
-from tidewater.functions.windows import Series
+from tidewater.functions.windows import Series, with_overlap
 
 BARS = Series(["symbol", "frequency"], ["eob"])
 
@@ -91,6 +91,15 @@ def custom(df: DataFrame, make: Callable[[DataFrame], Column], out: str) -> Data
     return df.withColumn(out, make(df))
 
 
+def in_chunks(df: DataFrame, make: Callable[[DataFrame, Series], DataFrame], rows: int, chunk: int = 1_000_000, s: Series = BARS) -> DataFrame:
+    """A signal over series too long for one task: cut into chunks that carry the ``rows`` bars before them.
+
+    ``make(bars, series)`` adds the signal; ``rows`` must cover all that its windows look back on.
+    """
+    d = with_overlap(df, s.by, s.order[0], rows, chunk)
+    return make(d, Series([*s.by, "_chunk"], s.order)).where(~F.col("_warm")).drop("_own", "_chunk", "_warm")
+
+
 def latest_direction(df: DataFrame, name: str, s: Series = BARS) -> DataFrame:
     """The newest value of each series and its sign; null counts as neutral."""
     return df.groupBy(*s.by).agg(F.max_by(name, s.order[0]).alias("value")).withColumn("direction", F.coalesce(F.signum("value"), F.lit(0.0)).cast("int"))

@@ -80,6 +80,35 @@ def bars_backfill(spark, d):
     return bars.backfill(live, b)
 
 
+@query(
+    "bars_backfill_depth",
+    "WITH {bars}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY eob DESC) AS k, count(*) FILTER (eob >= TIMESTAMP '2024-01-29') OVER (PARTITION BY symbol) AS live FROM bars) "
+    "SELECT symbol, frequency, eob, close FROM n WHERE eob >= TIMESTAMP '2024-01-29' OR (live > 0 AND live < 60 AND k <= 61)",
+)
+def bars_backfill_depth(spark, d):
+    """Series short of 60 bars are filled up to 61."""
+    b = bars.event_bars(spark, d).select("symbol", "frequency", "eob", "close")
+    return bars.backfill(b.where("eob >= timestamp'2024-01-29'"), b, 60)
+
+
+@query("bars_at_close", "WITH {days}, {bars}, u AS (SELECT symbol, frequency, eob + INTERVAL '15 hours 1 second' AS eob, close FROM days UNION ALL SELECT symbol, frequency, eob, close FROM bars) SELECT * FROM u WHERE eob <= TIMESTAMP '2024-01-20 15:00:00'")
+def bars_at_close(spark, d):
+    b = bars.event_bars(spark, d, "day").unionByName(bars.event_bars(spark, d)).select("symbol", "frequency", "eob", "close")
+    return bars.at_close(b, "2024-01-20 15:00:00")
+
+
+@query(
+    "subscribed_bars",
+    "WITH {bars}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY eob DESC) AS k FROM bars) SELECT symbol, frequency, eob, close, CASE WHEN symbol <> 'click' THEN volume END AS volume FROM n WHERE symbol = 'click' AND k <= 7 OR symbol IN ('view', 'error') AND k <= 12",
+)
+def subscribed_bars(spark, d):
+    s = bars.Subscriptions(12)
+    s.subscribe("click", "60m", ["close"], 7)
+    s.subscribe(["view", "error", "signup"], "60m")
+    s.unsubscribe("signup", "60m")
+    return s.apply(bars.event_bars(spark, d)).select("symbol", "frequency", "eob", "close", "volume")
+
+
 @query("last_n_bars", "WITH {bars} SELECT symbol, frequency, eob, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY eob DESC) AS n FROM bars) WHERE n <= 10")
 def last_n_bars(spark, d):
     return bars.last_n(bars.event_bars(spark, d), 10, ["close"])
@@ -165,6 +194,17 @@ _signal(
 )
 
 
+@query("sig_ma_in_chunks", f"WITH {{bars}} SELECT symbol, eob, {r(MA)} AS ma FROM bars")
+def sig_ma_in_chunks(spark, d):
+    """The same as ``sig_ma``, with each series spread over tasks."""
+    return _out(signals.in_chunks(bars.event_bars(spark, d), lambda b, s: signals.ma_cross(b, s=s), 19, 150), "ma")
+
+
+@query("sig_custom", f"WITH {{bars}} SELECT symbol, eob, {r('close / open - 1')} AS body FROM bars")
+def sig_custom(spark, d):
+    return _out(signals.custom(bars.event_bars(spark, d), lambda b: F.col("close") / F.col("open") - 1, "body"), "body")
+
+
 @query("sig_composite", "WITH " + THREE + f" SELECT symbol, eob, {r('(coalesce(ma, 0) + boll + coalesce(vol, 0)) / ((ma IS NOT NULL)::INT + 1 + (vol IS NOT NULL)::INT)')} AS composite FROM s")
 def sig_composite(spark, d):
     return _out(signals.composite(_three(spark, d), ["ma", "boll", "vol"]), "composite")

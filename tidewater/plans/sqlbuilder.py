@@ -46,6 +46,19 @@ class Database:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self._made: set[str] = set()
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Drop the views that were made here."""
+        for name in self._made:
+            self.spark.catalog.dropTempView(name)
+        self._made.clear()
 
     def table(self, name: str) -> Query:
         return Query(self, name)
@@ -60,6 +73,7 @@ class Database:
 
     def _put(self, name: str, df: DataFrame) -> DataFrame:
         df.createOrReplaceTempView(name)
+        self._made.add(name)
         return df
 
     def drop_table(self, name: str) -> bool:

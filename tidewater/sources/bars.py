@@ -35,13 +35,54 @@ def first_bars(bars: DataFrame, seq: str) -> DataFrame:
     return bars.groupBy("symbol", "frequency", "eob").agg(first).select("symbol", "frequency", "eob", *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
-def backfill(live: DataFrame, history: DataFrame) -> DataFrame:
-    """Live bars, with the history of each symbol and frequency that is older than its earliest live bar."""
-    earliest = live.groupBy("symbol", "frequency").agg(F.min("eob").alias("_earliest"))
-    older = history.join(earliest, ["symbol", "frequency"]).where(F.col("eob") < F.col("_earliest")).drop("_earliest")
+def backfill(live: DataFrame, history: DataFrame, count: int | None = None) -> DataFrame:
+    """Live bars, with the history of each symbol and frequency that is older than its earliest live bar.
+
+    With ``count``, a series that has fewer live bars gets as many older ones as it lacks, and one more; others get none.
+    """
+    facts = live.groupBy("symbol", "frequency").agg(F.min("eob").alias("_earliest"), F.count("*").alias("_n"))
+    older = history.join(facts, ["symbol", "frequency"]).where(F.col("eob") < F.col("_earliest"))
+    if count is not None:
+        place = F.row_number().over(Window.partitionBy("symbol", "frequency").orderBy(F.desc("eob")))
+        older = older.where(F.col("_n") < count).withColumn("_k", place).where(F.col("_k") <= count - F.col("_n") + 1)
     return live.unionByName(older.select(live.columns))
 
 
+def at_close(bars: DataFrame, now: str | None = None) -> DataFrame:
+    """Daily bars stamped one second after the close of their day (15:00:01), and none that lie after ``now``."""
+    stamp = F.date_trunc("day", "eob") + F.expr("interval '15:00:01' hour to second")
+    d = bars.withColumn("eob", F.when(F.col("frequency") == "1d", stamp).otherwise(F.col("eob")))
+    return d.where(F.col("eob") <= F.lit(now).cast("timestamp")) if now else d
+
+
+class Subscriptions:
+    """Which bars are wanted: fields and depth by symbol and frequency."""
+
+    def __init__(self, depth: int = 100):
+        self.depth = depth
+        self.params: dict[tuple[str, str], tuple[list[str] | None, int]] = {}
+
+    def subscribe(self, symbols: str | list[str], frequency: str, fields: list[str] | None = None, count: int | None = None) -> None:
+        for s in symbols.split(",") if isinstance(symbols, str) else symbols:
+            self.params[s.strip(), frequency] = (fields, count or self.depth)
+
+    def unsubscribe(self, symbols: str | list[str], frequency: str) -> None:
+        for s in symbols.split(",") if isinstance(symbols, str) else symbols:
+            self.params.pop((s.strip(), frequency), None)
+
+    def apply(self, bars: DataFrame) -> DataFrame:
+        """The last bars of every subscription; fields that one did not ask for are null."""
+        keys = ["symbol", "frequency", "eob"]
+        if not self.params:
+            return bars.limit(0)
+        rows = [(s, f, n, fields) for (s, f), (fields, n) in self.params.items()]
+        wanted = bars.sparkSession.createDataFrame(rows, "symbol string, frequency string, _count int, _fields array<string>")
+        d = bars.join(F.broadcast(wanted), ["symbol", "frequency"])  # a row for each subscription
+        d = d.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "frequency").orderBy(F.desc("eob")))).where("_n <= _count")
+        asked = lambda c: F.col("_fields").isNull() | F.array_contains("_fields", c)
+        return d.select(*keys, *(F.when(asked(c), F.col(c)).alias(c) for c in bars.columns if c not in keys))
+
+
 def last_n(bars: DataFrame, n: int, fields: list[str] | None = None) -> DataFrame:
     """The last ``n`` bars (at least one) of each symbol and frequency."""
     w = Window.partitionBy("symbol", "frequency").orderBy(F.desc("eob"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bin_packing, embedding_dedup, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, substring_dedup, toxicity
+from tidewater.llm import bin_packing, embedding_dedup, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_alignment, token_counts, toxicity
 from tidewater.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

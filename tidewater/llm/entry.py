@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bin_packing, embedding_dedup, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_alignment, token_counts, toxicity
+from tidewater.llm import bin_packing, conversation_trie, embedding_dedup, importance_resampling, kdtree_sharding, language_id, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_alignment, token_counts, toxicity
 from tidewater.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_groups": embedding_dedup.ORACLE, "op1_repetition_rules": quality_rules.ORACLE}
+    return {"op8_embedding_groups": embedding_dedup.ORACLE, "op1_repetition_rules": quality_rules.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}

@@ -55,4 +55,4 @@ def r(x: str, digits: int = 6) -> str:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tidewater.plans import queries_bars, queries_factors, queries_nav, queries_sql  # noqa: F401
+    from tidewater.plans import queries_bars, queries_factors, queries_nav, queries_sql, queries_streams  # noqa: F401

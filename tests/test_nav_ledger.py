@@ -75,3 +75,51 @@ def test_replay_percent_orders(spark):
     d = spark.createDataFrame([("a", t, 0, "s", 1, 10.0, None, 0.5), ("a", t, 1, "s", 2, 10.0, None, 1.0)], "account string, created_at timestamp, seq int, symbol string, side int, price double, volume double, percent double")
     got = ledger.replay(d, 10_000.0).orderBy("seq").collect()
     assert [r["filled_volume"] for r in got] == [499.0, 499.0]
+
+
+def test_the_latest_bar_decides(spark):
+    from datetime import datetime
+
+    from tidewater.operators import asof
+
+    t = lambda h: datetime(2024, 1, 1, h)
+    rows = [("s", "60s", t(1), 10.0), ("s", "60s", t(2), 0.0), ("s", "1d", t(0), 7.0), ("r", "60s", t(1), None), ("r", "1d", t(0), 5.0), ("q", "60s", t(1), -1.0)]
+    b = spark.createDataFrame(rows, "symbol string, frequency string, eob timestamp, close double")
+    asked = spark.createDataFrame([("s", t(1)), ("s", t(3)), ("r", t(3)), ("q", t(3)), ("x", t(3)), ("s", datetime(2023, 1, 1))], "symbol string, at timestamp")
+    got = {(r["symbol"], r["at"]): r["price"] for r in asof.latest_price(asked, b).collect()}
+    assert got == {("s", t(1)): 10.0, ("s", t(3)): 7.0, ("r", t(3)): 5.0, ("q", t(3)): None, ("x", t(3)): None, ("s", datetime(2023, 1, 1)): None}
+
+
+def test_refused_orders_take_no_number(spark):
+    from datetime import datetime
+
+    from tidewater.operators import ledger
+
+    t = datetime(2024, 1, 1)
+    rows = [("a", t, 1, "s", 1, 10.0, 1e9), ("a", t, 2, "s", 1, 10.0, 100.0), ("a", t, 3, "s", 2, 10.0, 200.0), ("a", t, 4, "s", 2, 10.0, 100.0), ("a", t, 5, "s", 1, 10.0, 0.0)]
+    got = ledger.replay(spark.createDataFrame(rows, "account string, created_at timestamp, seq long, symbol string, side int, price double, volume double"), 10_000.0)
+    assert [(r["order_id"], r["filled_volume"]) for r in got.orderBy("seq").collect()] == [("order_1", 0.0), ("order_1", 100.0), ("order_2", 0.0), ("order_2", 100.0), (None, 0.0)]
+
+
+def test_metrics_of_few_days_are_null(spark):
+    from datetime import date
+
+    from tidewater.operators import nav
+
+    rows = [("one", date(2024, 1, 1), 5.0), ("two", date(2024, 1, 1), 4.0), ("two", date(2024, 1, 2), 5.0), ("three", date(2024, 1, 1), 4.0), ("three", date(2024, 1, 2), 5.0), ("three", date(2024, 1, 3), 6.0)]
+    got = {r["portfolio"]: r for r in nav.metrics(spark.createDataFrame(rows, "portfolio string, date date, assets double"), ["portfolio"]).collect()}
+    known = lambda k: {n for n in ("return_rate", "annualized_return", "volatility", "var", "cvar", "ulcer_index", "sortino_ratio", "sharpe_ratio", "upi") if got[k][n] is not None}
+    assert known("one") == set() and known("two") == {"return_rate", "annualized_return", "ulcer_index"}
+    assert known("three") == {"return_rate", "annualized_return", "volatility", "var", "cvar", "ulcer_index", "sortino_ratio", "sharpe_ratio"} and got["three"]["sortino_ratio"] == float("inf")
+
+
+def test_folds_carry_any_type(spark):
+    from decimal import Decimal
+
+    from tidewater.functions.folds import folded
+
+    rows = [(float("nan"), 1, Decimal("1.50"), [1, 2], {"a": (1, b"x")}), (float("nan"), 2, Decimal("2.50"), None, None), (None, 1, None, [], {})]
+    schema = "k double, i int, d decimal(9,2), xs array<int>, m map<string, struct<p: int, q: binary>>"
+    got = folded(spark.createDataFrame(rows, schema), ["k"], ["i"], lambda: [0], lambda s, r: (s.__setitem__(0, s[0] + 1), [(*r, s[0])])[1], schema + ", n int").collect()
+    assert sorted((r["n"], str(r["d"])) for r in got) == [(1, "1.50"), (1, "None"), (2, "2.50")]
+    assert next(r for r in got if r["n"] == 1 and r["d"] is not None)["m"]["a"]["q"] == b"x"

@@ -15,16 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32(), "timestamp": pa.timestamp("us", tz="UTC")}
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    """The Arrow type in which Spark takes values of a type, nested ones included."""
+    plain = {
+        T.ByteType: pa.int8(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.FloatType: pa.float32(), T.DoubleType: pa.float64(),
+        T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_(), T.DateType: pa.date32(), T.TimestampType: pa.timestamp("us", tz="UTC"), T.TimestampNTZType: pa.timestamp("us"),
+    }
+    if isinstance(kind, T.DecimalType):
+        return pa.decimal128(kind.precision, kind.scale)
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(arrow_type(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return pa.map_(arrow_type(kind.keyType), arrow_type(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind.fields])
+    return plain[type(kind)]
+
+
+def _key(value: Any) -> Any:
+    """A key's value so that one that is not a number equals itself."""
+    return "NaN" if isinstance(value, float) and value != value else value
 
 
 def folded(df: DataFrame, by: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], schema: str, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
     """Rows that ``step(state, row)`` gives for the rows of each key in order; ``start()`` makes a key's first state.
 
-    ``finish(state)`` gives the rows that follow a key's last one. ``schema`` is a DDL text of plain types.
+    ``finish(state)`` gives the rows that follow a key's last one. ``schema`` is a DDL text.
     """
     fields = T.StructType.fromDDL(schema).fields
-    names, kinds = [f.name for f in fields], [_ARROW[f.dataType.simpleString()] for f in fields]
+    names, kinds = [f.name for f in fields], [arrow_type(f.dataType) for f in fields]
     Row = namedtuple("Row", df.columns, rename=True)
     places = [df.columns.index(k) for k in by]
 
@@ -37,7 +57,7 @@ def folded(df: DataFrame, by: list[str], order: list[str], start: Callable[[], A
         for b in batches:
             out: list[tuple] = []
             for values in zip(*(c.to_pylist() for c in b.columns)):
-                k = [values[p] for p in places]
+                k = [_key(values[p]) for p in places]
                 if k != key:
                     if key is not None and finish:
                         out += finish(state)

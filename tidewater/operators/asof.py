@@ -43,12 +43,18 @@ FREQUENCIES = ("1m", "60s", "5m", "300s", "15m", "900s", "30m", "1800s", "60m",
 
 
 def latest_price(requests: DataFrame, bars: DataFrame, frequencies: tuple[str, ...] = FREQUENCIES, price: str = "close") -> DataFrame:
-    """Requests ``(symbol, at)`` with the last positive price known then, of the finest frequency that has one; all frequencies in one pass."""
+    """Requests ``(symbol, at)`` with the price known then; all frequencies in one pass.
+
+    Frequencies are asked from the finest on. In each the latest bar at or before the time decides: a price that is null or
+    not positive there sends the request to the next frequency, and not to an older bar. Of bars of one time the largest
+    price counts.
+    """
     names = [f"_p{i}" for i in range(len(frequencies))]
-    some = bars.where(F.col("frequency").isin(*frequencies) & (F.col(price) > 0)).groupBy("symbol", "eob")
-    wide = some.agg(*(F.max(F.when(F.col("frequency") == f, F.col(price))).alias(n) for n, f in zip(names, frequencies)))
+    some = bars.where(F.col("frequency").isin(*frequencies)).groupBy("symbol", "eob")
+    # A bar without a price is a bar: it is kept as a structure that is not null.
+    wide = some.agg(*(F.max(F.when(F.col("frequency") == f, F.struct(F.col(price).alias("x")))).alias(n) for n, f in zip(names, frequencies)))
     out = asof_join(requests, wide, ["symbol"], "at", "eob", names, bucket="day", each=True)
-    return out.withColumn("price", F.coalesce(*names)).drop(*names)
+    return out.withColumn("price", F.coalesce(*(F.when(F.col(f"{n}.x") > 0, F.col(f"{n}.x")) for n in names))).drop(*names)
 
 
 def snapshot_at(snapshots: DataFrame, at: str, value: str = "nav", by: list[str] | None = None) -> DataFrame:

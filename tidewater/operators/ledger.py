@@ -96,7 +96,8 @@ class Account:
         self.cash = round(cash, 2)
         self.held: dict[str, tuple[float, float]] = {}
         self.price: dict[str, float] = {}
-        self.orders = 0
+        self.fills = 0
+        self.order_id: str | None = None
         self.last_cost = 0.0
 
     def value(self) -> float:
@@ -106,6 +107,7 @@ class Account:
     def order(self, symbol: str, side: int, price: float, volume: float | None = None, percent: float | None = None) -> tuple[float, float, float]:
         """Fill an order as a whole, or not at all where cash or holding do not suffice: volume, filled volume and fee.
 
+        ``order_id`` is then the order's: one more than the orders filled before it, so a refused order's is given again.
         Without a volume it is ``percent`` of the net asset value (buys, as far as the cash goes) or of the holding (sells).
         """
         have, cost = self.held.get(symbol, (0, 0.0))
@@ -117,8 +119,8 @@ class Account:
         elif volume is None:
             volume = int(have * abs(percent))
         filled, fee = 0.0, 0.0
+        self.order_id = f"order_{self.fills + 1}" if volume > 0 else None
         if volume > 0:
-            self.orders += 1
             fee = fees(price, volume, side)
             if side == BUY and self.cash >= (total := round(volume * price + fee, 2)):
                 self.cash = round(self.cash - total, 2)
@@ -126,6 +128,7 @@ class Account:
             elif side == SELL and have >= volume:
                 self.cash = round(self.cash + volume * price - fee, 2)
                 have, filled = have - volume, volume
+            self.fills += filled > 0
             if have:
                 self.held[symbol] = (have, cost)
             else:
@@ -139,8 +142,8 @@ def replay(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
 
     ``orders`` has ``account, created_at, seq, symbol, side, price`` and ``volume``, or ``percent`` of the net
     asset value (buys) or of the holding (sells) where the volume is null. One row for each order: what was
-    filled (0 where cash or holding do not suffice), the fee, and the account after it; positions are valued
-    at the last price of their symbol that the account has seen.
+    filled (0 where cash or holding do not suffice), the fee, the order's id (null for an order of nothing), and the
+    account after it; positions are valued at the last price of their symbol that the account has seen.
     """
     d = orders.withColumn("side", side_code("side"))
     if "percent" not in d.columns:
@@ -151,7 +154,7 @@ def replay(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
         a.price[x.symbol] = x.price
         volume, filled, fee = a.order(x.symbol, x.side, x.price, x.volume, x.percent)
         have, cost = a.held.get(x.symbol, (0.0, a.last_cost))
-        return [(x.account, x.created_at, x.seq, x.symbol, x.side, x.price, float(volume), float(filled), fee, f"order_{a.orders}", a.cash, float(have), float(cost), a.value())]
+        return [(x.account, x.created_at, x.seq, x.symbol, x.side, x.price, float(volume), float(filled), fee, a.order_id, a.cash, float(have), float(cost), a.value())]
 
     types = dict(d.dtypes)
     schema = f"account {types['account']}, created_at timestamp, seq {types['seq']}, symbol {types['symbol']}, side int, price double, volume double, filled_volume double, fee double, order_id string, cash double, holding double, cost_price double, nav double"

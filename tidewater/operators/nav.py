@@ -65,7 +65,11 @@ def returns(nav: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def metrics(nav: DataFrame, keys: list[str], risk_free: float = RISK_FREE, confidence: float = 0.95) -> DataFrame:
-    """One row of return and risk metrics for each slice; null where there are fewer than two days."""
+    """One row of return and risk metrics for each slice.
+
+    Null where there are fewer than two days, and those of single returns (volatility, tail values, Sortino) where there
+    are fewer than two returns; a slice that ends on the day it begins has an annualized return of 0 if it has a return.
+    """
     d = returns(nav, keys)
     tail = Window.partitionBy(*keys).orderBy(F.col("r").asc_nulls_last(), "date")
     d = d.withColumns({"_n": F.count("r").over(Window.partitionBy(*keys)), "_k": F.row_number().over(tail)})
@@ -76,18 +80,18 @@ def metrics(nav: DataFrame, keys: list[str], risk_free: float = RISK_FREE, confi
         F.min_by("assets", "date").alias("_a"), F.max_by("assets", "date").alias("_z"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.count("*").alias("n_days"),
         F.when(F.count("r") >= 2, F.stddev_pop("r") * F.sqrt(F.lit(float(YEAR_DAYS)))).alias("volatility"),
         F.max("dd").alias("_dd"), F.max_by("date", trough).alias("_trough"), F.max_by("peak_date", trough).alias("_peak"),
-        (-F.percentile("r", F.lit(1 - confidence))).alias("var"), (-F.avg(F.when(worst, F.col("r")))).alias("cvar"),
-        F.sqrt(F.avg(F.pow(F.col("dd") * 100, F.lit(2.0)))).alias("ulcer_index"), F.sqrt(F.avg(down)).alias("_down"), F.count(F.when(F.col("r") < 0, 1)).alias("_losses"),
+        F.count("r").alias("_returns"), F.when(F.count("r") >= 2, -F.percentile("r", F.lit(1 - confidence))).alias("var"), F.when(F.count("r") >= 2, -F.avg(F.when(worst, F.col("r")))).alias("cvar"),
+        F.when(F.count("*") >= 2, F.sqrt(F.avg(F.pow(F.col("dd") * 100, F.lit(2.0))))).alias("ulcer_index"), F.sqrt(F.avg(down)).alias("_down"), F.count(F.when(F.col("r") < 0, 1)).alias("_losses"),
     )
     g = g.withColumn("return_rate", F.when(F.col("n_days") >= 2, F.try_divide(F.col("_z") - F.col("_a"), "_a")))
-    year = F.when(F.col("days") == 0, 0.0).when(F.col("return_rate") > -1, F.pow(1 + F.col("return_rate"), F.lit(365.0) / F.col("days")) - 1)
+    year = F.when(F.col("return_rate").isNull(), F.lit(None)).when(F.col("days") == 0, 0.0).when(F.col("return_rate") > -1, F.pow(1 + F.col("return_rate"), F.lit(365.0) / F.col("days")) - 1)
     g = g.withColumn("annualized_return", year)
     over = F.col("annualized_return") - risk_free
     return g.select(
         *keys, "n_days", "return_rate", "annualized_return", "volatility", F.try_divide(over, "volatility").alias("sharpe_ratio"),
         F.when(F.col("_dd") > 0, F.col("_dd")).alias("max_drawdown"), F.when(F.col("_dd") > 0, F.col("_peak")).alias("peak_date"), F.when(F.col("_dd") > 0, F.col("_trough")).alias("trough_date"),
         "var", "cvar", "ulcer_index",
-        F.when(F.col("_losses") == 0, F.lit(float("inf"))).otherwise(F.try_divide(over, F.col("_down") * F.sqrt(F.lit(float(YEAR_DAYS))))).alias("sortino_ratio"),
+        F.when((F.col("_returns") < 2) | over.isNull(), F.lit(None)).when(F.col("_losses") == 0, F.lit(float("inf"))).otherwise(F.try_divide(over, F.col("_down") * F.sqrt(F.lit(float(YEAR_DAYS))))).alias("sortino_ratio"),
         F.try_divide(over, F.col("ulcer_index") / 100).alias("upi"),
     )
 

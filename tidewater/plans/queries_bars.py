@@ -134,14 +134,15 @@ def bars_between(spark, d):
 
 @query(
     "asof_price",
-    "WITH {bars}, {days}, q AS (SELECT event_id, event_type AS symbol, ts AS at FROM events) "
-    "SELECT q.event_id, q.symbol, coalesce(b.close, d.close) AS price FROM q ASOF LEFT JOIN (SELECT * FROM bars WHERE close > 0) b ON q.symbol = b.symbol AND q.at >= b.eob "
-    "ASOF LEFT JOIN (SELECT * FROM days WHERE close > 0) d ON q.symbol = d.symbol AND q.at >= d.eob",
+    "WITH {bars}, {days}, q AS (SELECT event_id, event_type AS symbol, ts AS at FROM events), h AS (SELECT symbol, eob, CASE WHEN hour(eob) % 5 = 0 THEN 0 WHEN hour(eob) % 7 <> 3 THEN close END AS x FROM bars) "
+    "SELECT q.event_id, q.symbol, CASE WHEN h.x > 0 THEN h.x WHEN d.close > 0 THEN d.close END AS price FROM q ASOF LEFT JOIN h ON q.symbol = h.symbol AND q.at >= h.eob ASOF LEFT JOIN days d ON q.symbol = d.symbol AND q.at >= d.eob",
 )
 def asof_price(spark, d):
+    """Prices of events from hourly bars, of which some are 0 or lack a price, else from daily ones."""
     q = bars.read(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("at"))
-    both = bars.event_bars(spark, d).unionByName(bars.event_bars(spark, d, "day"))
-    return asof.latest_price(q, both, ("60m", "1d")).select("event_id", "symbol", "price")
+    hour = F.hour("eob")
+    hourly = bars.event_bars(spark, d).withColumn("close", F.when(hour % 5 == 0, 0.0).when(hour % 7 != 3, F.col("close")))
+    return asof.latest_price(q, hourly.unionByName(bars.event_bars(spark, d, "day")), ("60m", "1d")).select("event_id", "symbol", "price")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded
@@ -44,10 +44,11 @@ def _metrics_sql(source: str, extra: str = "", group: str = "") -> str:
     return f"""x AS (SELECT g, date, assets, assets / lag(assets) OVER (PARTITION BY g ORDER BY date) - 1 AS r, max(assets) OVER (PARTITION BY g ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM {source}),
 y AS (SELECT *, (peak - assets) / peak AS dd, count(r) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY r NULLS LAST, date) AS k FROM x),
 a AS (SELECT g, count(*) AS n_days, (arg_max(assets, date) - arg_min(assets, date)) / arg_min(assets, date) AS return_rate, date_diff('day', min(date), max(date)) AS days, stddev_pop(r) * sqrt(252) AS volatility,
-  max(dd) AS max_drawdown, -quantile_cont(r, 0.05) AS var, -avg(r) FILTER (k <= greatest(1, floor(n * 0.05 + 1e-9)) AND r IS NOT NULL) AS cvar, sqrt(avg((dd * 100) ** 2)) AS ulcer_index,
+  max(dd) AS dd, -quantile_cont(r, 0.05) AS q, -avg(r) FILTER (k <= greatest(1, floor(n * 0.05 + 1e-9)) AND r IS NOT NULL) AS tail, sqrt(avg((dd * 100) ** 2)) AS ui, count(r) AS m, count(*) FILTER (r < 0) AS losses,
   sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0.0 END)) AS down FROM y GROUP BY g),
-m AS (SELECT *, pow(1 + return_rate, 365.0 / days) - 1 AS annualized_return FROM a),
-z AS (SELECT *, (annualized_return - 0.02) / volatility AS sharpe_ratio, (annualized_return - 0.02) / (down * sqrt(252)) AS sortino_ratio, (annualized_return - 0.02) / (ulcer_index / 100) AS upi FROM m)
+guarded AS (SELECT * REPLACE (CASE WHEN n_days >= 2 THEN return_rate END AS return_rate, CASE WHEN m >= 2 THEN volatility END AS volatility), CASE WHEN dd > 0 THEN dd END AS max_drawdown, CASE WHEN m >= 2 THEN q END AS var, CASE WHEN m >= 2 THEN tail END AS cvar, CASE WHEN n_days >= 2 THEN ui END AS ulcer_index FROM a),
+yearly AS (SELECT *, CASE WHEN return_rate IS NULL THEN NULL WHEN days = 0 THEN 0 WHEN return_rate > -1 THEN pow(1 + return_rate, 365.0 / days) - 1 END AS annualized_return FROM guarded),
+z AS (SELECT *, (annualized_return - 0.02) / nullif(volatility, 0) AS sharpe_ratio, CASE WHEN m < 2 OR annualized_return IS NULL THEN NULL WHEN losses = 0 THEN 'inf'::DOUBLE ELSE (annualized_return - 0.02) / (down * sqrt(252)) END AS sortino_ratio, (annualized_return - 0.02) / (nullif(ulcer_index, 0) / 100) AS upi FROM yearly)
 SELECT {group}n_days, {', '.join(f'{r(n)} AS {n}' for n in NAMES)}{extra} FROM z"""
 
 
@@ -70,6 +71,22 @@ def nav_periods(spark, d):
     return x.select("period", "n_days", *_rounded(x, NAMES))
 
 
+_LOGS = ("annualized_return", "sharpe_ratio", "sortino_ratio", "upi")
+
+
+@query(
+    "nav_short_slices",
+    "WITH {nav}, w AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM nav), s AS (SELECT k AS g, date, assets FROM w, range(1, 6) t(k) WHERE i > 10 AND i <= 10 + k), "
+    + _metrics_sql("s").rsplit("\nSELECT", 1)[0] + " SELECT g AS n, n_days, " + ", ".join(f"{r(f'sign({x}) * ln(1 + abs({x}))' if x in _LOGS else x)} AS {x}" for x in NAMES) + " FROM z",
+)
+def nav_short_slices(spark, d):
+    """Slices of one to five days from the eleventh on: what is defined of so few. Figures of a year are given as logarithms."""
+    days = _nav(spark, d).withColumn("_i", F.row_number().over(Window.partitionBy("portfolio").orderBy("date"))).where(F.col("_i").between(11, 15))
+    x = nav.metrics(days.withColumn("n", F.explode(F.sequence(F.col("_i") - 10, F.lit(5)))).withColumn("n", F.col("n").cast("long")), ["portfolio", "n"])
+    x = x.withColumns({n: F.signum(n) * F.log(1 + F.abs(n)) for n in _LOGS})
+    return x.select("n", "n_days", *_rounded(x, NAMES))
+
+
 @query("nav_between", "WITH {nav}, s AS (SELECT 1 AS g, * FROM nav WHERE date >= (SELECT max(date) FROM nav WHERE date < DATE '1996-01-01') AND date <= DATE '1996-12-31'), " + _metrics_sql("s"))
 def nav_between(spark, d):
     x = nav.metrics(nav.between(_nav(spark, d), "1996-01-01", "1996-12-31"), KEYS)

@@ -123,3 +123,36 @@ def test_folds_carry_any_type(spark):
     got = folded(spark.createDataFrame(rows, schema), ["k"], ["i"], lambda: [0], lambda s, r: (s.__setitem__(0, s[0] + 1), [(*r, s[0])])[1], schema + ", n int").collect()
     assert sorted((r["n"], str(r["d"])) for r in got) == [(1, "1.50"), (1, "None"), (2, "2.50")]
     assert next(r for r in got if r["n"] == 1 and r["d"] is not None)["m"]["a"]["q"] == b"x"
+
+
+def _plain_trips(rows):
+    """Clipped round trips of one symbol, trade by trade."""
+    held = cost = fee0 = 0.0
+    opened, out = None, []
+    for i, (p, v, side, f) in enumerate(rows):
+        if side == "buy":
+            if held == 0:
+                opened, fee0, cost = p, f, 0.0
+            held, cost = held + v, cost + v * p + f
+        elif held > 0:
+            q = min(v, held)
+            share = q / held
+            out.append((i, q * p - share * cost - f, opened, share * fee0, q))
+            held, cost, fee0 = held - q, cost - share * cost, fee0 - share * fee0
+    return out
+
+
+@pytest.mark.parametrize("kind", ["mixed", "never flat"])
+def test_clipped_round_trips_by_windows(spark, kind):
+    import random
+
+    rng = random.Random(7)
+    if kind == "mixed":
+        rows = [(rng.randint(1, 50), rng.randint(1, 9) * 100, rng.choice(["buy", "sell"]), rng.randint(0, 7)) for _ in range(400)]
+    else:  # what is left of the first cost falls far below the smallest number
+        rows = [(10, 64_000_000, "buy", 3)] + [(rng.randint(5, 20), v, side, 1) for _ in range(900) for side, v in (("sell", 63_999_936), ("buy", 63_999_936))]
+    got = sorted(((r["close_time"] - datetime.fromisoformat("2024-01-01")).days, r["profit"], r["open_price"], r["open_fee"], r["volume"]) for r in ledger.clipped_round_trips(_trades(spark, rows)).collect())
+    want = _plain_trips(rows)
+    assert [(g[0], g[2], g[4]) for g in got] == [(w[0], w[2], w[4]) for w in want]
+    assert all(g[1] == pytest.approx(w[1], rel=1e-9, abs=1e-6) and g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-12) for g, w in zip(got, want))
+    assert "MapInArrow" not in ledger.clipped_round_trips(_trades(spark, rows))._jdf.queryExecution().executedPlan().toString()

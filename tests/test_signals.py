@@ -87,6 +87,7 @@ def test_vote_strength(spark):
 def test_asof_prefers_the_finer_frequency(spark):
     t = datetime.fromisoformat
     bars = spark.createDataFrame([("s", "1d", t("2024-01-01"), 1.0), ("s", "60m", t("2024-01-01 10:00"), 2.0), ("s", "60m", t("2024-01-01 11:00"), 0.0)], "symbol string, frequency string, eob timestamp, close double")
-    q = spark.createDataFrame([("s", t("2024-01-01 09:00")), ("s", t("2024-01-01 12:00")), ("s", t("2023-12-31")), ("z", t("2024-01-02"))], "symbol string, at timestamp")
+    q = spark.createDataFrame([("s", t("2024-01-01 09:00")), ("s", t("2024-01-01 10:30")), ("s", t("2024-01-01 12:00")), ("s", t("2023-12-31")), ("z", t("2024-01-02"))], "symbol string, at timestamp")
     got = {(r["symbol"], r["at"]): r["price"] for r in asof.latest_price(q, bars).collect()}
-    assert [got["s", t("2024-01-01 09:00")], got["s", t("2024-01-01 12:00")], got["s", t("2023-12-31")], got["z", t("2024-01-02")]] == [1.0, 2.0, None, None]
+    # At noon the latest finer bar has no price, so the coarser one counts and not an older finer bar.
+    assert [got["s", t("2024-01-01 09:00")], got["s", t("2024-01-01 10:30")], got["s", t("2024-01-01 12:00")], got["s", t("2023-12-31")], got["z", t("2024-01-02")]] == [1.0, 2.0, 1.0, None, None]

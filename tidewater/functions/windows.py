@@ -120,12 +120,15 @@ def with_overlap(df: DataFrame, by: list[str], order: str, rows: int, chunk: int
     partitioned by ``(*by, _chunk)``, so that one series is spread over tasks; drop the warm rows afterwards.
     Positions come from bucketed counts, not from one window over a series.
     """
-    span = Window.partitionBy(*by, "_part").orderBy(order)
-    parts = df.withColumn("_part", F.xxhash64(F.date_trunc("month", F.col(order))) if dict(df.dtypes)[order].startswith(("timestamp", "date")) else F.floor(F.col(order) / chunk))
-    sizes = parts.groupBy(*by, "_part").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_first", "_n")
-    at = parts.withColumn("_nth", F.row_number().over(span)).join(starts, [*by, "_part"]).withColumn("_at", F.col("_before") + F.col("_nth") - 1)
+    timed = dict(df.dtypes)[order].startswith(("timestamp", "date"))
+    part = F.xxhash64(F.date_trunc("month", F.col(order))) if timed else F.floor(F.col(order) / chunk)
+    # Keys as structures, which join where a part of them is null.
+    parts = df.withColumns({"_series": F.struct(*by), "_part": F.struct(*by, part.alias("_n"))})
+    span = Window.partitionBy("_part").orderBy(order)
+    sizes = parts.groupBy("_part").agg(F.first("_series").alias("_series"), F.min(order).alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_series").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = parts.withColumn("_nth", F.row_number().over(span)).join(starts, "_part").withColumn("_at", F.col("_before") + F.col("_nth") - 1)
     own = F.floor(F.col("_at") / chunk)
     also = F.floor((F.col("_at") + rows) / chunk)
-    return at.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, also))).withColumn("_warm", F.col("_chunk") > F.col("_own")).drop("_part", "_before", "_nth", "_at", "_own")
+    return at.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, also))).withColumn("_warm", F.col("_chunk") > F.col("_own")).drop("_series", "_part", "_before", "_nth", "_at", "_own")

@@ -1,8 +1,8 @@
 """Trades through cash and positions: order replay, round trips and trade metrics.
 
-Each result depends on the whole path before it (fees, rounding, averaged costs), so rows of a key are folded
-in order. Keys are dealt over tasks and sorted there; a task streams through its rows and holds one key's
-state, never one key's rows.
+The replay of orders depends on the whole path before each (fees, rounding, refusals), so an account's rows are folded in
+order: accounts are dealt over tasks and sorted there; a task streams through its rows and holds one account's state,
+never its rows. Round trips of clipped trades are windows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.folds import folded
 from tidewater.functions.stats import rounded
+from tidewater.functions.windows import Series
 
 # Fee rates.
 COMMISSION_RATE, STAMP_TAX_RATE, MIN_COMMISSION = 0.0003, 0.001, 5.0
@@ -24,17 +25,24 @@ def side_code(side: str) -> Column:
     return F.when(text.isin("1", "buy"), BUY).when(text.isin("2", "sell"), SELL)
 
 
+def _counted(trades: DataFrame) -> DataFrame:
+    """Trades with price and volume, in the types that round trips are computed in."""
+    t = trades.withColumn("side", side_code("side")).where(F.col("price").isNotNull() & ~F.isnan("price") & F.col("volume").isNotNull() & (F.col("volume") != 0))
+    if "seq" not in t.columns:
+        t = t.withColumn("seq", F.lit(0))
+    return t.select(F.col("symbol"), "created_at", "seq", "price", F.abs("volume").cast("double").alias("volume"), "side", F.coalesce("fee", F.lit(0.0)).alias("fee"))
+
+
 def round_trips(trades: DataFrame, clip: bool = False) -> DataFrame:
     """One row for each sell against the averaged cost of what is held.
 
     Opening time and price are those of the first buy since the position was flat, and so is the opening fee,
     of which a sell takes its share. Sells of nothing are left out; ``clip`` cuts a sell to what is held, while
     the default lets a position go negative as a trade record may. Trades without price or volume do not count.
+
+    Trade by trade, in one task for a symbol; :func:`clipped_round_trips` computes the clipped ones by windows.
     """
-    t = trades.withColumn("side", side_code("side")).where(F.col("price").isNotNull() & ~F.isnan("price") & F.col("volume").isNotNull() & (F.col("volume") != 0))
-    if "seq" not in t.columns:
-        t = t.withColumn("seq", F.lit(0))
-    t = t.select(F.col("symbol"), "created_at", "seq", "price", F.abs("volume").cast("double").alias("volume"), "side", F.coalesce("fee", F.lit(0.0)).alias("fee"))
+    t = _counted(trades)
 
     def start() -> dict:
         return {"v": 0.0, "cost": 0.0, "at": None, "price": 0.0, "fee": 0.0}
@@ -57,8 +65,47 @@ def round_trips(trades: DataFrame, clip: bool = False) -> DataFrame:
         s["fee"] -= fee
         return [row]
 
-    kind = t.schema["symbol"].dataType.simpleString()
-    return folded(t, ["symbol"], ["created_at", "seq"], start, step, f"symbol {kind}, profit double, open_time timestamp, close_time timestamp, open_price double, open_fee double, close_fee double, close_price double, volume double")
+    kind, at = (t.schema[c].dataType.simpleString() for c in ("symbol", "created_at"))
+    return folded(t, ["symbol"], ["created_at", "seq"], start, step, f"symbol {kind}, profit double, open_time {at}, close_time {at}, open_price double, open_fee double, close_fee double, close_price double, volume double")
+
+
+#: A block of a trip ends where the share that is left of its start falls below e to the power of minus this.
+BLOCK = 300
+
+
+def clipped_round_trips(trades: DataFrame) -> DataFrame:
+    """Round trips of trades whose sells are cut to what is held, by windows (volumes to eight decimals).
+
+    What is held is the running sum of volumes less its lowest value so far (below zero): a sell of more than that starts
+    the sum anew. A trip begins with the buy of a flat position. In it a sell leaves a share of the cost and of the opening
+    fee, and a buy adds to the cost: the cost is the product of shares times the sum of what was added, each over the
+    product at its time. That sum is taken in blocks in which products stay far from underflow; of the blocks before, only
+    the last can still weigh anything. Profits are rounded to nine decimals, beyond which sums taken in another order differ.
+    """
+    s = Series("symbol", ["created_at", "seq"])
+    d = _counted(trades).where("side is not null").withColumn("_x", F.when(F.col("side") == BUY, F.col("volume")).otherwise(-F.col("volume")).cast("decimal(28,8)"))
+    d = d.withColumn("_x", F.sum("_x").over(s.so_far))
+    d = d.withColumn("_v", F.col("_x") - F.least(F.min("_x").over(s.so_far), F.lit(0)))
+    d = d.withColumn("_v0", F.coalesce(s.lag("_v"), F.lit(0)))
+    d = d.withColumn("_trip", F.count(F.when((F.col("side") == BUY) & (F.col("_v0") == 0), 1)).over(s.so_far)).where((F.col("side") == BUY) | (F.col("_v0") > 0))
+    left = F.when(F.col("side") == SELL, F.col("_v").cast("double") / F.col("_v0").cast("double")).otherwise(1.0)
+    d = d.withColumns({"_f": left, "_a": F.when(F.col("side") == BUY, F.col("volume") * F.col("price") + F.col("fee")).otherwise(0.0)})
+    trip = Series(["symbol", "_trip"], s.order)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    one = lambda c: F.coalesce(c, F.lit(1.0))
+    d = d.withColumns({"_p": one(F.product("_f").over(before(trip.spec))), "_log": F.coalesce(F.sum(F.when(F.col("_f") > 0, F.ln("_f"))).over(before(trip.spec)), F.lit(0.0))})
+    d = d.withColumns({"_b": F.floor(-F.col("_log") / BLOCK), **{n: F.first(c).over(trip.so_far) for n, c in (("open_time", "created_at"), ("open_price", "price"), ("_fee0", "fee"))}})
+    block = Series(["symbol", "_trip", "_b"], s.order)
+    d = d.withColumn("_rel", one(F.product("_f").over(before(block.spec)))).withColumn("_s", F.col("_a") / F.col("_rel"))
+    last = Window.partitionBy("symbol", "_trip").orderBy("_b").rangeBetween(-1, -1)
+    carried = F.coalesce(F.sum("_s").over(last) * F.product("_f").over(last), F.lit(0.0))
+    d = d.withColumn("_cost", F.col("_rel") * (F.coalesce(F.sum("_s").over(before(block.spec)), F.lit(0.0)) + carried)).where(F.col("side") == SELL)
+    q = F.least(F.col("volume"), F.col("_v0").cast("double"))
+    share = q / F.col("_v0").cast("double")
+    return d.select(
+        "symbol", F.round(q * F.col("price") - share * F.col("_cost") - F.col("fee"), 9).alias("profit"), "open_time", F.col("created_at").alias("close_time"), "open_price",
+        (share * F.col("_fee0") * F.col("_p")).alias("open_fee"), F.col("fee").alias("close_fee"), F.col("price").alias("close_price"), q.alias("volume"),
+    )
 
 
 def trade_metrics(trips: DataFrame, fraction: float = 0.5, whole_days: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.folds import folded
+from tidewater.functions import scans
 from tidewater.functions.windows import Series, with_overlap
 
 BARS = Series(["symbol", "frequency"], ["eob"])
@@ -213,29 +213,73 @@ def thr_moving(df: DataFrame, x: str, n: int = 20, buffer: float = 0.0, out: str
 
 
 def thr_dual(df: DataFrame, x: str, entry_long: float, entry_short: float, exit_long: float, exit_short: float, out: str = "position", s: Series = BARS) -> DataFrame:
-    """Sticky position: flat until an entry; long turns short below ``exit_short``, short turns long above ``exit_long``; null holds."""
+    """Sticky position: flat until an entry; long turns short below ``exit_short``, short turns long above ``exit_long``; null holds.
+
+    A row maps the position before it to the one after. Once a position is held, such a map sends both sides to one side,
+    turns them round (both exits hold at once), or keeps them; so the position is the side it was last sent to, turned by
+    the parity of the turns since.
+    """
     v = F.col(x)
     if exit_short <= exit_long:
         d = df.withColumn("_e", F.when(v > entry_long, 1).when(v < entry_short, -1))
         d = d.withColumn("_e0", F.first("_e", ignorenulls=True).over(s.so_far)).withColumn("_was", s.lag("_e0"))
         d = d.withColumn("_ev", F.when(F.col("_was").isNull(), F.col("_e0")).when(v > exit_long, 1).when(v < exit_short, -1))
         return d.withColumn(out, F.coalesce(s.ffill("_ev"), F.lit(0))).drop("_e", "_e0", "_was", "_ev")
-
-    # Both exits can hold at once, so the position depends on the whole path: a fold whose state is the position.
-    def step(state: list[int], row) -> list[tuple]:
-        p, y = state[0], getattr(row, x)
-        if y is not None:
-            if p == 0:
-                p = 1 if y > entry_long else -1 if y < entry_short else 0
-            elif p == 1 and y < exit_short:
-                p = -1
-            elif p == -1 and y > exit_long:
-                p = 1
-        state[0] = p
-        return [(*row, p)]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` int"
-    return folded(df, s.by, s.order, lambda: [0], step, schema)
+    d = df.withColumn("_e", F.when(v > entry_long, 1).when(v < entry_short, -1))
+    d = d.withColumn("_held", F.coalesce(s.lag(F.count("_e").over(s.so_far)) > 0, F.lit(False)))
+    turn, sent = _dual_maps(v, exit_long, exit_short)
+    d = d.withColumn("_t", F.sum(turn).over(s.so_far) % 2)
+    d = d.withColumn("_ev", sent * (1 - 2 * F.col("_t")))
+    return d.withColumn(out, F.coalesce(s.ffill("_ev") * (1 - 2 * F.col("_t")), F.lit(0)).cast("int")).drop("_e", "_held", "_t", "_ev")
+
+
+def _dual_maps(v: Column, exit_long: float, exit_short: float) -> tuple[Column, Column]:
+    """Of a row with ``_e`` (its entry) and ``_held`` (a position is held before it): 1 if it turns both sides round, and the side it sends both to."""
+    up, down = v > exit_long, v < exit_short
+    turn = F.when(F.col("_held") & up & down, 1).otherwise(0)
+    sent = F.when(~F.col("_held"), F.col("_e")).when(up & down, F.lit(None)).when(up, 1).when(down, -1)
+    return turn, sent
+
+
+def thr_dual_scanned(df: DataFrame, x: str, entry_long: float, entry_short: float, exit_long: float, exit_short: float, out: str = "position", unit: str | float = "month", s: Series = BARS) -> DataFrame:
+    """:func:`thr_dual` over series too long for one task. ``s`` is ordered by one column without ties."""
+    v, at = F.col(x), F.col(s.order[0])
+    d = df.withColumn("_e", F.when(v > entry_long, 1).when(v < entry_short, -1))
+    d = scans.running(d, s, {"_first": ("min", F.when(F.col("_e").isNotNull(), at))}, unit)
+    d = d.withColumn("_held", F.coalesce(F.col("_first") < at, F.lit(False)))
+    turn, sent = _dual_maps(v, exit_long, exit_short)
+    d = scans.running(d, s, {"_t": ("sum", turn)}, unit).withColumn("_t", F.col("_t") % 2)
+    d = scans.running(d, s, {"_ev": ("last", sent * (1 - 2 * F.col("_t")))}, unit)
+    return d.withColumn(out, F.coalesce(F.col("_ev") * (1 - 2 * F.col("_t")), F.lit(0)).cast("int")).drop("_e", "_first", "_held", "_t", "_ev")
+
+
+def macd_scanned(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price: str = "close", out: str = "macd", unit: str | float = "month", s: Series = BARS) -> DataFrame:
+    """:func:`macd` over series too long for one task."""
+    d = scans.ewm(df, s, {"_fast": (F.col(price), scans.keep_of(span=fast)), "_slow": (F.col(price), scans.keep_of(span=slow))}, unit)
+    d = d.withColumn("_dif", F.col("_fast") - F.col("_slow"))
+    d = scans.ewm(d, s, {"_dea": (F.col("_dif"), scans.keep_of(span=signal))}, unit)
+    return d.withColumn(out, F.col("_dif") - F.col("_dea")).drop("_fast", "_slow", "_dif", "_dea")
+
+
+def kdj_scanned(df: DataFrame, n: int = 9, m1: int = 3, m2: int = 3, out: str = "kdj", unit: str | float = "month", chunk: int = 1_000_000, s: Series = BARS) -> DataFrame:
+    """:func:`kdj` over series too long for one task: the range of ``n`` rows by chunks that overlap, the means by scans."""
+    def rsv(d: DataFrame, t: Series) -> DataFrame:
+        d = d.withColumns({"_lo": t.min("low", n), "_hi": t.max("high", n)})
+        return d.withColumn("_rsv", F.coalesce(F.try_divide(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 100.0, F.lit(50.0))).drop("_lo", "_hi")
+
+    d = scans.ewm(in_chunks(df, rsv, n - 1, chunk, s), s, {"_k": (F.col("_rsv"), scans.keep_of(com=m1 - 1))}, unit)
+    d = scans.ewm(d, s, {"_d": (F.col("_k"), scans.keep_of(com=m2 - 1))}, unit)
+    return d.withColumn(out, F.col("_k") - F.col("_d")).drop("_rsv", "_k", "_d")
+
+
+def strategy_returns_scanned(df: DataFrame, position: str, price: str = "close", unit: str | float = "month", chunk: int = 1_000_000, s: Series = BARS) -> DataFrame:
+    """:func:`strategy_returns` over series too long for one task, and ``drawdown``, the fall of growth below its maximum so far."""
+    def held(d: DataFrame, t: Series) -> DataFrame:
+        return d.withColumn("ret", t.pct_change(price)).withColumn("strategy", F.col("ret") * t.lag(position))
+
+    d = scans.running(in_chunks(df, held, 1, chunk, s), s, {"growth": ("product", 1 + F.coalesce(F.col("strategy"), F.lit(0.0)))}, unit)
+    d = scans.running(d, s, {"_top": ("max", F.col("growth"))}, unit)
+    return d.withColumns({"drawdown": F.try_divide(F.col("_top") - F.col("growth"), "_top"), "growth": F.col("growth") - 1}).drop("_top")
 
 
 def strategy_returns(df: DataFrame, position: str, price: str = "close", s: Series = BARS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded
 from tidewater.operators import asof, signals
-from tidewater.plans.catalog import query, r
+from tidewater.plans.catalog import ORACLES, query, r
 from tidewater.sources import bars
 
 #: A trailing window of ``n`` rows of a symbol, and a mean that is null until it is full.
@@ -30,6 +30,11 @@ def _out(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.select("symbol", "eob", *(rounded(n, digits).alias(n) for n in names))
 
 
+def _like(name: str) -> str:
+    """The SQL of a query that another one must agree with."""
+    return ORACLES[name]
+
+
 MA = f"({roll('avg', 'close', 5)} - {roll('avg', 'close', 20)}) / {roll('avg', 'close', 20)}"
 MOM = "close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY eob) - 1"
 VOL = f"volume / ({roll('avg', 'volume', 5)}) - 1"
@@ -201,6 +206,18 @@ def sig_ma_in_chunks(spark, d):
     return _out(signals.in_chunks(bars.event_bars(spark, d), lambda b, s: signals.ma_cross(b, s=s), 19, 150), "ma")
 
 
+@query("sig_macd_scanned", _like("sig_macd"))
+def sig_macd_scanned(spark, d):
+    """The same as ``sig_macd``, with each series spread over tasks by week."""
+    return _out(signals.macd_scanned(bars.event_bars(spark, d), unit="week"), "macd")
+
+
+@query("sig_kdj_scanned", _like("sig_kdj"))
+def sig_kdj_scanned(spark, d):
+    """The same as ``sig_kdj``, with each series spread over tasks."""
+    return _out(signals.kdj_scanned(bars.event_bars(spark, d), unit="week", chunk=150), "kdj")
+
+
 @query("sig_custom", f"WITH {{bars}} SELECT symbol, eob, {r('close / open - 1')} AS body FROM bars")
 def sig_custom(spark, d):
     return _out(signals.custom(bars.event_bars(spark, d), lambda b: F.col("close") / F.col("open") - 1, "body"), "body")
@@ -293,6 +310,13 @@ def thr_dual_wide(spark, d):
     return signals.thr_dual(x, "x", 0.3, -0.3, -0.2, 0.2).select("symbol", "eob", "position")
 
 
+@query("thr_dual_scanned", _like("thr_dual_wide"))
+def thr_dual_scanned(spark, d):
+    """The same as ``thr_dual_wide``, with each series spread over tasks by week."""
+    x = signals.momentum(bars.event_bars(spark, d), out="x").withColumn("x", F.round("x", 9))
+    return signals.thr_dual_scanned(x, "x", 0.3, -0.3, -0.2, 0.2, unit="week").select("symbol", "eob", "position")
+
+
 @query(
     "score_rows",
     "WITH " + THREE + ", q AS (SELECT symbol, eob, ma, boll, vol, coalesce((CASE WHEN ma IS NOT NULL THEN 2 * tanh(ma) ELSE 0 END + CASE WHEN boll IS NOT NULL THEN tanh(boll) ELSE 0 END + CASE WHEN vol IS NOT NULL THEN tanh(vol) ELSE 0 END) "
@@ -326,3 +350,17 @@ def vote_strength(spark, d):
 def strategy_return(spark, d):
     x = signals.thr_simple(signals.momentum(bars.event_bars(spark, d)), "momentum", 0.0)
     return _out(signals.strategy_returns(x, "position"), "strategy")
+
+
+@query(
+    "strategy_growth",
+    f"WITH {{bars}}, m AS (SELECT symbol, eob, close, CASE WHEN {MOM} > 0 THEN 1 WHEN {MOM} < 0 THEN -1 ELSE 0 END AS p FROM bars), "
+    "x AS (SELECT symbol, eob, (close / lag(close) OVER w - 1) * lag(p * 0.001::DOUBLE) OVER w AS y FROM m WINDOW w AS (PARTITION BY symbol ORDER BY eob)), "
+    "g AS (SELECT symbol, eob, product(1 + coalesce(y, 0)) OVER (PARTITION BY symbol ORDER BY eob ROWS UNBOUNDED PRECEDING) AS g FROM x) "
+    f"SELECT symbol, eob, {r('ln(g)')} AS growth, {r('1 - g / max(g) OVER (PARTITION BY symbol ORDER BY eob ROWS UNBOUNDED PRECEDING)')} AS drawdown FROM g",
+)
+def strategy_growth(spark, d):
+    """What a thousandth of the capital held by the signal grows to (as a logarithm), and how far below its maximum it is; each series spread over tasks."""
+    x = signals.in_chunks(bars.event_bars(spark, d), lambda b, s: signals.thr_simple(signals.momentum(b, s=s), "momentum", 0.0), 20, 150)
+    g = signals.strategy_returns_scanned(x.withColumn("share", F.col("position") * 0.001), "share", unit="week", chunk=150)
+    return _out(g.withColumn("growth", F.log(1 + F.col("growth"))), "growth", "drawdown")

@@ -190,11 +190,11 @@ def nav_metric_rows(spark, d):
 # Trades -----------------------------------------------------------------------------------------------
 
 def _clip(spark, d):
-    return ledger.round_trips(bars.event_trades(spark, d), clip=True)
+    return ledger.clipped_round_trips(bars.event_trades(spark, d))
 
 
-def _trips(spark, d):
-    return _clip(spark, d).select("symbol", "open_time", "close_time", "open_price", rounded("open_fee", 6).alias("open_fee"), "close_fee", "close_price", "volume", rounded("profit", 6).alias("profit"))
+def _shown(trips: DataFrame) -> DataFrame:
+    return trips.select("symbol", "open_time", "close_time", "open_price", rounded("open_fee", 6).alias("open_fee"), "close_fee", "close_price", "volume", rounded("profit", 6).alias("profit"))
 
 
 #: The same fold as a recursive query: trades of a symbol are numbered and taken one by one.
@@ -216,7 +216,14 @@ trips AS (SELECT symbol, profit, ot AS open_time, ct AS close_time, op AS open_p
 
 @query("roundtrips", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, open_time, close_time, open_price, {r('open_fee', 6)} AS open_fee, close_fee, close_price, volume, {r('profit', 6)} AS profit FROM trips")
 def roundtrips(spark, d):
-    return _trips(spark, d)
+    """Trade by trade, as a fold."""
+    return _shown(ledger.round_trips(bars.event_trades(spark, d), clip=True))
+
+
+@query("roundtrips_windowed", "WITH RECURSIVE {trades}," + FOLD + f" SELECT symbol, open_time, close_time, open_price, {r(r('open_fee', 9), 6)} AS open_fee, close_fee, close_price, volume, {r(r('profit', 9), 6)} AS profit FROM trips")
+def roundtrips_windowed(spark, d):
+    """The same by windows; both sides are freed of noise beyond nine decimals before they are rounded."""
+    return _shown(_clip(spark, d).withColumn("open_fee", F.round("open_fee", 9)))
 
 
 @query(

@@ -212,3 +212,34 @@ def test_documents(spark, panel):
     trips = spark.createDataFrame([("x", 1.0), ("y", -1.0)], "symbol string, profit double")
     got = report.account_report("acc", metrics, d.select("date", "close"), trips).to_dict()["cells"]
     assert [i["name"] for i in got[0]["items"]] == ["a", "b"] and got[2]["cells"][0]["rows"][0][0] == "x"
+
+
+def test_p_values(spark):
+    from tidewater.functions import stats
+
+    rows = [(t, n) for n in (2, 3, 4, 7, 30, 251, 5000) for t in (-8.0, -2.5, -1e-3, 0.0, 0.4, 1.0, 1.96, 3.3, 12.0)]
+    d = spark.createDataFrame([*rows, (None, 9), (1.0, 1), (float("nan"), 9)], "t double, n long")
+    got = [r["p"] for r in d.select(stats.p_value(F.col("t"), F.col("n")).alias("p")).collect()]
+    for (t, n), p in zip(rows, got):
+        assert p == pytest.approx(stats.t_p_value(t, n) if t else 1.0, rel=1e-9, abs=1e-300)
+    assert got[-3:] == [None, None, None]
+
+
+def test_all_validations_are_one_lazy_plan(spark, panel):
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "no job while the plan is made")
+    try:
+        plan = validation.validation_plan(panel, "momentum", "ret", q=4, window=12)
+        assert not sc.statusTracker().getJobIdsForGroup("building")
+    finally:
+        sc.setJobGroup("", "")
+    got = {(r["validation"], r["name"]): r["value"] for r in plan.collect()}
+    want = validation.run_all(panel, "momentum", "ret", q=4)
+    for v, entry in want.items():
+        for name, value in entry["value"].items():
+            if v != "stability":
+                assert got[v, name] == (None if value is None else pytest.approx(value, rel=1e-9, abs=1e-12)), (v, name)
+    steady = factors.stability(factors.ic_by_date(factors.aligned(panel, "momentum", "ret"), "momentum", "ret"), 12).first().asDict()
+    assert {n: got["stability", n] for n in steady} == {n: None if x is None else pytest.approx(x, rel=1e-9) for n, x in steady.items()}
+    empty = validation.validation_plan(panel.where("false"), "momentum", "ret").collect()
+    assert {r["value"] for r in empty if r["name"] in ("ic_mean", "p_value", "spread", "decay_rate", "autocorr_1")} == {None}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.stats import rounded
 from tidewater.operators import combine, factors, validation
-from tidewater.plans.catalog import query, r
+from tidewater.plans.catalog import ORACLES, query, r
 from tidewater.sources import bars
 
 #: Three-month momentum ``f``, a second factor ``v``, and next month's return ``ret``, rounded so that ranks and comparisons agree.
@@ -321,3 +321,29 @@ def validation_run(spark, d):
     names = [n for n in validation.CHECKS if n != "stability"]
     rows = validation.result_rows(spark, validation.run_all(panel(spark, d).cache(), "f", "ret", names=names))
     return rows.where("name <> 'p_value'").select("validation", "name", rounded("value", 5).alias("value"))
+
+
+#: The two-sided p-value of t by the finite series for whole degrees of freedom, in the angle atan(t / sqrt(df)).
+P_VALUE = (
+    "tt AS (SELECT avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t, count(ic) - 1 AS df FROM ic), th AS (SELECT df, atan(abs(t) / sqrt(df)) AS a FROM tt), "
+    "ser AS (SELECT df, a, list_reduce(list_transform(range(0, CAST(floor((df + df % 2) / 2) AS BIGINT)), lambda j: {'s': 1.0::DOUBLE, 't': 1.0::DOUBLE, 'c': cos(a) * cos(a), 'j': j, 'o': df % 2}), "
+    "lambda p, x: {'s': p.s + p.t * x.c * CASE WHEN x.o = 1 THEN 2.0 * x.j / (2 * x.j + 1) ELSE (2.0 * x.j - 1) / (2 * x.j) END, 't': p.t * x.c * CASE WHEN x.o = 1 THEN 2.0 * x.j / (2 * x.j + 1) ELSE (2.0 * x.j - 1) / (2 * x.j) END, 'c': x.c, 'j': x.j, 'o': x.o}) AS f, "
+    "list_reduce(list_transform(range(0, CAST(floor((df - 1) / 2) AS BIGINT)), lambda j: {'s': 1.0::DOUBLE, 't': 1.0::DOUBLE, 'c': cos(a) * cos(a), 'j': j}), lambda p, x: {'s': p.s + p.t * x.c * 2.0 * x.j / (2 * x.j + 1), 't': p.t * x.c * 2.0 * x.j / (2 * x.j + 1), 'c': x.c, 'j': x.j}) AS g FROM th), "
+    "pv AS (SELECT 1 - CASE WHEN df % 2 = 0 THEN sin(a) * f.s ELSE 2 / pi() * (a + sin(a) * cos(a) * coalesce(g.s, 0)) END AS p FROM ser)"
+)
+STABILITY = (
+    "sv AS (SELECT date, ic, CASE WHEN count(ic) OVER w = 60 THEN stddev_samp(ic) OVER w END AS sd, product(1 + ic) OVER u AS c, lag(ic, 1) OVER o AS l1, lag(ic, 2) OVER o AS l2, lag(ic, 3) OVER o AS l3, lag(ic, 4) OVER o AS l4, lag(ic, 5) OVER o AS l5 "
+    "FROM ic WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), u AS (ORDER BY date ROWS UNBOUNDED PRECEDING), o AS (ORDER BY date)), st AS (SELECT *, max(c) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM sv)"
+)
+_ALL = ORACLES["validation_run"].replace(" SELECT validation, name,", f", {P_VALUE}, {STABILITY} SELECT validation, name,").removesuffix(")")
+
+
+@query(
+    "validation_plan",
+    _ALL + " UNION ALL SELECT 'information_coefficient', 'p_value', p FROM pv UNION ALL SELECT 'stability', 'mean_rolling_std', avg(sd) FROM st UNION ALL SELECT 'stability', 'max_ic_drawdown', min((c - pk) / pk) FROM st"
+    + "".join(f" UNION ALL SELECT 'stability', 'autocorr_{k}', corr(ic, l{k}) FROM st" for k in range(1, 6)) + ")",
+)
+def validation_plan(spark, d):
+    """All validations, with the p-value and the stability of the correlation, as one plan."""
+    rows = validation.validation_plan(panel(spark, d), "f", "ret")
+    return rows.select("validation", "name", rounded("value", 5).alias("value"))

@@ -23,6 +23,18 @@ def _normal(raw: Weights) -> Weights:
     return {k: v / total for k, v in raw.items()} if total > 0 else equal(list(raw))
 
 
+def present(panel: DataFrame, names: list[str]) -> list[str]:
+    """The factors that have a value in the panel at all."""
+    got = panel.agg(*(F.count(n).alias(n) for n in names)).first()
+    return [n for n in names if got[n]]
+
+
+def equal_of(panel: DataFrame, names: list[str]) -> Weights:
+    """Equal weights of the factors that the panel holds, 0 for the others; equal ones of all where it holds none."""
+    held = present(panel, names) or names
+    return {n: 1.0 / len(held) if n in held else 0.0 for n in names}
+
+
 def equal(names: list[str]) -> Weights:
     return {n: 1.0 / len(names) for n in names}
 
@@ -197,8 +209,8 @@ def weights(panel: DataFrame, names: list[str], method: str, ret: str | None = N
     if method in ("ic_weight", "ir_weight") and ret is None:
         return equal(names)
     make = {
-        "equal_weight": lambda: equal(names), "ic_weight": lambda: ic_weights(panel, names, ret, k), "ir_weight": lambda: ir_weights(panel, names, ret, k),
-        "max_diversification": lambda: max_diversification(names), "min_variance": lambda: min_variance(panel, names), "max_sharpe": lambda: max_sharpe(panel, names, ret, k),
+        "equal_weight": lambda: equal_of(panel, names), "ic_weight": lambda: ic_weights(panel, names, ret, k), "ir_weight": lambda: ir_weights(panel, names, ret, k),
+        "max_diversification": lambda: equal_of(panel, names), "min_variance": lambda: min_variance(panel, names), "max_sharpe": lambda: max_sharpe(panel, names, ret, k),
         "risk_parity": lambda: risk_parity(panel, names), "pca": lambda: pca_weights(panel, names),
     }
     if method not in make:

@@ -6,7 +6,9 @@ portfolio's days are ordered in one task and portfolios are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.windows import Series
@@ -178,6 +180,51 @@ def register_metric(name: str, order: int = 99) -> None:
     METRICS[name] = order
 
 
+#: User metrics: name -> (place in reports, what it is, function that builds an aggregate over the rows of :func:`returns`).
+BUILDERS: dict[str, tuple[int, str, Callable[[], Column]]] = {}
+
+
+def metric(name: str, order: int = 99, about: str = "") -> Callable:
+    """Decorator: register a metric, a function that returns an aggregate over a slice's days.
+
+    It may use ``date``, ``assets``, ``r`` (the day's return), ``peak`` and ``dd`` (the fall below it as a share).
+    """
+
+    def add(f: Callable[[], Column]) -> Callable[[], Column]:
+        BUILDERS[name] = (order, about, f)
+        return f
+
+    return add
+
+
+def collected_metrics(nav: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """All metrics of each slice as rows ``name, place, value, error``, those of :func:`metrics` and the registered ones.
+
+    A registered metric that cannot be built (whatever its function raises, or an expression that does not fit the columns)
+    is a row with its error and no value, beside the others. What is undefined should be null: with ``try_divide`` and the
+    like, since an error while the query runs fails it as a whole.
+    """
+    wide = metrics(nav, keys)
+    days = returns(nav, keys)
+    made: dict[str, Column] = {}
+    errors: dict[str, str] = {}
+    for n, (_, _, build) in BUILDERS.items():
+        if names is not None and n not in names:
+            continue
+        try:
+            column = build().cast("double").alias(n)
+            days.groupBy(*keys).agg(column)  # analysed, not run
+            made[n] = column
+        except Exception as e:  # noqa: BLE001  whatever a user's metric raises
+            errors[n] = str(e) or type(e).__name__
+    if made:
+        wide = wide.join(days.groupBy(*keys).agg(*made.values()), keys)
+    places = {**METRICS, **{n: o for n, (o, _, _) in BUILDERS.items()}}
+    chosen = sorted((n for n in places if (names is None or n in names) and (n in wide.columns or n in errors)), key=lambda n: (places[n], n))
+    rows = [F.struct(F.lit(n).alias("name"), F.lit(i).alias("place"), (F.lit(None) if n in errors else F.col(n)).cast("double").alias("value"), F.lit(errors.get(n)).cast("string").alias("error")) for i, n in enumerate(chosen)]
+    return wide.select(*keys, F.explode(F.array(*rows)).alias("_m")).select(*keys, "_m.*")
+
+
 def metric_rows(wide: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """Metrics as rows ``name, place, value`` in their registered order; metrics that ``wide`` lacks are left out."""
     chosen = sorted((n for n in names or METRICS if n in wide.columns), key=lambda n: (METRICS.get(n, 99), n))

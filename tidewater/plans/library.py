@@ -79,9 +79,15 @@ class FactorLibrary:
         self.entries = self.entries.where(~hit)
 
     def statistics(self) -> DataFrame:
-        """Numbers by category (latest versions), status and author (all versions)."""
-        by = lambda d, c: d.groupBy(F.lit(c).alias("kind"), F.col(c).alias("value")).agg(F.count("*").alias("n"))
-        return by(self.latest(), "category").unionByName(by(self.entries, "status")).unionByName(by(self.entries, "author"))
+        """Numbers by category (latest versions), status and author (all versions): grouping sets over one pass."""
+        w = Window.partitionBy("factor_name").orderBy(_version_key("version").desc())
+        kinds = ["category", "status", "author"]
+        d = self.entries.select("category", "status", "author", (F.row_number().over(w) == 1).cast("long").alias("_new"))
+        # The bits of grouping_id say which of the columns a row is not grouped by.
+        g = d.groupingSets([["category"], ["status"], ["author"]], *kinds).agg(F.grouping_id().alias("_g"), F.count("*").alias("_all"), F.sum("_new").alias("_new"))
+        at = {0b011: "category", 0b101: "status", 0b110: "author"}
+        pick = lambda f: F.coalesce(*(F.when(F.col("_g") == k, f(c)) for k, c in at.items()))
+        return g.select(pick(F.lit).alias("kind"), pick(F.col).alias("value"), F.when(F.col("_g") == 0b011, F.col("_new")).otherwise(F.col("_all")).alias("n")).where("n > 0")
 
     def save(self, path: str) -> None:
         rows = [r.asDict() for r in self.entries.orderBy("factor_name", "version").collect()]

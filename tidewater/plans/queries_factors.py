@@ -215,8 +215,9 @@ def _weights(name: str, method: str, sql: str) -> None:
         return combine.weight_rows(p, w).withColumn("weight", rounded("weight"))
 
 
-_weights("w_equal", "equal_weight", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))
-_weights("w_maxdiv", "max_diversification", "q AS (SELECT 1) " + PAIR.format("0.5::DOUBLE", "0.5::DOUBLE", "q"))
+HELD = "q AS (SELECT (count(f) > 0)::INT AS a, (count(v) > 0)::INT AS b FROM fx) " + PAIR.format("coalesce(a / nullif(a + b, 0), 0.5)::DOUBLE", "coalesce(b / nullif(a + b, 0), 0.5)::DOUBLE", "q")
+_weights("w_equal", "equal_weight", HELD)
+_weights("w_maxdiv", "max_diversification", HELD)
 _weights("w_ic", "ic_weight", f"{TWO}, {ABS_IC} " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "i"))
 _weights("w_ir", "ir_weight", f"{TWO}, i AS (SELECT (SELECT abs(avg(ic) / stddev_pop(ic)) FROM ic) AS a, (SELECT abs(avg(ic) / stddev_pop(ic)) FROM ic2) AS b) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "i"))
 _weights("w_minvar", "min_variance", f"{COV}, m AS (SELECT greatest(vv - fv, 0) AS a, greatest(ff - fv, 0) AS b FROM c) " + PAIR.format(r("a / (a + b)"), r("b / (a + b)"), "m"))

@@ -187,6 +187,36 @@ def nav_metric_rows(spark, d):
     return nav.metric_rows(nav.metrics(_nav(spark, d), KEYS), KEYS).select("name", "place", rounded("value").alias("value"))
 
 
+@nav.metric("winning_days", 60, "share of days with a gain")
+def _winning_days():
+    return F.avg((F.col("r") > 0).cast("double"))
+
+
+@nav.metric("days_under_water", 61, "days below the highest assets so far")
+def _days_under_water():
+    return F.count(F.when(F.col("dd") > 0, 1))
+
+
+@nav.metric("of_a_missing_column", 62, "a metric that cannot be built")
+def _of_a_missing_column():
+    return F.avg("no_such_column")
+
+
+_USER = ["return_rate", "volatility", "max_drawdown", "winning_days", "days_under_water", "of_a_missing_column"]
+
+
+@query(
+    "nav_user_metrics",
+    "WITH {nav}, s AS (SELECT 1 AS g, * FROM nav), " + _metrics_sql("s").rsplit("\nSELECT", 1)[0] + ", u AS (SELECT return_rate, volatility, max_drawdown, (SELECT avg((r > 0)::INT) FROM y WHERE r IS NOT NULL) AS winning_days, (SELECT count(*) FROM y WHERE dd > 0) AS days_under_water FROM z) "
+    "SELECT 'return_rate' AS name, 0 AS place, " + r("return_rate") + " AS value, false AS failed FROM u UNION ALL SELECT 'volatility', 1, " + r("volatility") + ", false FROM u UNION ALL SELECT 'max_drawdown', 2, " + r("max_drawdown") + ", false FROM u "
+    "UNION ALL SELECT 'winning_days', 3, " + r("winning_days") + ", false FROM u UNION ALL SELECT 'days_under_water', 4, days_under_water, false FROM u UNION ALL SELECT 'of_a_missing_column', 5, NULL, true",
+)
+def nav_user_metrics(spark, d):
+    """Registered metrics beside the built-in ones; one of them fails and stays a row."""
+    x = nav.collected_metrics(_nav(spark, d), KEYS, _USER)
+    return x.select("name", "place", rounded("value").alias("value"), F.col("error").isNotNull().alias("failed"))
+
+
 # Trades -----------------------------------------------------------------------------------------------
 
 def _clip(spark, d):

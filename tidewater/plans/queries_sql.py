@@ -128,6 +128,28 @@ def heat_scale(spark, d):
     return report.color_scale(bars.event_bars(spark, d, "day"), "close", ["symbol"]).select("symbol", "eob", rounded("scale").alias("scale"))
 
 
+#: The colour between two stops, channel by channel.
+_MIX = "printf('%02x', CAST(floor({a} + ({b} - {a}) * ({x}) + 0.5) AS BIGINT))"
+
+
+def _hex(a: str, b: str, x: str) -> str:
+    channels = [(int(a[i : i + 2], 16), int(b[i : i + 2], 16)) for i in (0, 2, 4)]
+    return "'#' || " + " || ".join(_MIX.format(a=p, b=q, x=x) for p, q in channels)
+
+
+@query(
+    "heat_colors",
+    "WITH {days}, u AS (SELECT symbol, eob, c.n AS name, c.s AS s, c.v AS v, CASE WHEN symbol <> 'error' AND NOT isnan(c.v) THEN c.v END AS k FROM days, unnest([{'n': 'open', 's': 'price', 'v': open}, {'n': 'close', 's': 'price', 'v': close}, {'n': 'volume', 's': 'volume', 'v': volume}]) t(c)), "
+    "e AS (SELECT s, date_trunc('week', eob) AS p, min(k) AS lo, max(k) AS hi FROM u GROUP BY 1, 2), x AS (SELECT u.*, lo, hi, (k - lo) / nullif(hi - lo, 0) AS q FROM u JOIN e ON e.s = u.s AND e.p = date_trunc('week', u.eob)) "
+    f"SELECT symbol, eob, name AS \"column\", v AS value, CASE WHEN k IS NULL THEN NULL WHEN lo = hi THEN CASE WHEN s = 'volume' THEN '#00ff80' ELSE '#ffffff' END WHEN s = 'volume' THEN {_hex('102030', '00ff80', 'q')} "
+    f"WHEN q <= 0.5 THEN {_hex('2196f3', 'ffffff', 'q * 2')} ELSE {_hex('ffffff', 'f44336', '(q - 0.5) * 2')} END AS color FROM x",
+)
+def heat_colors(spark, d):
+    """Colours of daily bars, week by week: prices on one scale of three colours, volumes on one of two, errors left out."""
+    b = bars.event_bars(spark, d, "day").withColumn("week", F.date_trunc("week", "eob"))
+    return report.heat_colors(b, ["symbol", "eob"], ["open", "close", "volume"], groups={"open": "price", "close": "price"}, group_colors={"volume": ("#102030", "#00ff80")}, skip=F.col("symbol") == "error", page=["week"])
+
+
 @query("stack_percent", "WITH {days} SELECT symbol, eob, " + r("100 * volume / sum(volume) OVER (PARTITION BY eob)") + " AS percent FROM days")
 def stack_percent(spark, d):
     return report.stack_percent(bars.event_bars(spark, d, "day"), "eob", "volume").select("symbol", "eob", rounded("percent").alias("percent"))

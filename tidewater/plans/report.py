@@ -7,15 +7,15 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The names that k-line columns may have.
 KLINE_NAMES = {
-    "open": ["open", "开盘"],
-    "close": ["close", "收盘"],
-    "low": ["low", "最低"],
-    "high": ["high", "最高"],
+    "open": ["open", "开盘", "Open", "OPEN", "o", "O"],
+    "close": ["close", "收盘", "Close", "CLOSE", "c", "C"],
+    "low": ["low", "最低", "Low", "LOW", "l", "L"],
+    "high": ["high", "最高", "High", "HIGH", "h", "H"],
 }
 
 
@@ -48,6 +48,55 @@ def color_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.withColumn("scale", F.when(F.col(value).isNotNull(), F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.5))))
 
 
+# The colours of a heat map from its least to its largest value.
+HEAT_COLORS = ("#2196f3", "#fff", "#f44336")
+
+
+def _channels(color: str) -> list[int]:
+    digits = color.lstrip("#")
+    digits = "".join(c * 2 for c in digits) if len(digits) == 3 else digits
+    return [int(digits[i : i + 2], 16) for i in (0, 2, 4)]
+
+
+def blended(ratio: Column, colors: tuple[str, ...] = HEAT_COLORS) -> Column:
+    """The colour between two or three stops at a ratio from 0 to 1, as ``#rrggbb``."""
+    if len(colors) not in (2, 3):
+        raise ValueError("two or three colours are needed")
+    stops = [_channels(c) for c in colors]
+
+    def between(a: list[int], b: list[int], at: Column) -> Column:
+        parts = [F.lower(F.lpad(F.hex(F.floor(F.lit(x) + F.lit(y - x) * at + 0.5).cast("long")), 2, "0")) for x, y in zip(a, b)]
+        return F.concat(F.lit("#"), *parts)
+
+    if len(stops) == 2:
+        return between(*stops, ratio)
+    return F.when(ratio <= 0.5, between(stops[0], stops[1], ratio * 2)).otherwise(between(stops[1], stops[2], (ratio - 0.5) * 2))
+
+
+def heat_colors(df: DataFrame, keys: list[str], columns: list[str], colors: tuple[str, ...] = HEAT_COLORS, axis: str = "column", groups: dict[str, str] | None = None, group_colors: dict[str, tuple[str, ...]] | None = None, skip: Column | None = None, page: list[str] | None = None) -> DataFrame:
+    """Cells ``*keys, column, value, color``; null colours where a cell has none.
+
+    The ends of a scale are the least and the largest value of a column (``axis="column"``), of all columns (``"table"``), or
+    of the columns that ``groups`` puts together; on each page, if ``page`` names its keys. Rows that ``skip`` marks neither
+    count nor are coloured. A scale without extent has its second colour.
+    """
+    if axis not in ("column", "table"):
+        raise ValueError(f"unknown axis {axis!r}")
+    page, groups, group_colors = page or [], groups or {}, group_colors or {}
+    scale = {c: groups.get(c, c if axis == "column" else "") for c in columns}
+    cells = df.withColumn("_skip", F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
+    cells = cells.select(*keys, *(c for c in page if c not in keys), "_skip", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(scale[c]).alias("scale"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_c"))
+    cells = cells.select("*", "_c.*").drop("_c").withColumn("_v", F.when(~F.col("_skip") & ~F.isnan("value"), F.col("value")))
+    ends = cells.groupBy(*page, "scale").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))  # a row for each scale of a page
+    d = cells.join(ends.select(*(F.col(c).alias(f"_{c}") for c in [*page, "scale"]), "_lo", "_hi"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*page, "scale"]]) if page else cells.join(ends, "scale")
+    ratio = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    of = lambda cs: F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo") == F.col("_hi"), F.lit("#" + "".join(f"{x:02x}" for x in _channels(cs[1])))).otherwise(blended(ratio, cs))
+    color = of(colors)
+    for g, cs in group_colors.items():
+        color = F.when(F.col("scale") == g, of(cs)).otherwise(color)
+    return d.select(*keys, "column", "value", color.alias("color"))
+
+
 def visual_range(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Bounds of a colour scale: least and largest value of each group, widened to whole steps of 5, 0.5 or 0.01 by their distance."""
     g = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
@@ -85,7 +134,11 @@ def account_report(title: str, metrics: DataFrame, daily: DataFrame, trips: Data
 
 
 class Notebook:
-    """Titled sections of cells, written as JSON or as one HTML page. Cells hold small results."""
+    """Titled sections of cells, written as JSON or as one HTML page.
+
+    Cells hold small results: each has a bound, which may be ``None``. A cell whose data are longer says so: it has
+    ``left_out``, the number of rows that it does not show.
+    """
 
     def __init__(self, title: str):
         self.title, self.cells, self._at = title, [], None
@@ -105,21 +158,41 @@ class Notebook:
     def metrics(self, values: dict) -> Notebook:
         return self._add("metrics", items=[{"name": k, "value": v} for k, v in values.items()])
 
-    def table(self, df: DataFrame, rows: int = 1000) -> Notebook:
-        return self._add("table", columns=df.columns, rows=[list(r) for r in df.limit(rows).collect()])
-
-    def chart(self, kind: str, df: DataFrame, x: str, names: list[str] | None = None, points: int = 10_000) -> Notebook:
+    @staticmethod
+    def _rows(df: DataFrame, most: int | None) -> tuple[list, dict]:
+        """The first rows, and how many were left out, if any."""
+        if most is None:
+            return df.collect(), {}
+        got = df.limit(most + 1).collect()
+        return got[:most], {"left_out": df.count() - most} if len(got) > most else {}
+
+    def table(self, df: DataFrame, rows: int | None = 1000) -> Notebook:
+        """The first rows, in the order that ``df`` has."""
+        got, more = self._rows(df, rows)
+        return self._add("table", columns=df.columns, rows=[list(r) for r in got], **more)
+
+    def chart(self, kind: str, df: DataFrame, x: str, names: list[str] | None = None, points: int | None = 10_000) -> Notebook:
+        """Columns over ``x``; where there are more points than it may hold, the latest."""
         cols = names or [c for c in df.columns if c != x]
-        got = df.select(x, *cols).orderBy(x).limit(points).collect()
-        return self._add(kind, xAxis=[str(r[0]) for r in got], series=[{"name": c, "data": [r[i + 1] for r in got]} for i, c in enumerate(cols)])
-
-    def pie(self, df: DataFrame, name: str, value: str, slices: int = 100) -> Notebook:
-        return self._add("pie", data=[{"name": r[0], "value": r[1]} for r in df.select(name, value).limit(slices).collect()])
-
-    def scatter(self, df: DataFrame, x: str, names: list[str], points: int = 10_000) -> Notebook:
-        """Points ``[x, y]`` of each named column; bounded, as all cells are."""
-        got = df.select(x, *names).limit(points).collect()
-        return self._add("scatter", xAxis=[], series=[{"name": c, "data": [[r[0], r[i + 1]] for r in got if r[i + 1] is not None]} for i, c in enumerate(names)])
+        got, more = self._rows(df.select(x, *cols).orderBy(F.desc(x)), points)
+        got = got[::-1]
+        return self._add(kind, xAxis=[str(r[0]) for r in got], series=[{"name": c, "data": [r[i + 1] for r in got]} for i, c in enumerate(cols)], **more)
+
+    def pie(self, df: DataFrame, name: str, value: str, slices: int | None = 100) -> Notebook:
+        """Values by name, the largest first; what is left out is one more slice, ``other``."""
+        d = df.select(name, value)
+        got, more = self._rows(d.orderBy(F.desc_nulls_last(value), name), slices)
+        data = [{"name": r[0], "value": r[1]} for r in got]
+        if more:
+            rest = d.agg(F.sum(value)).first()[0] - sum(r[1] for r in got if r[1] is not None)
+            data.append({"name": "other", "value": rest})
+        return self._add("pie", data=data, **more)
+
+    def scatter(self, df: DataFrame, x: str, names: list[str], points: int | None = 10_000) -> Notebook:
+        """Points ``[x, y]`` of each named column, by ``x``; where there are too many, the latest."""
+        got, more = self._rows(df.select(x, *names).orderBy(F.desc(x)), points)
+        got = got[::-1]
+        return self._add("scatter", **more, xAxis=[], series=[{"name": c, "data": [[r[0], r[i + 1]] for r in got if r[i + 1] is not None]} for i, c in enumerate(names)])
 
     def grid(self, charts: list[dict], heights: list[float] | None = None) -> Notebook:
         """Several charts above each other; heights are shares of the whole, equal ones by default."""

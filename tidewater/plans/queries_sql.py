@@ -10,7 +10,9 @@ from tidewater.plans import report
 from tidewater.plans.catalog import query, r
 from tidewater.plans.library import STATUSES, FactorLibrary
 from tidewater.plans.sqlbuilder import Database, page_count, sorted_page, top_per_key
-from tidewater.sources import bars
+from tidewater.sources import bars, tables
+from tidewater.sources.scratch import scratch_folder
+from tidewater.sources.stored import StoredTable
 
 
 def _db(spark, d, *names: str) -> Database:
@@ -228,3 +230,52 @@ def sql_upsert_batch(spark, d):
 def sort_numbers_in_text(spark, d):
     c = bars.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 500).cast("string").alias("code"))
     return sorted_page(c, [("code", True), ("c_custkey", False)], 2, 30)
+
+
+# Stored tables and documents ----------------------------------------------------------------------------
+
+def _stored(spark, d) -> tuple[StoredTable, DataFrame]:
+    """Two thirds of the customers as a stored table, and a batch in which every customer of two thirds comes twice."""
+    c = bars.read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    table = StoredTable.create(c.where("c_custkey % 3 <> 0"), scratch_folder(spark), ["c_custkey"])
+    new = c.where("c_custkey % 3 <> 1").withColumn("c_acctbal", F.col("c_acctbal") + 1).withColumn("seq", F.col("c_custkey") * 2)
+    return table, new.unionByName(new.withColumns({"c_acctbal": F.col("c_acctbal") + 1, "seq": F.col("seq") + 1}))
+
+
+@query("stored_replace", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 1 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal FROM customer")
+def stored_replace(spark, d):
+    """A table written, changed by a batch, tidied and opened anew."""
+    table, batch = _stored(spark, d)
+    table.insert(batch, "replace", "seq")
+    table.tidy()
+    return StoredTable(spark, table.path).df()
+
+
+@query(
+    "stored_insert_stops",
+    "SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS c_acctbal, "
+    "(SELECT count(*) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60) AS inserted, 1 AS errors FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey < 60",
+)
+def stored_insert_stops(spark, d):
+    """Without a rule for conflicts a batch ends at the first row whose key exists; what came before it stays."""
+    table, batch = _stored(spark, d)
+    once = batch.where("seq % 2 = 0 and (c_custkey % 3 = 0 or c_custkey > 60)").withColumn("c_custkey", F.when(F.col("c_custkey") == 60, 1).otherwise(F.col("c_custkey")))
+    counts = table.insert(once, None, "seq")
+    rows = StoredTable(spark, table.path).df()
+    return rows.select("c_custkey", "c_acctbal", F.lit(counts["inserted"]).cast("long").alias("inserted"), F.lit(counts["errors"]).alias("errors"))
+
+
+@query("json_properties", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def json_properties(spark, d):
+    """Fields of JSON texts of unknown shape."""
+    x = tables.picked(tables.documents(bars.read(spark, d, "events"), "props"), "doc", {"k": ("$.k", "bigint"), "missing": ("$.missing", "string")})
+    return x.where("k > 50").select("event_id", "k", "missing")
+
+
+@query("json_date_keys", "WITH {days} SELECT symbol, eob AS date, close, CAST(volume AS BIGINT) AS n FROM days", dates=("date",))
+def json_date_keys(spark, d):
+    """Documents with dates as keys, made of daily bars, as rows again."""
+    b = bars.event_bars(spark, d, "day")
+    entry = F.struct(F.date_format("eob", "yyyy-MM-dd").alias("k"), F.struct("close", F.col("volume").cast("bigint").alias("n")).alias("v"))
+    texts = b.groupBy("symbol").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))  # a symbol's days
+    return tables.by_date_keys(tables.documents(texts, "text"), ["symbol"], "doc", {"close": ("$.close", "double"), "n": ("$.n", "bigint")})

@@ -58,11 +58,15 @@ def _channels(color: str) -> list[int]:
     return [int(digits[i : i + 2], 16) for i in (0, 2, 4)]
 
 
-def blended(ratio: Column, colors: tuple[str, ...] = HEAT_COLORS) -> Column:
-    """The colour between two or three stops at a ratio from 0 to 1, as ``#rrggbb``."""
+def _stops(colors: tuple[str, ...]) -> list[list[int]]:
     if len(colors) not in (2, 3):
         raise ValueError("two or three colours are needed")
-    stops = [_channels(c) for c in colors]
+    return [_channels(c) for c in colors]
+
+
+def blended(ratio: Column, colors: tuple[str, ...] = HEAT_COLORS) -> Column:
+    """The colour between two or three stops at a ratio from 0 to 1, as ``#rrggbb``."""
+    stops = _stops(colors)
 
     def between(a: list[int], b: list[int], at: Column) -> Column:
         parts = [F.lower(F.lpad(F.hex(F.floor(F.lit(x) + F.lit(y - x) * at + 0.5).cast("long")), 2, "0")) for x, y in zip(a, b)]
@@ -90,7 +94,7 @@ def heat_colors(df: DataFrame, keys: list[str], columns: list[str], colors: tupl
     ends = cells.groupBy(*page, "scale").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))  # a row for each scale of a page
     d = cells.join(ends.select(*(F.col(c).alias(f"_{c}") for c in [*page, "scale"]), "_lo", "_hi"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*page, "scale"]]) if page else cells.join(ends, "scale")
     ratio = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    of = lambda cs: F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo") == F.col("_hi"), F.lit("#" + "".join(f"{x:02x}" for x in _channels(cs[1])))).otherwise(blended(ratio, cs))
+    of = lambda cs: F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo") == F.col("_hi"), F.lit("#" + "".join(f"{x:02x}" for x in _stops(cs)[1]))).otherwise(blended(ratio, cs))
     color = of(colors)
     for g, cs in group_colors.items():
         color = F.when(F.col("scale") == g, of(cs)).otherwise(color)

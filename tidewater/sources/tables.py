@@ -33,3 +33,24 @@ def nested(path: str) -> Column:
 def page_of(d: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The columns to show: those asked for, by dotted names, or all there are."""
     return d.select(*(nested(c).alias(c.replace(".", "_")) for c in columns)) if columns else d
+
+
+def documents(df: DataFrame, text: str, out: str = "doc") -> DataFrame:
+    """Texts of JSON of any shape as a variant column; null where a text is no JSON."""
+    return df.withColumn(out, F.try_parse_json(text))
+
+
+def picked(df: DataFrame, doc: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns of a variant: name to path (``$.a.b[0]``) and type; null where a document lacks the path or holds another type there."""
+    return df.withColumns({n: F.try_variant_get(doc, path, kind) for n, (path, kind) in fields.items()})
+
+
+def by_date_keys(df: DataFrame, keys: list[str], doc: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows ``*keys, date, fields`` of documents whose keys are dates: one for each key; keys that are no date are left out.
+
+    Documents that are not objects give no rows.
+    """
+    spark = df.sparkSession
+    pairs = df.lateralJoin(spark.tvf.variant_explode(F.col(doc).outer()))
+    d = pairs.where(F.col("key").isNotNull()).withColumn("date", F.col("key").try_cast("date")).where("date is not null")
+    return picked(d, "value", {f"_{n}": f for n, f in fields.items()}).select(*keys, "date", *(F.col(f"_{n}").alias(n) for n in fields))

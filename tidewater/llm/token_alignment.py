@@ -24,8 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import filterfalse
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ KNOWN, LONGEST = 1_000_000, 128
 BATCH = 2 << 20
 
 #: Spaces and what follows them, and, where letters touch full stops, commas or line ends, the letters and the signs apart.
-_LETTER, _SIGNS = r"[^\W\d_]", ".,\n"
+_LETTER, _SIGNS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0370-\u052f]", ".,\n"
 _UNIT = re.compile(f" *{_LETTER}++(?![^ {_SIGNS}])|[{_SIGNS}]++(?={_LETTER})| *[^ ]+| +")
 _MIXED = re.compile(f"{_LETTER}[{_SIGNS}]|[{_SIGNS}]{_LETTER}|[^▁]▁")
 _LOADED: dict[str, Pieces] = {}
@@ -67,20 +66,20 @@ class Pieces:
         self.lead = self.model.encode("\n", num_threads=1)
         self.space = self.lead[0] if len(self.lead) == 2 and self.model.is_byte(self.lead[1]) and names[self.lead[0]] == "▁" else None
         self.apart = not mixed and self.space is not None and self.spelled(self.model.encode("a  b", num_threads=1)) == b" a  b"
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
 
     def spelled(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def units(self, units: list[str]) -> Iterator[bytes | None]:
-        """Ids of each unit; none where they do not spell it. The model adds the space that a unit begins with."""
+    def units(self, units: Iterable[str]) -> Iterator[bytes | bool]:
+        """Ids of each unit; false where they do not spell it. The model adds the space that a unit begins with."""
         for u in units:
             ids = self.model.encode(u[1:] if u[0] == " " else "\n" + u, num_threads=1)
             if u[0] != " ":
                 ids = ids[2:] if ids[:2] == self.lead else []
             elif u == " ":
                 ids = [self.space]
-            yield array("I", ids).tobytes() if self.spelled(ids) == u.encode() else None
+            yield array("I", ids).tobytes() if self.spelled(ids) == u.encode() else False
 
     def encode(self, text: str) -> bytes | None:
         """Ids of a text that begins with a space."""
@@ -88,10 +87,13 @@ class Pieces:
             ids = self.model.encode(text[1:], num_threads=1)
             return array("I", ids).tobytes() if self.spelled(ids) == text.encode() else None
         units = _UNIT.findall(text)
-        new = list(dict.fromkeys(filterfalse(self.known.__contains__, units)))
+        try:
+            return b"".join(map(self.known.get, units))
+        except TypeError:  # a unit is not known yet, or known not to be spelled
+            new = {u for u in units if u not in self.known}
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-            new = list(dict.fromkeys(units))
+            new = set(units)
         self.known.update(zip(new, self.units(new)))
         found = list(map(self.known.__getitem__, units))
         for u in new:
@@ -99,7 +101,7 @@ class Pieces:
                 del self.known[u]
         if len(self.known) > KNOWN:  # a text of more units than that
             self.known.clear()
-        return None if None in found else b"".join(found)
+        return None if any(ids is False for ids in found) else b"".join(found)
 
 
 def pieces(path: str) -> Pieces:
@@ -132,7 +134,7 @@ class Bytes:
                     return None
                 out.append(array("I", ids).tobytes())
                 continue
-            out += t.ids_of(parts)
+            out.append(t.ids_of(parts))
         return b"".join(out)
 
 
@@ -183,16 +185,14 @@ def align_batch(texts: list[str | None], a: Bytes, b: Pieces, words: list[bytes]
     ends_group = np.zeros(len(tb), bool)
     ends_group[last_b] = True
     run[place_b] = 2 * va + tb + vb * ends_group
-    # Links, and the different pairs of each document.
-    codes = np.repeat(ta, count) * vb + tb[_expand(first, count)]
-    link_doc = np.repeat(doc_a, count)
-    order = np.lexsort((codes, link_doc))
-    codes, link_doc = codes[order], link_doc[order]
-    new = np.append(True, (codes[1:] != codes[:-1]) | (link_doc[1:] != link_doc[:-1]))
-    at = np.flatnonzero(new)
-    pair, times, pair_doc = codes[at], np.diff(np.append(at, len(codes))), link_doc[at]
+    # Links, and the different pairs of each document: one sort of numbers that hold both.
+    bits = int(va * vb - 1).bit_length()
+    codes = np.repeat(doc_a << bits | ta * vb, count) + tb[_expand(first, count)]
+    codes.sort()
+    at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    pair, times, pair_doc = codes[at] & (1 << bits) - 1, np.diff(np.append(at, len(codes))), codes[at] >> bits
     cuts = np.searchsorted(pair_doc, np.arange(len(kept) + 1))
-    n_links = np.bincount(link_doc, minlength=len(kept))
+    n_links = np.bincount(doc_a, count, len(kept))
     n_groups = np.bincount(doc_a[last_a], minlength=len(kept))
     places = np.append(0, np.cumsum(n_a + n_b)).tolist()
     for k, i in enumerate(kept):

@@ -129,24 +129,20 @@ class ByteBpe:
         """The ids of one pre-token, by the merges of the model."""
         return array("I", [t.id for t in self.tok.model.tokenize("".join(map(self.letter, pre_token.encode())))]).tobytes()
 
-    def learn(self, parts: list[str]) -> list[str]:
-        """Merge what is new; the pre-tokens that are too long to keep, which :meth:`forget` takes out again."""
-        new = set(filterfalse(self.ids.__contains__, parts))
+    def ids_of(self, parts: list[str]) -> bytes:
+        """The ids of pre-tokens, as bytes; new ones are merged, and kept unless they are very long."""
+        try:
+            return b"".join(map(self.ids.get, parts))
+        except TypeError:  # there are new ones
+            new = {p for p in parts if p not in self.ids}
         if len(self.ids) + len(new) > KNOWN:
             self.ids = dict(self.whole)
-            new = set(filterfalse(self.ids.__contains__, parts))
+            new = {p for p in parts if p not in self.ids}
         self.ids.update((p, self.merge(p)) for p in new)
-        return [p for p in new if len(p) > LONGEST]
-
-    def forget(self, long: list[str]) -> None:
-        for p in long:
-            del self.ids[p]
-
-    def ids_of(self, parts: list[str]) -> list[bytes]:
-        """The ids of each pre-token."""
-        long = self.learn(parts)
-        found = list(map(self.ids.__getitem__, parts))
-        self.forget(long)
+        found = b"".join(map(self.ids.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.ids[p]
         return found
 
     def count(self, text: str) -> tuple[int, int]:
@@ -168,7 +164,7 @@ class ByteBpe:
         if parts is None:
             return len(self.tok.encode(text, add_special_tokens=False).ids), 0
         rest = list(filterfalse(self.whole.__contains__, parts))
-        merged = sum(map(len, self.ids_of(rest))) // 4
+        merged = len(self.ids_of(rest)) // 4
         return len(parts) - len(rest) + merged, len(parts) - len(rest)
 
 

@@ -102,3 +102,13 @@ def test_failing_metrics_stay_rows(spark):
         del nav.BUILDERS["raises"], nav.BUILDERS["best_day"]
     assert got["raises"]["error"] == "no luck" and got["raises"]["value"] is None and got["best_day"]["value"] == 1.0
     assert [n for n, r in sorted(got.items(), key=lambda x: x[1]["place"])][:3] == ["return_rate", "annualized_return", "volatility"]
+
+
+def test_rendered_report(spark, tmp_path):
+    daily = spark.createDataFrame([(f"2024-01-{i:02d}", 100.0 + i) for i in range(1, 11)], "date string, assets double")
+    trips = spark.createDataFrame([("a", 5.0), ("<b>", -3.0)], "symbol string, profit double")
+    named = spark.createDataFrame([("return_rate", 0, 0.09), ("sharpe", 1, None)], "name string, place int, value double")
+    report.account_report("Report & more", named, daily, trips, days=4).chart("bar", daily, "date").cell("tree", leaves=[1]).export_html(str(tmp_path / "r.html"))
+    page = (tmp_path / "r.html").read_text()
+    assert "<h1>Report &amp; more</h1>" in page and page.count("<polyline") == 1 and page.count("<rect") == 10
+    assert "2024-01-07 to 2024-01-10" in page and "6 more are not shown" in page and "&lt;b&gt;" in page and '"leaves"' in page

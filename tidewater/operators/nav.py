@@ -98,6 +98,36 @@ def metrics(nav: DataFrame, keys: list[str], risk_free: float = RISK_FREE, confi
     )
 
 
+def intervals(nav: DataFrame, names: list[str], by: str = "portfolio") -> DataFrame:
+    """Rows of each interval of the older report, by ``interval``: from the first day not before the last one less the interval.
+
+    An interval is a number of months or years (``3m``, ``1y``); any other name means all days. Its first day is its base.
+    """
+    months = {n: int(n[:-1]) * (12 if n[-1] == "y" else 1) for n in names if n[-1] in "my" and n[:-1].isdigit()}
+    lasts = nav.groupBy(by).agg(F.max("date").alias("_last"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("interval"), F.lit(months.get(n)).cast("int").alias("m")) for n in names)))
+    d = nav.join(lasts.select(by, "_last", wanted.alias("_w")), by)
+    return d.where(F.col("_w.m").isNull() | (F.col("date") >= F.add_months("_last", -F.col("_w.m")))).withColumn("interval", F.col("_w.interval")).drop("_w", "_last")
+
+
+def legacy_metrics(nav: DataFrame, keys: list[str], risk_free: float = RISK_FREE, confidence: float = 0.95) -> DataFrame:
+    """The metrics of the older report, one row for each slice.
+
+    Value at risk goes by position in the sorted returns; the largest drawdown is a percentage, zero or below, with the days
+    it fell from and to; an undefined Sharpe ratio is 0; days are those of the slice, its first one is the base of all.
+    """
+    d = returns(nav, keys)
+    tail = Window.partitionBy(*keys).orderBy(F.col("r").asc_nulls_last(), "date")
+    d = d.withColumns({"_n": F.count("r").over(Window.partitionBy(*keys)), "_k": F.row_number().over(tail) - 1})
+    at = F.when((F.col("_n") >= 2) & (F.col("_k") == F.floor(F.lit(1 - confidence) * F.col("_n"))), -F.col("r"))
+    g = d.groupBy(*keys).agg(F.max(at).alias("var_position"), F.min_by("assets", "date").alias("first_assets"), F.max_by("assets", "date").alias("last_assets"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    m = metrics(nav, keys, risk_free, confidence).join(g, keys)
+    return m.select(
+        *keys, "first_date", "last_date", "first_assets", "last_assets", "return_rate", "annualized_return", "volatility", F.coalesce("sharpe_ratio", F.lit(0.0)).alias("sharpe_ratio"), "sortino_ratio",
+        F.coalesce(-100 * F.col("max_drawdown"), F.lit(0.0)).alias("max_drawdown_pct"), "peak_date", "trough_date", F.col("var_position").alias("var"), "cvar", "ulcer_index", "upi",
+    )
+
+
 def drawdowns(nav: DataFrame, keys: list[str]) -> DataFrame:
     """Drawdown of each day in percent, zero or below."""
     return returns(nav, keys).select(*keys, "date", (-100 * F.col("dd")).alias("drawdown"))

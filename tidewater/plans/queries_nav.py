@@ -187,6 +187,23 @@ def nav_metric_rows(spark, d):
     return nav.metric_rows(nav.metrics(_nav(spark, d), KEYS), KEYS).select("name", "place", rounded("value").alias("value"))
 
 
+_LEGACY = ("first_assets", "last_assets", "return_rate", "annualized_return", "volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct", "var", "cvar", "ulcer_index", "upi")
+
+
+@query(
+    "nav_legacy_metrics",
+    "WITH {nav}, f AS (SELECT max(date) AS last FROM nav), s AS (SELECT p AS g, date, assets FROM nav, f, (VALUES ('all', NULL), ('3m', 3), ('1y', 12)) v(p, m) WHERE m IS NULL OR date >= CAST(last - to_months(m) AS DATE)), "
+    + _metrics_sql("s").rsplit("\nSELECT", 1)[0]
+    + ", w AS (SELECT g, -max(r) FILTER (k - 1 = floor((1 - 0.95::DOUBLE) * n)) AS vp, min(date) AS first_date, max(date) AS last_date, arg_min(assets, date) AS first_assets, arg_max(assets, date) AS last_assets, coalesce(-100 * max(dd), 0) AS max_drawdown_pct, arg_max(date, (dd, -epoch(date))) AS trough_date FROM y GROUP BY g), "
+    "q AS (SELECT z.g, z.* EXCLUDE (g, var, sharpe_ratio), w.* EXCLUDE (g), vp AS var, coalesce(z.sharpe_ratio, 0) AS sharpe_ratio FROM z JOIN w ON w.g = z.g) SELECT g AS interval, first_date, last_date, trough_date, " + ", ".join(f"{r(x, 5)} AS {x}" for x in _LEGACY) + " FROM q",
+    dates=("first_date", "last_date", "trough_date"),
+)
+def nav_legacy_metrics(spark, d):
+    """The asset metrics of the older report over all days, a quarter and a year."""
+    x = nav.legacy_metrics(nav.intervals(_nav(spark, d), ["all", "3m", "1y"]), ["portfolio", "interval"])
+    return x.select("interval", "first_date", "last_date", "trough_date", *_rounded(x, _LEGACY, 5))
+
+
 @nav.metric("winning_days", 60, "share of days with a gain")
 def _winning_days():
     return F.avg((F.col("r") > 0).cast("double"))
@@ -290,6 +307,21 @@ def ledger_backtest(spark, d):
     return ledger.replay(bars.event_trades(spark, d).withColumn("account", F.col("symbol")), cash=100_000.0)
 
 
+@query(
+    "ledger_percent",
+    "WITH {trades}, n AS (SELECT symbol AS account, created_at, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY created_at, seq) AS k FROM trades WHERE price > 0), b AS (SELECT account, floor((50000 - 15) / price) AS v FROM n WHERE k = 1) "
+    "SELECT account, n.seq, CASE WHEN k = 1 THEN 1 ELSE 2 END AS side, CAST(CASE WHEN k = 1 THEN v WHEN k = 2 THEN floor(v * 0.5) WHEN k = 3 THEN v - floor(v * 0.5) ELSE 0 END AS DOUBLE) AS filled_volume, "
+    "CASE WHEN k = 1 AND v > 0 THEN 'order_1' WHEN k = 2 AND floor(v * 0.5) > 0 THEN 'order_2' WHEN k = 3 AND v > 0 THEN 'order_3' END AS order_id FROM n JOIN b USING (account) WHERE k <= 4",
+)
+def ledger_percent(spark, d):
+    """Orders by percent: half of the account's value bought, half of the holding sold, all of it, and all of nothing."""
+    w = Window.partitionBy("symbol").orderBy("created_at", "seq")
+    k = F.col("_k")
+    t = bars.event_trades(spark, d).where("price > 0").withColumn("_k", F.row_number().over(w)).where(k <= 4)
+    orders = t.withColumns({"account": F.col("symbol"), "side": F.when(k == 1, 1).otherwise(2), "volume": F.lit(None).cast("double"), "percent": F.when(k <= 2, 0.5).otherwise(1.0)}).drop("_k")
+    return ledger.replay(orders, cash=100_000.0).select("account", "seq", "side", "filled_volume", "order_id")
+
+
 # Strategies -------------------------------------------------------------------------------------------
 
 def buy_and_hold(context, now) -> None:

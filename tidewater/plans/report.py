@@ -217,5 +217,62 @@ class Notebook:
         return json.dumps(self.to_dict(), default=str, ensure_ascii=False)
 
     def export_html(self, path: str) -> None:
+        """One page without scripts: tables, and charts drawn as lines or bars; the document itself is in it as JSON."""
         data = self.to_json().replace("</", "<\\/")
-        Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(self.title)}</title><pre id=view></pre><script type=application/json id=data>{data}</script><script>document.getElementById('view').textContent=JSON.stringify(JSON.parse(document.getElementById('data').textContent),null,1)</script>")
+        body = "".join(_drawn(c) for c in self.cells)
+        Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(self.title)}</title><style>{_STYLE}</style><h1>{html.escape(self.title)}</h1>{body}<script type=application/json id=data>{data}</script>")
+
+
+_STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{padding:2px 8px;border-bottom:1px solid #ddd;text-align:right}svg{background:#fafafa}"
+_LINES = ("#1f77b4", "#d62728", "#2ca02c", "#9467bd", "#ff7f0e", "#17becf")
+
+
+def _said(v: object) -> str:
+    return "" if v is None else f"{v:,.6g}" if isinstance(v, float) else html.escape(str(v))
+
+
+def _table(columns: list, rows: list) -> str:
+    head = "".join(f"<th>{_said(c)}" for c in columns)
+    return f"<table><tr>{head}" + "".join("<tr>" + "".join(f"<td>{_said(v)}" for v in r) for r in rows) + "</table>"
+
+
+def _chart(cell: dict, width: int = 800, height: int = 240) -> str:
+    """Series over their places, as lines, or as bars of the first one."""
+    known = [v for s in cell["series"] for v in s["data"] if isinstance(v, (int, float)) and v == v]
+    if not known:
+        return "<p>no values</p>"
+    low, high = min(known), max(known)
+    n = max(len(s["data"]) for s in cell["series"])
+    x = lambda i: width * (i + 0.5) / n
+    y = lambda v: height - 10 - (height - 20) * ((v - low) / (high - low) if high > low else 0.5)
+    drawn = []
+    for s, color in zip(cell["series"], _LINES * len(cell["series"])):
+        points = [(x(i), y(v)) for i, v in enumerate(s["data"]) if isinstance(v, (int, float)) and v == v]
+        if cell["type"] == "bar":
+            zero = y(min(max(0.0, low), high))
+            drawn += [f'<rect x="{a - width / n * 0.4:.1f}" y="{min(b, zero):.1f}" width="{width / n * 0.8:.1f}" height="{abs(b - zero):.1f}" fill="{color}"/>' for a, b in points]
+        else:
+            drawn.append(f'<polyline fill="none" stroke="{color}" points="{" ".join(f"{a:.1f},{b:.1f}" for a, b in points)}"/>')
+    names = ", ".join(f'<span style="color:{c}">{_said(s["name"])}</span>' for s, c in zip(cell["series"], _LINES * len(cell["series"])))
+    ends = f"{_said(cell['xAxis'][0])} to {_said(cell['xAxis'][-1])}" if cell.get("xAxis") else ""
+    return f'<p>{names}; {_said(float(low))} to {_said(float(high))}; {ends}</p><svg viewBox="0 0 {width} {height}" width="{width}">{"".join(drawn)}</svg>'
+
+
+def _drawn(cell: dict) -> str:
+    """A cell as HTML; kinds without a drawing of their own are shown as their data."""
+    kind = cell["type"]
+    if kind == "section":
+        return f"<h2>{_said(cell['title'])}</h2>" + "".join(_drawn(c) for c in cell["cells"])
+    if kind == "markdown":
+        out = f"<p>{_said(cell['text'])}</p>"
+    elif kind == "metrics":
+        out = _table(["name", "value"], [(m["name"], m["value"]) for m in cell["items"]])
+    elif kind == "table":
+        out = _table(cell["columns"], cell["rows"])
+    elif kind == "pie":
+        out = _table(["name", "value"], [(p["name"], p["value"]) for p in cell["data"]])
+    elif kind in ("line", "bar", "area"):
+        out = _chart(cell)
+    else:
+        out = f"<pre>{html.escape(json.dumps(cell, default=str, ensure_ascii=False))}</pre>"
+    return out + (f"<p>{cell['left_out']} more are not shown</p>" if cell.get("left_out") else "")

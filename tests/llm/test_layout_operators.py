@@ -180,3 +180,26 @@ def test_mix_replayed(spark):
     for r in facts.values():
         own = int(taken[r["src"]][r["pos"] : r["pos"] + r["size"]].sum())
         assert own in by_document[r["doc_id"], r["size"]] and own <= 3 * r["size"]
+
+
+def _with_strange_columns(odd):
+    """Columns with a dot in the name, maps (one of them of maps), and structures that hold maps."""
+    from pyspark.sql import functions as F
+
+    m = F.create_map(F.lit("k"), F.coalesce("source", F.lit("none")), F.lit("a"), F.col("lang"))
+    return odd.withColumns({"a.b": F.lit(1), "m": m, "mm": F.create_map(F.lit("x"), m), "s": F.struct(m.alias("m"))})
+
+
+def test_maps_and_dotted_names(spark, odd):
+    from tidewater.llm import simhash_dedup, source_mixing, substring_dedup, toxicity
+
+    d = _with_strange_columns(odd)
+    plain = sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in source_mixing.mix_sources(odd).collect())
+    assert sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in source_mixing.mix_sources(d).collect()) == plain
+    mixed = source_mixing.mixed_documents(d)
+    assert mixed.columns == d.columns and mixed.count() > 0
+    for stage in (substring_dedup.without_repeats, lambda x: toxicity.keep_ordinary(x, toxicity.Model(None, None))):
+        out = stage(d)
+        assert out.columns == d.columns and out.count() == d.count()
+    kept, want = simhash_dedup.without_near_copies(d), simhash_dedup.without_near_copies(odd)
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(str(r["doc_id"]) for r in want.select("doc_id").collect())

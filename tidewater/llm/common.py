@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.session import ship_package
 
@@ -46,6 +47,41 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns that Arrow functions cannot name, those with dots or back quotes; ``toDF`` gives them back."""
+    for name in [c for c in df.columns if "." in c or "`" in c]:
+        safe = fresh(df, name.replace(".", "_").replace("`", "_"))
+        df = df.toDF(*(safe if c == name else c for c in df.columns))
+    return df
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` so that any of them can be hashed: those that hold maps or variants as JSON, maps in the order of their keys."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        return plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    def entries(c: Column) -> Column:
+        return F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k.alias("k"), F.try_element_at(c, k).alias("v")))
+
+    out = []
+    for f in df.schema.fields:
+        c = quoted(f.name)
+        if isinstance(f.dataType, T.MapType) and plain(f.dataType.keyType):
+            c = entries(c) if plain(f.dataType.valueType) else F.to_json(entries(c))
+        elif not plain(f.dataType):
+            c = F.to_json(c) if isinstance(f.dataType, T.VariantType) else F.to_json(F.struct(c.alias("c")))
+        out.append(c)
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only on one machine where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import connected_components, discard, fresh, local_components, materialize, prepare, text_groups, whole_groups
+from tidewater.llm.common import connected_components, discard, fresh, hashable, local_components, materialize, prepare, text_groups, whole_groups
 from tidewater.llm.quality_rules import mixed
 from tidewater.llm.substring_dedup import shingles
 
@@ -355,5 +355,5 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = df.join(heads, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(hash_)), "left_semi")
     if rows.groupBy("id", "hash").count().where("count > 1").isEmpty():
         return kept  # no row is there twice: the texts need no further shuffle
-    equal = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*(F.xxhash64(c) for c in df.columns))
+    equal = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*(F.xxhash64(c) for c in hashable(df)))
     return kept.withColumn(nth, F.row_number().over(equal)).where(F.col(nth) == 1).drop(nth)

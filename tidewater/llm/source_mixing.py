@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, materialize, positions, prepare, with_texts
+from tidewater.llm.common import fresh, hashable, materialize, plainly_named, positions, prepare, with_texts
 
 BLOCK = 256
 SLOTS = 1024
@@ -176,7 +176,7 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def row_hash(df: DataFrame) -> Column:
     """A hash of all of a row's columns, so that only equal rows share an id and a hash."""
-    return F.xxhash64(*(df[c] for c in df.columns))
+    return F.xxhash64(*hashable(df))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -197,6 +197,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Whole documents keep their text as it is; a stretch runs from its first word's first character to its
     last word's last.
     """
+    names, df = df.columns, plainly_named(df)
     placed, mix = mix_blocks(df, id_col, text_col, source_col, **how)
     key, hash_, list_ = fresh(df, "_id"), fresh(df, "_hash"), fresh(df, "_spans")
     # Bounded by the text's own blocks; equal rows are as good as one another, so one of them stands for all.
@@ -216,7 +217,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         texts.append(t)
             yield with_texts(b.drop_columns([list_]).take(pa.array(at, pa.int64())), text_col, texts)
 
-    return joined.mapInArrow(cut, df.schema)
+    return joined.mapInArrow(cut, df.schema).toDF(*names)
 
 
 def stretches(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:

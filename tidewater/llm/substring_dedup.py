@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, fresh, materialize, prepare, text_groups, whole_groups, with_texts
+from tidewater.llm.common import discard, fresh, materialize, plainly_named, prepare, text_groups, whole_groups, with_texts
 from tidewater.llm.quality_rules import mixed, rolled
 
 SHINGLE = 5
@@ -510,6 +510,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document of which nothing is left stays, with an empty text; other texts stay as they are.
     """
+    columns, df = df.columns, plainly_named(df)
     docs, names = _documents(df, id_col, text_col)
     key, hash_, list_ = fresh(df, "_id"), fresh(df, "_hash"), fresh(df, "_spans")
     found = materialize(_repeated(docs, **how))
@@ -528,7 +529,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = [t if s is None or t is None else trimmed(t, [(p["start_word"], p["n_words"]) for p in s]) for t, s in zip(b.column(text_col).to_pylist(), b.column(list_).to_pylist())]
             yield with_texts(b.drop_columns([list_]), text_col, texts)
 
-    return joined.mapInArrow(cut, df.schema)
+    return joined.mapInArrow(cut, df.schema).toDF(*columns)
 
 
 def trimmed(text: str, spans: list[tuple[int, int]]) -> str:

@@ -38,7 +38,7 @@ from tidewater.llm.common import discard, materialize, prepare, text_groups
 #: Id pairs that every task holds (a proven bound: the table is cut there, and the others are joined).
 HEAD = 1 << 16
 #: Entries of a worker's table of units, and the longest unit that enters it.
-KNOWN, LONGEST = 1_000_000, 128
+KNOWN, LONGEST = 600_000, 128
 #: Bytes of text that are aligned at once; a longer text is a batch by itself.
 BATCH = 2 << 20
 

@@ -36,7 +36,7 @@ from tidewater.llm.common import prepare, text_groups
 
 LIMIT = 512
 #: Entries of a worker's table of pre-tokens, and the longest merged one that stays in it.
-KNOWN, LONGEST = 1_000_000, 128
+KNOWN, LONGEST = 600_000, 128
 #: Characters after which a text is cut at the next safe place.
 STRETCH = 1 << 19
 

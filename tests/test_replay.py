@@ -1,5 +1,7 @@
 """Replay on streams by keyed state: restarts, timers, first bars, histories."""
 
+import random
+import weakref
 from datetime import datetime, timedelta
 
 import pytest
@@ -84,3 +86,74 @@ def test_settings_of_the_session_are_left_alone(spark, tmp_path):
     _add(spark, [("s", T0, 1.0)], TICKS, tmp_path / "in")
     replay.run(replay.bars_by_timer(_stream(spark, TICKS, tmp_path / "in")).withColumn("x", F.lit(1)), str(tmp_path / "run"))
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+class _State:
+    """A processor's state in memory, of any of the three kinds."""
+
+    def __init__(self):
+        self.map, self.value = {}, None
+
+    def getListState(self, *_):
+        return _State()
+
+    getValueState = getMapState = getListState
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = list(value)
+
+    update = put
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+class _Bar:
+    def __init__(self, eob, seq, close, left):
+        self.eob, self.seq, self.close, self.left = eob, seq, close, left
+        self.bid_p = self.bid_v = self.ask_p = self.ask_v = None
+
+
+@pytest.mark.parametrize("depth", [1, 4, 30])
+def test_histories_of_shuffled_batches(monkeypatch, depth):
+    monkeypatch.setattr(replay, "_SEEN", 3)
+    rng = random.Random(depth)
+    for trial in range(150):
+        history, batches = replay.History(depth), []
+        history.most = depth + 2
+        history.init(_State())
+        for b in range(3):
+            share = rng.choice([0.0, 0.5, 1.0])
+            batches.append([("s", "1d", T0 + timedelta(days=rng.randrange(25)), i, float(100 * b + i), None, rng.random() < share) for i in rng.sample(range(60), rng.choice([0, 5, 60]))])
+            bars = [_Bar((x[2] - T0).days, x[3], x[4], x[6]) for x in batches[-1]]
+            got = list(history.handleInputRows(("s", "1d"), iter(bars), None)) if bars else []
+            if got:
+                want = _plain_history(batches, depth)
+                assert list(zip(got[0]["eobs"], got[0]["closes"])) == [((t - T0).days, x) for t, x, _ in want]
+
+
+@pytest.mark.parametrize("left", [False, True])
+def test_a_batch_is_not_held(left):
+    """However many rows of a series a batch has, few of them are alive at a time."""
+    alive, most = weakref.WeakSet(), [0]
+
+    def rows():
+        for i in range(20_000):
+            r = _Bar(i, i, float(i), left)
+            alive.add(r)
+            most[0] = max(most[0], len(alive))
+            yield r
+
+    history = replay.History(5)
+    history.init(_State())
+    (got,) = history.handleInputRows(("s", "1d"), rows(), None)
+    assert got["eobs"] == list(range(19_995, 20_000)) and most[0] < 100

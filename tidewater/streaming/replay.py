@@ -7,7 +7,9 @@ their depth. A stream may be stopped and started again from its checkpoint at an
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from tempfile import TemporaryFile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from tidewater.session import ship_package
 from tidewater.sources.scratch import scratch_folder
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Times of a batch that a history remembers to have looked up; beyond that it forgets them and looks again.
+_SEEN = 100_000
 BAR = "symbol string, frequency string, eob timestamp, open double, high double, low double, close double, volume double"
 
 
@@ -101,10 +105,14 @@ class History(StatefulProcessor):
     first, only while there is room, and only if they are older than the earliest time the series began with, which stays
     the one it was when a bar came first. Gives what is held after each batch, oldest first: as rows, or as columns in which
     ``bid_p, bid_v, ask_p, ask_v`` are those of the first level of the bar's quotes.
+
+    A batch is never held: of its rows, what memory keeps is bounded by the depth. Bars on the left of a series that begins
+    with the batch wait in a file of the task.
     """
 
     def __init__(self, depth: int):
         self.depth = depth
+        self.most = 2 * depth + 1000  # bars kept of a batch before they are cut to ``depth`` again
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bars = handle.getListState("bars", "eob long, close double, bid_p double, bid_v double, ask_p double, ask_v double")
@@ -113,34 +121,75 @@ class History(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         held = [tuple(b) for b in self.bars.get()] if self.bars.exists() else []
-        earliest = self.start.get()[0] if self.start.exists() else None
-        batch = sorted(rows, key=lambda r: (r.left, -r.eob if r.left else r.eob, r.seq))
-        for r in batch:
-            bar = (r.eob, r.close, r.bid_p, r.bid_v, r.ask_p, r.ask_v)
-            if r.left:
-                if len(held) >= self.depth or (earliest is not None and r.eob >= earliest):
-                    continue
-                held.insert(0, bar)
-            else:
-                if self.known.containsKey((r.eob,)):
-                    continue
-                self.known.updateValue((r.eob,), (True,))
-                held.append(bar)
-                if len(held) > self.depth:
-                    held.pop(0)
-            if earliest is None:
-                earliest = r.eob
-                self.start.update((earliest,))
+        began = earliest = self.start.get()[0] if self.start.exists() else None
+        live: dict[int, tuple] = {}  # by time: order of coming and bar, of the latest times
+        seen: set[int] = set()
+        with TemporaryFile() as waiting:  # bars on the left of a series whose first batch this is: how early it begins is known at the end
+            left: list[tuple] = []
+            newest: tuple | None = None
+            for r in rows:
+                bar = (r.eob, r.close, r.bid_p, r.bid_v, r.ask_p, r.ask_v)
+                if r.left:
+                    if earliest is None or r.eob < earliest:
+                        if began is None:
+                            pickle.dump((r.seq, bar), waiting)
+                            if newest is None or r.eob > newest[1][0] or (r.eob == newest[1][0] and r.seq < newest[0]):
+                                newest = (r.seq, bar)
+                        else:
+                            left = self._nearest(left, r.seq, bar)
+                elif r.eob in live:
+                    if r.seq < live[r.eob][0]:
+                        live[r.eob] = (r.seq, bar)
+                elif r.eob not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(r.eob)
+                    if not self.known.containsKey((r.eob,)):
+                        self.known.updateValue((r.eob,), (True,))
+                        live[r.eob] = (r.seq, bar)
+                        if len(live) > self.most:
+                            live = dict(sorted(live.items())[len(live) - self.depth :])
+                    if began is None:
+                        earliest = r.eob if earliest is None else min(earliest, r.eob)
+            held = [*held, *(bar for _, (_, bar) in sorted(live.items()))]
+            held = held[max(0, len(held) - self.depth) :]
+            if earliest is None and newest is not None and self.depth > 0:
+                held, earliest = [newest[1]], newest[1][0]
+            waiting.seek(0)
+            for seq, bar in _unpickled(waiting):
+                if bar[0] < earliest:
+                    left = self._nearest(left, seq, bar)
+        if began is None and earliest is not None:
+            self.start.update((earliest,))
+        held = [*(bar for _, bar in reversed(sorted(left, key=_from_right)[: self.depth - len(held)])), *held]
         if not held:
             return
         self.bars.put(held)
         columns = list(zip(*held))
         yield Row(symbol=key[0], frequency=key[1], n=len(held), eobs=list(columns[0]), closes=list(columns[1]), bid_p=list(columns[2]), bid_v=list(columns[3]), ask_p=list(columns[4]), ask_v=list(columns[5]))
 
+    def _nearest(self, left: list[tuple], seq, bar: tuple) -> list[tuple]:
+        """``left`` with one bar more; only those that there could be room for."""
+        left.append((seq, bar))
+        return left if len(left) <= self.most else sorted(left, key=_from_right)[: self.depth]
+
     def close(self) -> None:
         pass
 
 
+def _from_right(x: tuple) -> tuple:
+    """Order in which bars on the left are taken."""
+    return -x[1][0], x[0]
+
+
+def _unpickled(file) -> Iterator[tuple]:
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
+
+
 def _timed(d: DataFrame, *names: str) -> DataFrame:
     """Microseconds as times again."""
     for n in names:

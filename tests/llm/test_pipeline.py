@@ -141,3 +141,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in at["pack"]) == pieces
     places = Counter((r["sequence_id"], k) for r in at["pack"] for k in range(r["offset"], r["offset"] + r["length"]))
     assert max(places.values()) == 1 and max(k for _, k in places) < 2048
+
+
+def _behind_lines(seed=37):
+    """Bodies of six documents that share a passage, by id, the passage, and documents of smaller and larger ids with lines of it."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    passage = words(70)
+    lines = {at + i: [*words(50), *passage[6 * i : 6 * i + 28], *words(60)] for at in (0, 900) for i in range(8)}
+    return lambda p: {100 + i: [*words(30 + i), *p(passage, i), *words(50)] for i in range(6)}, passage, lines, words
+
+
+def _cut(spark, bodies):
+    d = spark.createDataFrame([(i, " ".join(b)) for i, b in bodies.items()], "doc_id long, text string")
+    return {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(d).collect()}, substring_dedup.repeated_passages(d).collect()
+
+
+def test_edited_passages_behind_standing_documents(spark):
+    """Each holds the passage with a word of its own, and all their signatures begin and end with documents that hold lines of it."""
+    made, passage, lines, _ = _behind_lines()
+    bodies = made(lambda p, i: [*p[:35], f"own{i}", *p[36:]])
+    cut, got = _cut(spark, bodies | lines)
+    assert {r["doc_id"] for r in got} == set(bodies) and {r["similarity"] < 1 for r in got} == {True}
+    assert cut[100] == bodies[100] and all(cut[i] == b for i, b in lines.items())
+    assert all(not set(cut[i]) & set(passage[:30] + passage[40:]) for i in range(101, 106))
+
+
+def test_copies_of_a_passage_that_only_the_last_document_stands_for(spark):
+    """The documents of smallest id hold lines of a passage, the last one all of it: of the others one keeps it."""
+    made, passage, lines, words = _behind_lines(41)
+    bodies = made(lambda p, i: p)
+    lines = {i: b for i, b in lines.items() if i < 900}
+    cut, _ = _cut(spark, bodies | lines | {999: [*words(40), *passage, *words(40)]})
+    assert [i for i, w in cut.items() if set(w) & set(passage) and i not in lines] == [100]
+    assert cut[100] == bodies[100] and all(cut[i] == b for i, b in lines.items())

@@ -9,12 +9,13 @@ subsequence of passage length: the two minima and their distance are its signatu
 signature are candidates, the first and the last standing for all that have it; overlapping windows of one
 pair and diagonal become one stretch, verified on the shingles themselves.
 
-Subsequences of passage length that no standing document verifies are grouped by the hash of all their
-shingles. Two texts that share ``passage`` words share the signature of these under every two hash functions,
-so they meet there at the latest: verbatim passages are found however many documents have a signature, and
-whichever stand for it. Edited passages are found with the probability that two of the hash functions agree,
-0.9 for one of passage length at the similarity asked for, if one of the standing documents has it too. In text that
-repeats itself within a passage's length, some of a document's repetitions may be left out of its rows.
+Subsequences of passage length for which no standing document of a smaller id is verified are grouped by the hash
+of all their shingles. Two texts that share ``passage`` words share the signature of these under every two hash
+functions, so they meet there at the latest: verbatim passages are found however many documents have a signature, and
+whichever stand for it. Places of a signature that lie in no passage of a smaller document after that are held against
+each other, all pairs of them, so edited passages are found beside any document with the probability that two of the
+hash functions agree, 0.9 for one of passage length at the similarity asked for. In text that repeats itself within
+a passage's length, some of a document's repetitions may be left out of its rows.
 
 Defined results: words are runs without ASCII white space, in lower case (A-Z); texts of fewer words than a
 passage, and null texts, have none; repeats inside one document do not count; rows of equal id and text are
@@ -365,6 +366,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return materialize(numbered.select(F.col("row").alias("doc_id"), "text")), names
 
 
+_STRETCHES = ", ".join(f"{c} long" for c in STRETCH)
 _FOUND = "doc_id long, start_word int, n_words int, ref_doc_id long, ref_start_word int, ref_n_words int, similarity double"
 
 
@@ -373,13 +375,13 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     least = passage - size + 1
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def by_document(rows: DataFrame, order: list[str], work, schema: str) -> DataFrame:
+    def by_document(rows: DataFrame, order: list[str], work, schema: str, by: str = "doc") -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in whole_groups(batches, "doc"):
+            for g in whole_groups(batches, by):
                 out = work(g)
                 yield pa.record_batch([pa.array(v) for v in out.values()], list(out))
 
-        return rows.repartition(n, "doc").sortWithinPartitions("doc", *order).mapInArrow(run, schema)
+        return rows.repartition(n, by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
     # Windows of keys that at least two documents have. Tables of keys are written before they are joined, so that
     # a join has two shuffles of its own and a hot key can be split.
@@ -398,8 +400,38 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     held = F.array(F.struct(F.col("first").alias("ref"), F.col("first_place").alias("other")), F.struct(F.col("last").alias("ref"), F.col("last_place").alias("other")))
     # A document is held against both; the first one only with its further places, since the last is held against it.
     pairs = signed.join(stand, "key").select("doc", place, F.explode(F.when((F.col("doc") != F.col("first")) | (F.col("place") < 0), held)).alias("r")).where("doc <> r.ref")
-    todo = materialize(by_document(pairs.select("doc", "place", "r.ref", "r.other"), ["ref"], lambda g: stretches(g, least), ", ".join(f"{c} long" for c in STRETCH)))
+    todo = materialize(by_document(pairs.select("doc", "place", "r.ref", "r.other"), ["ref"], lambda g: stretches(g, least), _STRETCHES))
+    checked = _verified(docs, todo, least, size, similarity)
+    found = checked.where("hash is null").drop("hash")
+    found = materialize(found.unionByName(_verbatim(checked.where("hash is not null").select(F.col("doc_id").alias("doc"), "start_word", "hash"), least, size, by_document)))
+
+    # What no document of a smaller id was found to have is held against all that are left of its signature.
+    pairs = _left(signed.join(stand.select("key", "first"), "key").select("key", "doc", place.alias("place"), ((F.col("doc") == F.col("first")) & (F.col("place") >= 0)).alias("stood")), found, least, size)
+    todo = materialize(by_document(pairs, [], lambda g: stretches(g, least), _STRETCHES, "pair"))
+    return found.unionByName(_verified(docs, todo, least, size, similarity).where("hash is null").drop("hash"))
+
 
+def _left(signed: DataFrame, found: DataFrame, least: int, size: int) -> DataFrame:
+    """Pairs of documents of equal signature that standing documents and verbatim passages left apart: ``pair, doc, ref, place, other``.
+
+    A place is left if no passage lies over its minimum that a document of a smaller id has. The first place of the
+    first document was held against all (``stood``).
+    """
+    spans = found.where("ref_doc_id < doc_id").select(F.lit(None).cast("long").alias("key"), F.col("doc_id").alias("doc"), F.lit(None).cast("long").alias("place"), F.col("start_word").cast("long").alias("at"), (F.col("start_word") + F.col("n_words")).cast("long").alias("end"))
+    places = signed.where("not stood").select("key", "doc", "place", F.shiftright("place", 32).alias("at"), F.lit(None).cast("long").alias("end"))
+    reach = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    rest = places.unionByName(spans).withColumn("_z", F.max("end").over(reach)).where(F.col("key").isNotNull() & (F.col("_z").isNull() | (F.col("at") + size > F.col("_z"))))
+    rest = materialize(rest.select("key", "doc", "place"))
+    many = materialize(rest.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key"))
+    rest = materialize(rest.join(many, "key", "left_semi"))
+    one, two = rest.select("key", "doc", "place"), rest.select("key", F.col("doc").alias("ref"), F.col("place").alias("other"))
+    side = lambda bits: F.least(*(F.shiftright(c, bits).bitwiseAND(0xFFFF) for c in ("place", "other")))
+    pairs = one.join(two, "key").where("ref < doc").where(side(16) + side(0) + 1 + GAP >= least)
+    return pairs.select(F.xxhash64("doc", "ref").alias("pair"), "doc", "ref", "place", "other")
+
+
+def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarity: float) -> DataFrame:
+    """The passages in stretches; and, with a ``hash`` and no ``ref_doc_id``, where no document of a smaller id has one."""
     # The stretches' shingles: of a document, each with the one it is held against; of a standing document, each once.
     own = todo.select(F.col("doc").alias("doc_id"), F.struct(F.lit(0).cast("long").alias("role"), *STRETCH[1:]).alias("w"))
     other = todo.select("ref", "far_lo", "far_hi").distinct()
@@ -434,16 +466,19 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
             for r in zip(*(b.column(c).to_pylist() for c in ("doc", "ref", "lo", "far_lo", "off", "core_lo", "core_hi", "s", "t"))):
                 doc, ref, lo, far, off, core_lo, core_hi, s, t = r
                 n, shift = len(s) // 4, lo + off - far
-                if n >= least and shift >= 0 and t.startswith(s, 4 * shift):  # verbatim as a whole
+                whole = n >= least and shift >= 0 and t.startswith(s, 4 * shift)
+                if whole:  # verbatim
                     out.append((doc, lo, n + size - 1, ref, far + shift, n + size - 1, 1.0, None))
-                    continue
+                    if ref < doc:
+                        continue
                 x, y = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
                 open_ = np.ones(max(0, n - least + 1), bool)
                 open_[: max(0, core_lo - lo)] = False
                 open_[max(0, core_hi - lo - least + 2) :] = False
-                for a, z, c, d, sim in passages(x, y, shift, least, similarity):
+                for a, z, c, d, sim in [] if whole else passages(x, y, shift, least, similarity):
                     out.append((doc, lo + a, z - a + size - 1, ref, far + c, d - c + size - 1, sim, None))
-                    open_[a : z - least + 1] = False
+                    if ref < doc:
+                        open_[a : z - least + 1] = False
                 at = np.flatnonzero(open_)
                 if len(at):
                     docs.append(np.full(len(at), doc))
@@ -455,8 +490,7 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
 
     checked = materialize(left.join(right, ["ref", "far_lo", "far_hi"]).mapInArrow(verify, f"{_FOUND}, hash long"))
     discard(cut)
-    found = checked.where("hash is null").drop("hash")
-    return found.unionByName(_verbatim(checked.where("hash is not null").select(F.col("doc_id").alias("doc"), "start_word", "hash"), least, size, by_document))
+    return checked
 
 
 def _verbatim(rest: DataFrame, least: int, size: int, by_document) -> DataFrame:

@@ -175,3 +175,20 @@ def test_copies_of_a_passage_that_only_the_last_document_stands_for(spark):
     cut, _ = _cut(spark, bodies | lines | {999: [*words(40), *passage, *words(40)]})
     assert [i for i, w in cut.items() if set(w) & set(passage) and i not in lines] == [100]
     assert cut[100] == bodies[100] and all(cut[i] == b for i, b in lines.items())
+
+
+def test_places_left_of_many_edited_copies(spark, monkeypatch):
+    """Copies of a text with very many edits: what is held against what is far below all pairs of these, and an edited
+    passage of two of them that no other has is found."""
+    rng = np.random.default_rng(43)
+    words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    text, n = words(150), 120
+    bodies = {i: [f"own{i}x{j}" if at else w for j, (w, at) in enumerate(zip(text, rng.random(150) < 0.16))] for i in range(n)}
+    for i in (70, 90):
+        bodies[i][40:100] = text[40:60] + [f"own{i}"] + text[61:100]
+        bodies[i][50] = "both"
+    verified, held = substring_dedup._verified, []
+    monkeypatch.setattr(substring_dedup, "_verified", lambda docs, todo, *how: (held.append(todo.select("doc", "ref").distinct().count()), verified(docs, todo, *how))[1])
+    cut, _ = _cut(spark, bodies)
+    assert not set(cut[90]) & set(bodies[90][45:95]) and "both" in cut[70]
+    assert max(held[1:]) <= n * (n - 1) / 8

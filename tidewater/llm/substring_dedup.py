@@ -13,9 +13,11 @@ Subsequences of passage length for which no standing document of a smaller id is
 of all their shingles. Two texts that share ``passage`` words share the signature of these under every two hash
 functions, so they meet there at the latest: verbatim passages are found however many documents have a signature, and
 whichever stand for it. Places of a signature that lie in no passage of a smaller document after that are held against
-each other, all pairs of them, so edited passages are found beside any document with the probability that two of the
-hash functions agree, 0.9 for one of passage length at the similarity asked for. In text that repeats itself within
-a passage's length, some of a document's repetitions may be left out of its rows.
+each other. Where they are many, only those with an equal sketch, some min-hashes of a stretch of passage length around
+them, are; where these are many too, the smallest document first, and all pairs of what that leaves. So edited passages
+are found beside any document with about the probability that two of the hash functions agree, 0.9 for one of passage
+length at the similarity asked for. In text that repeats itself within a passage's length, some of a document's
+repetitions may be left out of its rows.
 
 Defined results: words are runs without ASCII white space, in lower case (A-Z); texts of fewer words than a
 passage, and null texts, have none; repeats inside one document do not count; rows of equal id and text are
@@ -25,6 +27,7 @@ themselves; an empty table gives an empty result; other columns, whatever their
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -45,6 +48,10 @@ SIMILARITY = 0.8
 #: Shingles by which insertions and deletions may move a passage off its diagonal.
 GAP = 12
 ROUND = 64
+#: Places of a signature that are left are all held against each other up to this number; more are parted by sketches.
+FEW = 16
+#: Sketches of a stretch, and the min-hashes of each.
+BANDS, ROWS = 16, 5
 STRETCH = ("doc", "ref", "lo", "hi", "off", "core_lo", "core_hi", "far_lo", "far_hi")
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -405,31 +412,103 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     found = checked.where("hash is null").drop("hash")
     found = materialize(found.unionByName(_verbatim(checked.where("hash is not null").select(F.col("doc_id").alias("doc"), "start_word", "hash"), least, size, by_document)))
 
-    # What no document of a smaller id was found to have is held against all that are left of its signature.
-    pairs = _left(signed.join(stand.select("key", "first"), "key").select("key", "doc", place.alias("place"), ((F.col("doc") == F.col("first")) & (F.col("place") >= 0)).alias("stood")), found, least, size)
-    todo = materialize(by_document(pairs, [], lambda g: stretches(g, least), _STRETCHES, "pair"))
-    return found.unionByName(_verified(docs, todo, least, size, similarity).where("hash is null").drop("hash"))
+    # What no document of a smaller id was found to have: signatures of many places are parted by sketches, and all of a
+    # part are held against each other. Where a part has many places, its smallest document stands for it first.
+    rest = _left(signed.join(stand.select("key", "first"), "key").select("key", "doc", place.alias("place"), ((F.col("doc") == F.col("first")) & (F.col("place") >= 0)).alias("stood")), found, size)
+    texts = materialize(docs.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    rest = _parted(rest, texts, least, size)
+    parts = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(F.struct("doc", "place")).alias("f")).where("first <> last"))
+    several, many = (rest.join(parts.where(w).select("key", "f"), "key") for w in (F.col("n") <= FEW, F.col("n") > FEW))
 
+    def held(pairs: DataFrame) -> DataFrame:
+        todo = materialize(by_document(_held(pairs, least), [], lambda g: stretches(g, least), _STRETCHES, "pair"))
+        return materialize(_verified(texts, todo, least, size, similarity).where("hash is null").drop("hash"))
 
-def _left(signed: DataFrame, found: DataFrame, least: int, size: int) -> DataFrame:
-    """Pairs of documents of equal signature that standing documents and verbatim passages left apart: ``pair, doc, ref, place, other``.
+    more = held(_beside(several).unionByName(many.select("doc", "place", F.col("f.doc").alias("ref"), F.col("f.place").alias("other"))))
+    found = found.unionByName(more)
+    rest = _left(many.withColumn("stood", (F.col("doc") == F.col("f.doc")) & (F.col("place") == F.col("f.place"))), more, size, "context")
+    return found if rest.isEmpty() else found.unionByName(held(_beside(rest)))
 
-    A place is left if no passage lies over its minimum that a document of a smaller id has. The first place of the
-    first document was held against all (``stood``).
+
+def _left(signed: DataFrame, found: DataFrame, size: int, *more: str) -> DataFrame:
+    """The places ``key, doc, place`` (and ``more``) over whose minimum no passage lies that a document of a smaller id has,
+    of keys that two documents are left with.
+
+    The first place of the first document was held against all (``stood``).
     """
-    spans = found.where("ref_doc_id < doc_id").select(F.lit(None).cast("long").alias("key"), F.col("doc_id").alias("doc"), F.lit(None).cast("long").alias("place"), F.col("start_word").cast("long").alias("at"), (F.col("start_word") + F.col("n_words")).cast("long").alias("end"))
-    places = signed.where("not stood").select("key", "doc", "place", F.shiftright("place", 32).alias("at"), F.lit(None).cast("long").alias("end"))
+    null = F.lit(None).cast("long")
+    spans = found.where("ref_doc_id < doc_id").select(null.alias("key"), F.col("doc_id").alias("doc"), null.alias("place"), *(null.alias(c) for c in more), F.col("start_word").cast("long").alias("at"), (F.col("start_word") + F.col("n_words")).cast("long").alias("end"))
+    places = signed.where("not stood").select("key", "doc", "place", *more, F.shiftright("place", 32).alias("at"), null.alias("end"))
     reach = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     rest = places.unionByName(spans).withColumn("_z", F.max("end").over(reach)).where(F.col("key").isNotNull() & (F.col("_z").isNull() | (F.col("at") + size > F.col("_z"))))
-    rest = materialize(rest.select("key", "doc", "place"))
+    rest = materialize(rest.select("key", "doc", "place", *more))
     many = materialize(rest.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key"))
-    rest = materialize(rest.join(many, "key", "left_semi"))
-    one, two = rest.select("key", "doc", "place"), rest.select("key", F.col("doc").alias("ref"), F.col("place").alias("other"))
+    return materialize(rest.join(many, "key", "left_semi"))
+
+
+def sketches(s: np.ndarray, c: int, left: int, right: int, least: int) -> np.ndarray:
+    """Keys of the stretches of ``least`` shingles that hold ``c`` and lie within its window, each once: of every band, its min-hashes together."""
+    lo, hi = max(0, c - min(left, least - 1)), min(len(s), c + min(right, least - 1) + 1)
+    width = min(least, hi - lo)
+    bands = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(_BASE)
+    h = mixed(s[lo:hi, None] ^ mixed(bands)[None, :])
+    # Sliding minima by doubling: of stretches of a power of two, two of which cover one of ``width``.
+    step = 1
+    while 2 * step <= width:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    if width > step:
+        h = np.minimum(h[: len(h) - (width - step)], h[width - step :])
+    h = h.reshape(len(h), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), h.shape[:2])
+    for i in range(ROWS):
+        key = mixed(key * np.uint64(3) + h[:, :, i])
+    return np.unique(key)
+
+
+def _parted(rest: DataFrame, texts: DataFrame, least: int, size: int) -> DataFrame:
+    """``key, doc, place, context`` of the places left, each with its keys: the signature, or, if that has many places,
+    the signature with each sketch of the stretches around the place. ``context`` is the hash of all that a place is held against others with.
+    """
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
+    wanted = rest.join(sizes, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "place", (F.col("n") > FEW).alias("many"))).alias("w"))  # bounded by the text's own places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, lists, ids = b.column("text"), b.column("w").to_pylist(), b.column("doc_id").to_pylist()
+            for i, j in text_groups(texts):
+                every, starts = shingles(texts[i:j].to_pylist(), size)
+                for d in range(i, j):
+                    s = every[starts[d - i] : starts[d - i + 1]]
+                    keys, places, contexts = ([np.empty(0, np.int64)] for _ in range(3))
+                    for w in lists[d]:
+                        c, left, right = w["place"] >> 32, w["place"] >> 16 & 0xFFFF, w["place"] & 0xFFFF
+                        part = np.array([w["key"]], np.int64)
+                        if w["many"]:
+                            part = mixed(sketches(s, c, left, right, least) ^ part.view(np.uint64)).view(np.int64)
+                        around = s[max(0, c - left - GAP) : c + right + GAP + 1].tobytes() + w["place"].to_bytes(8, "little")[:4]
+                        keys.append(part)
+                        places.append(np.full(len(part), w["place"]))
+                        contexts.append(np.full(len(part), int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True)))
+                    key, place, context = map(np.concatenate, (keys, places, contexts))
+                    yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), ids[d])), pa.array(place), pa.array(context)], ["key", "doc", "place", "context"])
+
+    return materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(run, "key long, doc long, place long, context long"))
+
+
+def _held(pairs: DataFrame, least: int) -> DataFrame:
+    """Of ``doc, place, ref, other``, each once those whose windows have room for a passage, by pairs of documents."""
     side = lambda bits: F.least(*(F.shiftright(c, bits).bitwiseAND(0xFFFF) for c in ("place", "other")))
-    pairs = one.join(two, "key").where("ref < doc").where(side(16) + side(0) + 1 + GAP >= least)
+    pairs = pairs.where("ref < doc").where(side(16) + side(0) + 1 + GAP >= least).select("doc", "ref", "place", "other").distinct()
     return pairs.select(F.xxhash64("doc", "ref").alias("pair"), "doc", "ref", "place", "other")
 
 
+def _beside(places: DataFrame) -> DataFrame:
+    """Places of a key beside those of other documents: of the places of one document that look alike, the first."""
+    others = places.groupBy("key", F.col("doc").alias("ref"), "context").agg(F.min("place").alias("other")).drop("context")
+    return places.join(others, "key").where("ref < doc").select("doc", "place", "ref", "other")
+
+
 def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarity: float) -> DataFrame:
     """The passages in stretches; and, with a ``hash`` and no ``ref_doc_id``, where no document of a smaller id has one."""
     # The stretches' shingles: of a document, each with the one it is held against; of a standing document, each once.

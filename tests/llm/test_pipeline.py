@@ -192,3 +192,39 @@ def test_places_left_of_many_edited_copies(spark, monkeypatch):
     cut, _ = _cut(spark, bodies)
     assert not set(cut[90]) & set(bodies[90][45:95]) and "both" in cut[70]
     assert max(held[1:]) <= n * (n - 1) / 8
+
+
+def test_places_left_that_share_a_line_only(spark, monkeypatch):
+    """Documents with a line in common and nothing else are not held against each other; two of them with an edited passage are."""
+    rng = np.random.default_rng(47)
+    words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    line, more, n = words(36), words(30), 60
+    bodies = {i: [*words(70), *line, *words(70)] for i in range(n)}
+    for i in (20, 40):
+        bodies[i][106:136] = [*more[:14], f"own{i}", *more[15:]]
+    verified, held = substring_dedup._verified, []
+    monkeypatch.setattr(substring_dedup, "_verified", lambda docs, todo, *how: (held.append((len(held) > 0, todo.select("doc", "ref").distinct().count())), verified(docs, todo, *how))[1])
+    d = spark.createDataFrame([(i, " ".join(b)) for i, b in bodies.items()], "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(d).collect()}
+    assert not set(cut[40]) & set(line + more[:14] + more[15:])
+    assert all(cut[i] == b for i, b in bodies.items() if i != 40)
+    assert sum(k for later, k in held if later) <= n
+
+
+def test_probes_of_passages():
+    """Whatever a passage misses in its other text, one of its probes is held there; what no other text has is none."""
+    rng = np.random.default_rng(53)
+    share = 2 * 0.8 / 1.8
+    for _ in range(300):
+        n = int(rng.integers(46, 150))
+        counts = rng.integers(1, 9, n)
+        a = int(rng.integers(0, n - 45))
+        m = int(rng.integers(46, n - a + 1))
+        missed = a + 1 + rng.choice(m - 2, int(rng.integers(0, int(m * (1 - share)) + 1)), replace=False)
+        counts[missed[rng.random(len(missed)) < 0.5]] = 0
+        held = np.zeros(n, bool)
+        held[a : a + m] = True
+        held[missed] = False
+        assert held[substring_dedup.probes(counts, 46, share)].any()
+    alone = np.r_[np.zeros(30, int), np.full(36, 500), np.zeros(30, int)]
+    assert not len(substring_dedup.probes(alone, 46, share))

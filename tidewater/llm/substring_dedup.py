@@ -13,9 +13,10 @@ Subsequences of passage length for which no standing document of a smaller id is
 of all their shingles. Two texts that share ``passage`` words share the signature of these under every two hash
 functions, so they meet there at the latest: verbatim passages are found however many documents have a signature, and
 whichever stand for it. Places of a signature that lie in no passage of a smaller document after that are held against
-each other. Where they are many, only those with an equal sketch, some min-hashes of a stretch of passage length around
-them, are; where these are many too, the smallest document first, and all pairs of what that leaves. So edited passages
-are found beside any document with about the probability that two of the hash functions agree, 0.9 for one of passage
+each other where they can have one. A passage of the similarity asked for misses few of its shingles in the other text, so
+it shares one of any few more than these: of the rarest, those that no other document left has, which cannot be shared,
+first. Places that share such a shingle are held against each other; where these are many, the smallest document first, and
+all pairs of what that leaves. So edited passages are found beside any document with about the probability that two of the hash functions agree, 0.9 for one of passage
 length at the similarity asked for. In text that repeats itself within a passage's length, some of a document's
 repetitions may be left out of its rows.
 
@@ -48,10 +49,8 @@ SIMILARITY = 0.8
 #: Shingles by which insertions and deletions may move a passage off its diagonal.
 GAP = 12
 ROUND = 64
-#: Places of a signature that are left are all held against each other up to this number; more are parted by sketches.
+#: Places left with a signature and a shingle are all held against each other up to this number; of more the first stands for all, first.
 FEW = 16
-#: Sketches of a stretch, and the min-hashes of each.
-BANDS, ROWS = 16, 5
 STRETCH = ("doc", "ref", "lo", "hi", "off", "core_lo", "core_hi", "far_lo", "far_hi")
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -286,6 +285,8 @@ def passages(x: np.ndarray, y: np.ndarray, off: int, least: int, similarity: flo
     needs, edits counted on both sides; where its sets are less similar, shorter ones inside it with a higher share.
     """
     n = len(x)
+    if n < least:
+        return []
     place = np.arange(n) + off
     inside = (place >= 0) & (place < len(y))
     same = np.zeros(n, bool)
@@ -386,7 +387,7 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for g in whole_groups(batches, by):
                 out = work(g)
-                yield pa.record_batch([pa.array(v) for v in out.values()], list(out))
+                yield pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], list(out))
 
         return rows.repartition(n, by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
@@ -412,21 +413,22 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     found = checked.where("hash is null").drop("hash")
     found = materialize(found.unionByName(_verbatim(checked.where("hash is not null").select(F.col("doc_id").alias("doc"), "start_word", "hash"), least, size, by_document)))
 
-    # What no document of a smaller id was found to have: signatures of many places are parted by sketches, and all of a
-    # part are held against each other. Where a part has many places, its smallest document stands for it first.
+    # What no document of a smaller id was found to have: places of a signature that share a shingle which a passage of theirs
+    # cannot do without are held against each other. Where many have it, the smallest document stands for it first.
     rest = _left(signed.join(stand.select("key", "first"), "key").select("key", "doc", place.alias("place"), ((F.col("doc") == F.col("first")) & (F.col("place") >= 0)).alias("stood")), found, size)
     texts = materialize(docs.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    rest = _parted(rest, texts, least, size)
-    parts = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(F.struct("doc", "place")).alias("f")).where("first <> last"))
+    rest, alike = _parted(rest, texts, least, size, similarity, by_document)
+    parts = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("probe"), F.col("doc"))).alias("last"), F.min(F.struct("doc", "place")).alias("f")).where("f.doc < last"))
     several, many = (rest.join(parts.where(w).select("key", "f"), "key") for w in (F.col("n") <= FEW, F.col("n") > FEW))
 
     def held(pairs: DataFrame) -> DataFrame:
+        pairs = alike.join(pairs.where("ref < doc").distinct(), ["sign", "doc", "context"])
         todo = materialize(by_document(_held(pairs, least), [], lambda g: stretches(g, least), _STRETCHES, "pair"))
-        return materialize(_verified(texts, todo, least, size, similarity).where("hash is null").drop("hash"))
+        return materialize(_verified(texts, todo, least, size, similarity, False).drop("hash"))
 
-    more = held(_beside(several).unionByName(many.select("doc", "place", F.col("f.doc").alias("ref"), F.col("f.place").alias("other"))))
+    more = held(_beside(several).unionByName(many.where("probe").select("sign", "doc", "context", F.col("f.doc").alias("ref"), F.col("f.place").alias("other"))))
     found = found.unionByName(more)
-    rest = _left(many.withColumn("stood", (F.col("doc") == F.col("f.doc")) & (F.col("place") == F.col("f.place"))), more, size, "context")
+    rest = _left(many.withColumn("stood", (F.col("doc") == F.col("f.doc")) & (F.col("place") == F.col("f.place"))), more, size, "sign", "context", "probe")
     return found if rest.isEmpty() else found.unionByName(held(_beside(rest)))
 
 
@@ -437,7 +439,7 @@ def _left(signed: DataFrame, found: DataFrame, size: int, *more: str) -> DataFra
     The first place of the first document was held against all (``stood``).
     """
     null = F.lit(None).cast("long")
-    spans = found.where("ref_doc_id < doc_id").select(null.alias("key"), F.col("doc_id").alias("doc"), null.alias("place"), *(null.alias(c) for c in more), F.col("start_word").cast("long").alias("at"), (F.col("start_word") + F.col("n_words")).cast("long").alias("end"))
+    spans = found.where("ref_doc_id < doc_id").select(null.alias("key"), F.col("doc_id").alias("doc"), null.alias("place"), *(F.lit(None).cast(signed.schema[c].dataType).alias(c) for c in more), F.col("start_word").cast("long").alias("at"), (F.col("start_word") + F.col("n_words")).cast("long").alias("end"))
     places = signed.where("not stood").select("key", "doc", "place", *more, F.shiftright("place", 32).alias("at"), null.alias("end"))
     reach = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     rest = places.unionByName(spans).withColumn("_z", F.max("end").over(reach)).where(F.col("key").isNotNull() & (F.col("_z").isNull() | (F.col("at") + size > F.col("_z"))))
@@ -446,54 +448,111 @@ def _left(signed: DataFrame, found: DataFrame, size: int, *more: str) -> DataFra
     return materialize(rest.join(many, "key", "left_semi"))
 
 
-def sketches(s: np.ndarray, c: int, left: int, right: int, least: int) -> np.ndarray:
-    """Keys of the stretches of ``least`` shingles that hold ``c`` and lie within its window, each once: of every band, its min-hashes together."""
-    lo, hi = max(0, c - min(left, least - 1)), min(len(s), c + min(right, least - 1) + 1)
-    width = min(least, hi - lo)
-    bands = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(_BASE)
-    h = mixed(s[lo:hi, None] ^ mixed(bands)[None, :])
-    # Sliding minima by doubling: of stretches of a power of two, two of which cover one of ``width``.
-    step = 1
-    while 2 * step <= width:
-        h = np.minimum(h[:-step], h[step:])
-        step *= 2
-    if width > step:
-        h = np.minimum(h[: len(h) - (width - step)], h[width - step :])
-    h = h.reshape(len(h), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), h.shape[:2])
-    for i in range(ROWS):
-        key = mixed(key * np.uint64(3) + h[:, :, i])
-    return np.unique(key)
-
-
-def _parted(rest: DataFrame, texts: DataFrame, least: int, size: int) -> DataFrame:
-    """``key, doc, place, context`` of the places left, each with its keys: the signature, or, if that has many places,
-    the signature with each sketch of the stretches around the place. ``context`` is the hash of all that a place is held against others with.
+def roomy(held: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Where parts of ``least`` shingles or more begin of which the share is held."""
+    if len(held) < least:
+        return np.empty(0, np.int64)
+    total = np.concatenate([[0.0], np.cumsum(held - share)])
+    best = np.maximum.accumulate(total[::-1])[::-1]  # of all ends from here on
+    return np.flatnonzero(best[least:] >= total[: len(held) - least + 1] - 1e-9)
+
+
+def probes(n: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Places of shingles, the rarest, such that any passage in a stretch has one of them in common with its other text.
+
+    ``n`` tells how many hold each shingle of the stretch, 0 if no other text does. A passage has ``least`` shingles or more
+    of which the other text holds the ``share``; of its parts of ``least`` to ``2 * least - 1`` shingles one has that share too,
+    so of the first ``least`` of such a part no more are missed than the share allows the longest that may begin there.
+    """
+    total = np.concatenate([[0.0], np.cumsum((n > 0) - share)])
+    out = np.zeros(len(n), bool)
+    for i in roomy(n > 0, least, share).tolist():
+        lengths = np.flatnonzero(total[i + least : i + 2 * least] >= total[i] - 1e-9)
+        if len(lengths):
+            part = n[i : i + least]
+            missed = int((least + int(lengths[-1])) * (1 - share) + 1e-9)
+            out[i + np.argsort(part, kind="stable")[: missed + 1]] = True
+    return np.flatnonzero(out & (n > 0))
+
+
+def _parted(rest: DataFrame, texts: DataFrame, least: int, size: int, similarity: float, by_document) -> tuple[DataFrame, DataFrame]:
+    """``key, sign, doc, place, context, probe`` of the places left that can have a passage, or be what another one's is found in: a
+    key for the signature and each shingle around the place that comes again around the places left. ``probe`` tells which
+    shingles a passage of the place must share one of. ``context`` is the hash of all that a place is held against others with:
+    of a document's places of a signature ``sign`` that are alike in it the first stands for all, which the other table gives.
+
+    What a passage is found in has the similarity's share of its shingles, and as many at least; if one of both repeats
+    itself, as many as lie between the passage's ends moved by a gap.
     """
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-    wanted = rest.join(sizes, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "place", (F.col("n") > FEW).alias("many"))).alias("w"))  # bounded by the text's own places
+    share, shortest = 2 * similarity / (1 + similarity), int(np.ceil(similarity * least - 1e-9))
+    wanted = rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("w"))  # bounded by the text's own places
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lists, ids = b.column("text"), b.column("w").to_pylist(), b.column("doc_id").to_pylist()
+            texts, lists, ids = b.column("text"), b.column("w"), b.column("doc_id")
             for i, j in text_groups(texts):
-                every, starts = shingles(texts[i:j].to_pylist(), size)
-                for d in range(i, j):
-                    s = every[starts[d - i] : starts[d - i + 1]]
-                    keys, places, contexts = ([np.empty(0, np.int64)] for _ in range(3))
-                    for w in lists[d]:
-                        c, left, right = w["place"] >> 32, w["place"] >> 16 & 0xFFFF, w["place"] & 0xFFFF
-                        part = np.array([w["key"]], np.int64)
-                        if w["many"]:
-                            part = mixed(sketches(s, c, left, right, least) ^ part.view(np.uint64)).view(np.int64)
-                        around = s[max(0, c - left - GAP) : c + right + GAP + 1].tobytes() + w["place"].to_bytes(8, "little")[:4]
-                        keys.append(part)
-                        places.append(np.full(len(part), w["place"]))
-                        contexts.append(np.full(len(part), int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True)))
-                    key, place, context = map(np.concatenate, (keys, places, contexts))
-                    yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), ids[d])), pa.array(place), pa.array(context)], ["key", "doc", "place", "context"])
-
-    return materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(run, "key long, doc long, place long, context long"))
+                s, starts = shingles(texts[i:j].to_pylist(), size)
+                part = lists[i:j]
+                base = np.repeat(np.arange(j - i), pc.list_value_length(part).to_numpy())
+                w = part.flatten().to_numpy()
+                c = w >> 32
+                cover = np.zeros(len(s) + 1, np.int64)
+                np.add.at(cover, np.maximum(starts[base] + c - (w >> 16 & 0xFFFF) - GAP, starts[base]), 1)
+                np.add.at(cover, np.minimum(starts[base] + c + (w & 0xFFFF) + GAP + 1, starts[base + 1]), -1)
+                at = np.flatnonzero(np.cumsum(cover)[:-1])
+                doc = np.searchsorted(starts, at, "right") - 1
+                yield pa.record_batch([ids.take(pa.array(doc + i)), pa.array(at - starts[doc]), pa.array(s[at].view(np.int64))], ["doc", "at", "hash"])
+
+    near = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(around, "doc long, at long, hash long"))
+    shared = materialize(near.groupBy("hash").agg(F.count("*").alias("n"), (F.min("doc") < F.max("doc")).cast("long").alias("others")).where("n > 1"))
+
+    def mark(g: dict[str, np.ndarray]) -> dict[str, pa.Array | np.ndarray]:
+        one = g["n"] > 0
+        base = np.cumsum(np.concatenate([[0], g["doc"][1:] != g["doc"][:-1]])) << 32
+        at, hashes, n, others = (base + g["at"])[one], g["hash"][one], g["n"][one], g["others"][one]
+        base, key, doc, place = (x[~one] for x in (base, g["hash"], g["doc"], g["place"]))
+        c, left, right = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+        lo, hi = np.searchsorted(at, base + np.maximum(0, c - left - GAP)), np.searchsorted(at, base + c + right + GAP + 1)
+        known: dict[tuple[int, int], tuple] = {}
+        flags: dict[str, list] = {"context": [], "open": [], "near": [], "again": [], "each": [], "probe": []}
+        seen: set[tuple[int, int, int]] = set()
+        first = np.zeros(len(place), bool)
+        for i, (b, k, p, x, y) in enumerate(zip(base.tolist(), key.tolist(), place.tolist(), lo.tolist(), hi.tolist())):
+            if (b, p) not in known:
+                start, width = b + (p >> 32) - (p >> 16 & 0xFFFF), (p >> 16 & 0xFFFF) + (p & 0xFFFF) + 1
+                inside = at[x:y] - start
+                counts = np.zeros(width + 2 * GAP, np.int64)
+                counts[inside + GAP] = n[x:y]
+                own = counts[GAP : GAP + width].copy()
+                own[inside[(others[x:y] == 0) & (inside >= 0) & (inside < width)]] = 0
+                own = probes(own, least, share)
+                context = hashlib.blake2b(hashes[x:y].tobytes() + inside.tobytes() + p.to_bytes(8, "little")[:4], digest_size=8).digest()
+                each, which = np.unique(hashes[x:y], return_inverse=True)
+                again = len(each) < y - x
+                near = [len(roomy(counts > 0, m, similarity)) > 0 for m in (least - 2 * GAP, shortest)]
+                known[b, p] = int.from_bytes(context, "little", signed=True), near[not again], near[0], again, each, np.isin(np.arange(len(each)), which[np.isin(inside, own)])
+            for name, flag in zip(flags, known[b, p]):
+                flags[name].append(flag)
+            alike = (b, k, known[b, p][0])
+            first[i] = alike not in seen
+            seen.add(alike)
+        sought = np.array([f.any() for f in flags["probe"]], bool)
+        each, probe = ([f if one else f[:0] for f, one in zip(flags[name], first)] for name in ("each", "probe"))
+        many = np.array([len(x) for x in each], np.int64)
+        parts = mixed(np.concatenate([hashes[:0], *each]).view(np.uint64) ^ mixed(np.repeat(key, many).view(np.uint64))).view(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        probe = np.concatenate([np.empty(0, bool), *probe])
+        return {"key": key, "doc": doc, "place": place, "context": np.array(flags["context"], np.int64), "open": np.array(flags["open"], bool), "near": np.array(flags["near"], bool), "again": np.array(flags["again"], bool), "sought": sought, "part": pa.ListArray.from_arrays(ends, pa.array(parts)), "probe": pa.ListArray.from_arrays(ends, pa.array(probe))}
+
+    nothing = F.lit(0).cast("long")
+    rows = near.join(shared, "hash").select("doc", "at", "hash", "n", "others", nothing.alias("place"))
+    rows = rows.unionByName(rest.select("doc", F.shiftright("place", 32).alias("at"), F.col("key").alias("hash"), nothing.alias("n"), nothing.alias("others"), "place"))
+    marked = materialize(by_document(rows, ["at"], mark, "key long, doc long, place long, context long, open boolean, near boolean, again boolean, sought boolean, part array<long>, probe array<boolean>"))
+    discard(near)
+    sought = materialize(marked.where("sought").groupBy("key").agg(F.max("doc").alias("last"), F.bool_or("again").alias("any")))
+    parts = marked.join(sought, "key").where("sought or doc < last and (open or any and near)")
+    parts = parts.select(F.col("key").alias("sign"), "doc", "place", "context", F.inline(F.arrays_zip("part", "probe")))
+    return materialize(parts.select(F.col("part").alias("key"), "sign", "doc", "place", "context", "probe")), marked.where("sought").select(F.col("key").alias("sign"), "doc", "context", "place")
 
 
 def _held(pairs: DataFrame, least: int) -> DataFrame:
@@ -504,13 +563,13 @@ def _held(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def _beside(places: DataFrame) -> DataFrame:
-    """Places of a key beside those of other documents: of the places of one document that look alike, the first."""
-    others = places.groupBy("key", F.col("doc").alias("ref"), "context").agg(F.min("place").alias("other")).drop("context")
-    return places.join(others, "key").where("ref < doc").select("doc", "place", "ref", "other")
+    """Places that seek a key beside those of other documents."""
+    others = places.select("key", F.col("doc").alias("ref"), F.col("place").alias("other"))
+    return places.where("probe").join(others, "key").where("ref < doc").select("sign", "doc", "context", "ref", "other")
 
 
-def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarity: float) -> DataFrame:
-    """The passages in stretches; and, with a ``hash`` and no ``ref_doc_id``, where no document of a smaller id has one."""
+def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarity: float, others: bool = True) -> DataFrame:
+    """The passages in stretches; and (``others``), with a ``hash`` and no ``ref_doc_id``, where no document of a smaller id has one."""
     # The stretches' shingles: of a document, each with the one it is held against; of a standing document, each once.
     own = todo.select(F.col("doc").alias("doc_id"), F.struct(F.lit(0).cast("long").alias("role"), *STRETCH[1:]).alias("w"))
     other = todo.select("ref", "far_lo", "far_hi").distinct()
@@ -541,17 +600,18 @@ def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarit
         names = ["doc_id", "start_word", "n_words", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity", "hash"]
         for b in batches:
             out: list[tuple] = []
-            docs, places, hashes = ([np.empty(0, np.int64)] for _ in range(3))
+            docs, places, picked = ([np.empty(0, np.int64)] for _ in range(3))
+            stretched, before = [np.empty(0, np.uint32)], 0
             for r in zip(*(b.column(c).to_pylist() for c in ("doc", "ref", "lo", "far_lo", "off", "core_lo", "core_hi", "s", "t"))):
                 doc, ref, lo, far, off, core_lo, core_hi, s, t = r
                 n, shift = len(s) // 4, lo + off - far
                 whole = n >= least and shift >= 0 and t.startswith(s, 4 * shift)
                 if whole:  # verbatim
                     out.append((doc, lo, n + size - 1, ref, far + shift, n + size - 1, 1.0, None))
-                    if ref < doc:
+                    if ref < doc or not others:
                         continue
                 x, y = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
-                open_ = np.ones(max(0, n - least + 1), bool)
+                open_ = np.full(max(0, n - least + 1), others)
                 open_[: max(0, core_lo - lo)] = False
                 open_[max(0, core_hi - lo - least + 2) :] = False
                 for a, z, c, d, sim in [] if whole else passages(x, y, shift, least, similarity):
@@ -562,9 +622,12 @@ def _verified(docs: DataFrame, todo: DataFrame, least: int, size: int, similarit
                 if len(at):
                     docs.append(np.full(len(at), doc))
                     places.append(at + lo)
-                    hashes.append(stretch_hashes(x[at[0] : at[-1] + least], least)[at - at[0]])
+                    picked.append(at - at[0] + before)
+                    stretched.append(x[at[0] : at[-1] + least])
+                    before += len(stretched[-1])
             yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
-            doc, place, h = map(np.concatenate, (docs, places, hashes))
+            doc, place, pick = map(np.concatenate, (docs, places, picked))
+            h = stretch_hashes(np.concatenate(stretched), least)[pick] if before else pick
             yield pa.record_batch([pa.array(doc), pa.array(place.astype(np.int32)), *(pa.nulls(len(doc), k) for k in kinds[2:7]), pa.array(h)], names)
 
     checked = materialize(left.join(right, ["ref", "far_lo", "far_hi"]).mapInArrow(verify, f"{_FOUND}, hash long"))

@@ -416,7 +416,8 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     # What no document of a smaller id was found to have: places of a signature that share a shingle which a passage of theirs
     # cannot do without are held against each other. Where many have it, the smallest document stands for it first.
     rest = _left(signed.join(stand.select("key", "first"), "key").select("key", "doc", place.alias("place"), ((F.col("doc") == F.col("first")) & (F.col("place") >= 0)).alias("stood")), found, size)
-    texts = materialize(docs.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    wanted = rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("w"))  # bounded by the text's own places
+    texts = materialize(docs.join(wanted, "doc_id").select("doc_id", "text", "w"))
     rest, alike = _parted(rest, texts, least, size, similarity, by_document)
     parts = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("probe"), F.col("doc"))).alias("last"), F.min(F.struct("doc", "place")).alias("f")).where("f.doc < last"))
     several, many = (rest.join(parts.where(w).select("key", "f"), "key") for w in (F.col("n") <= FEW, F.col("n") > FEW))
@@ -424,7 +425,7 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, size: int = SHINGLE, hash
     def held(pairs: DataFrame) -> DataFrame:
         pairs = alike.join(pairs.where("ref < doc").distinct(), ["sign", "doc", "context"])
         todo = materialize(by_document(_held(pairs, least), [], lambda g: stretches(g, least), _STRETCHES, "pair"))
-        return materialize(_verified(texts, todo, least, size, similarity, False).drop("hash"))
+        return materialize(_verified(texts.drop("w"), todo, least, size, similarity, False).drop("hash"))
 
     more = held(_beside(several).unionByName(many.where("probe").select("sign", "doc", "context", F.col("f.doc").alias("ref"), F.col("f.place").alias("other"))))
     found = found.unionByName(more)
@@ -481,11 +482,10 @@ def _parted(rest: DataFrame, texts: DataFrame, least: int, size: int, similarity
     shingles a passage of the place must share one of. ``context`` is the hash of all that a place is held against others with:
     of a document's places of a signature ``sign`` that are alike in it the first stands for all, which the other table gives.
 
-    What a passage is found in has the similarity's share of its shingles, and as many at least; if one of both repeats
-    itself, as many as lie between the passage's ends moved by a gap.
+    ``texts`` hold the places ``w`` of each document. What a passage is found in has the similarity's share of its shingles,
+    and as many at least; if one of both repeats itself, as many as lie between the passage's ends moved by a gap.
     """
     share, shortest = 2 * similarity / (1 + similarity), int(np.ceil(similarity * least - 1e-9))
-    wanted = rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("w"))  # bounded by the text's own places
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -503,7 +503,7 @@ def _parted(rest: DataFrame, texts: DataFrame, least: int, size: int, similarity
                 doc = np.searchsorted(starts, at, "right") - 1
                 yield pa.record_batch([ids.take(pa.array(doc + i)), pa.array(at - starts[doc]), pa.array(s[at].view(np.int64))], ["doc", "at", "hash"])
 
-    near = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(around, "doc long, at long, hash long"))
+    near = materialize(texts.mapInArrow(around, "doc long, at long, hash long"))
     shared = materialize(near.groupBy("hash").agg(F.count("*").alias("n"), (F.min("doc") < F.max("doc")).cast("long").alias("others")).where("n > 1"))
 
     def mark(g: dict[str, np.ndarray]) -> dict[str, pa.Array | np.ndarray]:
